@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack
 from .secrets import scan_secrets
 from .sharding import minimax_shards
+from .wavelet import read_shards, write_shards
+
+
+def vocabulary() -> str:
+    """Where the byte-level vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,5 +29,13 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans)}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary(), size=2048, end=0)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op10_token_files)}
 ORACLES: dict[str, str] = {}
