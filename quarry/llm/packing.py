@@ -108,20 +108,12 @@ class Counts:
 
 
 def patterns(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """(sequences, lengths in each): exact fills first, then best fit."""
+    """(sequences, lengths in each): every gap takes its exact complement if there is one, else the best fit and then that of what is left."""
     state, found = Counts(counts, size), []
     for length in range(size, 0, -1):
         while state.left[length] > 0:
-            state.left[length] -= 1
-            fill = state.exact(size - length)
-            state.left[length] += 1
-            if fill is None:
-                break
-            found.append(state.take([length, *fill]))
-    for length in range(size, 0, -1):
-        while state.left[length] > 0:
-            state.left[length] -= 1
             pattern, gap = [length], size - length
+            state.left[length] -= 1
             while gap:
                 more = state.exact(gap) or [x for x in [state.best(gap)] if x]
                 if not more:
