@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import taken
+from .nearness import near_groups
 from .packing import pack
 from .secrets import scan_secrets
 from .sharding import minimax_shards
@@ -38,9 +39,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents"), shards=16, weights=(1, 2, 3), ceiling=3)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("node")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op10_token_files)}
 ORACLES: dict[str, str] = {}
