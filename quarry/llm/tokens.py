@@ -1,41 +1,50 @@
 """Token ids of whole texts by the tokenizers library.
 
 A byte-level BPE vocabulary encodes the stretches between word boundaries one by one, so each distinct stretch needs to be
-encoded only once in a worker. The memo is bounded; it is emptied when full and changes no result.
+encoded only once in a worker. The memo is bounded; its older half goes when it is full, which changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct stretches that a worker remembers.
-MEMO = 800_000
+MEMO = 1_600_000
 #: A space between two other white-space characters, or at the end behind one: no word boundary lies before it.
 INNER = re.compile(r"\s (?:\s|\Z)")
 #: Before a space between two other characters there is always a boundary.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: Words that are one stretch to any byte-level splitter.
+#: Letters whose runs are one piece to any byte-level splitter.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 class Memo:
-    """Encoded stretches in two generations: when the young one is full it replaces the old one."""
-
-    def __init__(self, lead: str, limit: int):
-        self.lead, self.half, self.young, self.old = lead, max(1, limit // 2), {}, {}
-
-    def ready(self, need: set[str], encode) -> dict[str, bytes]:
-        """A dict that has all of them."""
-        new = need.difference(self.young)
-        if new and len(self.young) + len(new) > self.half:
-            self.old, self.young = self.young, {}
-            new = need
-        for w in new:
-            self.young[w] = self.old.get(w) or encode(self.lead, w)
-        return self.young
+    """Encoded stretches in two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.half, self.young, self.old = encode, max(1, limit // 2), {}, {}
+
+    def of(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each; stretches should be distinct."""
+        found = list(map(self.young.get, stretches))
+        missing = [i for i, data in enumerate(found) if data is None]
+        if missing:
+            words = [stretches[i] for i in missing]
+            encode = self.encode
+            data = [d if d is not None else encode(w) for w, d in zip(words, map(self.old.get, words), strict=True)]
+            for i, d in zip(missing, data, strict=True):
+                found[i] = d
+            if len(self.young) + len(words) > self.half:
+                self.old, self.young = self.young, {}
+            self.young.update(zip(words[: self.half], data, strict=False))
+        return found
 
 
 class Encoder:
@@ -48,39 +57,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         # the library's own byte-level letters of the Latin words that need no further split
         self.letters = {x: "".join(m for m, _ in self.split(x)) for x in map(chr, range(0x250)) if LATIN.fullmatch(x)}
         self.blank = self.split(" a")[0][0][:-1]
-        self.spaced, self.whole = Memo(" ", memo), Memo("", memo)
+        self.spaced, self.whole = Memo(lambda w: self.encode(" ", w), memo), Memo(lambda w: self.encode("", w), memo // 8)
+        self.marks = Memo(lambda w: array("I", self.raw(w)).tobytes(), 100)
 
     def raw(self, text: str) -> list[int]:
         """The library's ids of a whole text."""
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, lead: str, stretch: str) -> bytes:
-        if LATIN.fullmatch(stretch):
-            pieces = [(self.blank if lead else "") + "".join(map(self.letters.__getitem__, stretch))]
-        else:
-            pieces = [p for p, _ in self.split(lead + stretch)]
-        return np.array([t.id for p in pieces for t in self.merge(p)], "<u4").tobytes()
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        split, spaced, whole = [], set(), set()
+        stem = stretch.rstrip(".,")
+        try:
+            piece = "".join([self.letters[c] for c in stem])
+        except KeyError:
+            piece = ""
+        if not piece:
+            return array("I", [t.id for p, _ in self.split(lead + stretch) for t in self.merge(p)]).tobytes()
+        # a Latin word is one piece, and the marks behind it are another
+        data = array("I", [t.id for t in self.merge(self.blank + piece if lead else piece)]).tobytes()
+        return data + self.marks.of([stretch[len(stem) :]])[0] if len(stem) < len(stretch) else data
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts: each distinct stretch among them is looked up once, and columns of stretches become columns of ids."""
+        heads, tails = [], []
         for text in texts:
             if not text:
-                split.append(None)
+                heads.append(b"")
+                tails.append(None)
             elif INNER.search(text):
-                pieces = SAFE.split(text)
-                whole.update(pieces)
-                split.append((pieces, None))
+                heads.append(b"".join(self.whole.of(SAFE.split(text))))
+                tails.append(None)
             else:
-                first, *rest = text.split(" ")
-                whole.add(first)
-                spaced.update(rest)
-                split.append(([first], rest))
-        get = self.spaced.ready(spaced, self.encode).__getitem__
-        get_whole = self.whole.ready(whole, self.encode).__getitem__
-        return [b"" if s is None else b"".join(map(get_whole, s[0])) + (b"".join(map(get, s[1])) if s[1] else b"") for s in split]
+                head, space, tail = text.partition(" ")
+                heads.append(head)
+                tails.append(tail if space else None)
+        firsts = [i for i, h in enumerate(heads) if isinstance(h, str)]
+        for i, data in zip(firsts, self.whole.of([heads[i] for i in firsts]), strict=True):
+            heads[i] = data
+        split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        known = self.spaced.of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(b"".join(known), "<u4"))
+        flat = memoryview(ids.take(coded.indices).flatten().to_numpy().tobytes())
+        at = np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy(zero_copy_only=False)])))[split.offsets.to_numpy()] * 4
+        return [h + flat[a:b] for h, a, b in zip(heads, at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -93,7 +117,7 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def groups(texts: list[str | None], chars: int = 2_000_000):
+def groups(texts: list[str | None], chars: int = 24_000_000):
     """Runs of texts of about so many characters: what is split at once stays small."""
     start = size = 0
     for i, t in enumerate(texts):
