@@ -1,11 +1,11 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
-Each distinct shingle set has a MinHash signature. A set is posted under coordinate-value pairs; a pair of sets
-above the similarity agrees in at least `matches` coordinates but for a chance below one in a million, so it shares a pair
-within the rarest coordinates - matches + 1 of either (prefix), and pairs that no other set has are skipped. Postings of
-one pair are merged around their most central set: it is held against all others. What then lies in several components
-is held against the rest of its list, block by block. Collisions are counted over whole signatures, pairs below the
-match threshold go, and the others are confirmed on full shingle sets.
+Each distinct shingle set has a MinHash signature. Sets are posted under coordinate-value pairs; two sets above the
+similarity agree in at least t of n coordinates but for a chance below one in a million, so they share one of the n - t + 1
+rarest pairs of either (prefix), and pairs that no other set has are skipped. The postings of a pair are merged around
+their most central set, which is held against all others: collisions are counted over whole signatures, what is below the
+match threshold goes, and the rest is confirmed on full shingle sets. Where a list still lies in several components, these
+are held against each other on full sets, block by block within tasks, so that no table of their pairs is made.
 
 Equal sets are one class from the start, so copies are never paired. Links, classes and components stay in Spark.
 
@@ -32,8 +32,11 @@ from .tokens import groups
 COORDINATES = 64
 #: Standard deviations between the expected matches and the match threshold.
 SAFETY = 5
-#: Sets compared at once in lists of several components.
+#: Coordinates under which sets are posted.
+POSTED = 32
+#: Sets on either side of a comparison within a family, and shingles counted at once there.
 BLOCK = 128
+COLUMNS = 4096
 #: Words whose hash a worker remembers.
 MEMO = 400_000
 _rng = np.random.default_rng(20_240_601)
@@ -42,10 +45,10 @@ OFFSETS = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)
 MIX = _rng.integers(0, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def threshold(percent: int) -> int:
+def threshold(percent: int, coordinates: int) -> int:
     """Coordinates in which sets of this similarity agree, but for a chance below one in a million."""
     j = percent / 100
-    return max(1, math.floor(COORDINATES * j - SAFETY * math.sqrt(COORDINATES * j * (1 - j))))
+    return max(1, math.floor(coordinates * j - SAFETY * math.sqrt(coordinates * j * (1 - j))))
 
 
 class Words(dict):
@@ -118,14 +121,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n_shingles long, node binary, signature array<int>")
 
 
-def postings(classes: DataFrame, matches: int) -> DataFrame:
+def postings(classes: DataFrame, percent: int) -> DataFrame:
     """token, node, central: each class under the rarest coordinate-value pairs that it shares with others."""
     token = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    tokens = classes.select("node", F.posexplode("signature")).select("node", token.alias("token"))
+    tokens = classes.select("node", F.posexplode(F.slice("signature", 1, POSTED))).select("node", token.alias("token"))
     often = stored(tokens.groupBy("token").count().where("count > 1"), "near-frequencies")
     shared = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("shared"))
-    unique = F.lit(COORDINATES) - F.size("shared")
-    prefix = F.slice("shared", 1, F.greatest(F.lit(0), F.lit(COORDINATES - matches + 1) - unique))
+    unique = F.lit(POSTED) - F.size("shared")
+    prefix = F.slice("shared", 1, F.greatest(F.lit(0), F.lit(POSTED - threshold(percent, POSTED) + 1) - unique))
     central = F.aggregate("shared", F.lit(0.0), lambda s, x: s + F.log2(x["count"]))
     return stored(shared.select("node", central.alias("central"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")), "near-postings")
 
@@ -136,42 +139,79 @@ def around_hubs(posts: DataFrame) -> DataFrame:
     return posts.join(hubs, "token").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def across(posts: DataFrame, classes: DataFrame, roots: DataFrame, matches: int) -> DataFrame:
-    """Pairs within a list that lie in different components and agree in enough coordinates; the largest component's members are not paired with each other."""
+def across(posts: DataFrame, texts: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that meet in a list. Around a list's largest component gathers a family: its members in such lists (main) and the others there (rest); each block of the rest is held against each block of either, on full sets, within a task, and links that join components are returned."""
     placed = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("token", "root").count()
-    lists = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    lists = stored(lists.select("token", F.col("top.root").alias("main"), F.col("top.count").alias("n_main"), (F.col("size") - F.col("top.count")).alias("n_rest")), "near-lists")
-    both = placed.join(lists, "token").withColumn("inside", F.col("root") == F.col("main"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts"))
+    lists = stored(lists.where("parts > 1 and size > 2").select("token", F.col("main.root").alias("family")), "near-lists")
+    met = stored(placed.join(lists, "token").select("family", "node", "root").distinct(), "near-families")
+    inside = F.col("root") == F.col("family")
+    of_family = met.groupBy("family").agg(F.count(F.when(inside, 1)).alias("n_main"), F.count(F.when(~inside, 1)).alias("n_rest"))
     many = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), many("n_main")).otherwise(many("n_rest"))).cast("int")
-    both = both.withColumn("block", block).join(classes.select("node", "signature"), "node")
+    both = met.join(of_family, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(inside, many("n_main")).otherwise(many("n_rest"))).cast("int"))
     rest, main = F.sequence(F.lit(0), many("n_rest") - 1), F.sequence(F.lit(0), many("n_main") - 1)
-    # a task holds a block of the rest on the left against a block of the main component or of the rest on the right
-    pair = lambda left, right, is_main, side: F.struct(left.alias("left"), right.alias("right"), F.lit(is_main).alias("to_main"), F.lit(side).alias("side"))
-    of_main = F.transform(rest, lambda i: pair(i, F.col("block"), True, 1))
+    # a comparison holds a block of the rest on the left (side 0) against one of the main component or of the rest (side 1; 2 if it is the same block)
+    fields = lambda left, right, to_main, side: F.struct(left.alias("left"), right.alias("right"), F.lit(to_main).alias("to_main"), side.alias("side"))
+    of_main = F.transform(rest, lambda i: fields(i, F.col("block"), True, F.lit(1)))
+    beside = lambda j: F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1)
     of_rest = F.concat(
-        F.transform(main, lambda j: pair(F.col("block"), j, True, 0)),
-        F.transform(rest, lambda j: pair(F.least("block", j), F.greatest("block", j), False, 0)),
+        F.transform(main, lambda j: fields(F.col("block"), j, True, F.lit(0))),
+        F.transform(rest, lambda j: fields(F.least("block", j), F.greatest("block", j), False, beside(j))),
     )
-    tasks = both.select("token", "node", "root", "signature", "block", F.inline(F.when(F.col("inside"), of_main).otherwise(of_rest)))
-    tasks = tasks.withColumn("side", F.when(F.col("to_main"), F.col("side")).when(F.col("left") == F.col("right"), 2).when(F.col("block") == F.col("left"), 0).otherwise(1))
-
-    def run(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
-        sig = np.array(table.column("signature").to_pylist(), np.int32)
-        side = np.array(table.column("side").to_pylist())
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b = [], []
-        for i in left.tolist():
-            for j in right[(sig[right] == sig[i]).sum(1) >= matches].tolist():
-                if root[i] != root[j] and (side[i] != 2 or i < j):
-                    a.append(min(node[i], node[j]))
-                    b.append(max(node[i], node[j]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    found = tasks.select("token", "left", "right", "to_main", "side", "node", "root", "signature").groupBy("token", "left", "right", "to_main").applyInArrow(run, "a binary, b binary")
-    return found.distinct()
+    key = ["family", "left", "right", "to_main"]
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = both.select("family", "node", "root", F.inline(F.when(inside, of_main).otherwise(of_rest))).join(texts, "node")
+    tasks = tasks.select(*key, "side", "node", "root", "text").repartition(parts, *key).sortWithinPartitions(*key)
+
+    def linked(side: list[int], node: list[bytes], root: list[bytes], text: list[str], words: Words) -> list[tuple[bytes, bytes]]:
+        sets = shingle_sets(text, size, words)
+        lengths = np.array([len(x) for x in sets])
+        rows = np.repeat(np.arange(len(sets)), lengths)
+        _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows, column = rows[often[column] > 1], column[often[column] > 1]
+        left, right = (np.flatnonzero(np.array(side) != x) for x in (1, 0))
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        for start in range(0, len(often), COLUMNS):  # counts of common shingles, some columns at a time
+            a_, b_ = np.searchsorted(column, (start, start + COLUMNS))
+            if a_ < b_:
+                has = np.zeros((len(sets), COLUMNS), np.float32)
+                has[rows[a_:b_], column[a_:b_] - start] = 1
+                common += has[left] @ has[right].T
+        near = 100 * common >= percent * (lengths[left][:, None] + lengths[right][None, :] - common)
+        join, found = {r: r for r in root}, []
+
+        def find(r):
+            while join[r] != r:
+                r = join[r]
+            return r
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = find(root[left[i]]), find(root[right[j]])
+            if x != y:
+                join[max(x, y)] = min(x, y)
+                found.append((node[left[i]], node[right[j]]))
+        return found
+
+    def run(batches):
+        words, held, last = Words(), [], None
+
+        def said(found):
+            return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.binary()) for f in (min, max)], names=["a", "b"])
+
+        for batch in batches:
+            for *where, side, node, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if where != last:
+                    if held:
+                        yield said(linked(*zip(*held, strict=True), words))
+                    held, last = [], where
+                held.append((side, node, root, text))
+        if held:
+            yield said(linked(*zip(*held, strict=True), words))
+
+    return tasks.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def alike(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
@@ -227,20 +267,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: number of shingles, component and whether it is kept. Similarity: shared over all shingles, at least percent / 100."""
-    matches = threshold(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     rows = stored(signatures(docs, size), "near-signatures")
     one_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), one_of.alias("row"), F.first("signature").alias("signature"))
     classes = stored(classes, "near-classes")
-    posts = postings(classes, matches)
+    posts = postings(classes, percent)
     # whole texts of the classes that share postings, one row of each
     wanted = posts.select("node").distinct().join(classes.select("node", "row.doc_id", "row.key"), "node").alias("w")
     texts = docs.alias("d").join(wanted, (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("node", "text")
     texts = stored(texts.dropDuplicates(["node"]), "near-texts")
-    edges = stored(confirmed(alike(around_hubs(posts), classes, matches), texts, size, percent), "near-links")
+    edges = stored(confirmed(alike(around_hubs(posts), classes, threshold(percent, COORDINATES)), texts, size, percent), "near-links")
     roots = components(edges)
-    more = stored(confirmed(across(posts, classes, roots, matches), texts, size, percent), "near-links")
+    more = stored(across(posts, texts, roots, size, percent), "near-links")
     if not more.isEmpty():
         roots = components(edges.union(more))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

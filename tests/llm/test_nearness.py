@@ -74,4 +74,4 @@ def test_empty(no_docs):
 
 
 def test_threshold():
-    assert threshold(85) == 40 and threshold(80) == 35 and threshold(100) == 64
+    assert threshold(85, 64) == 40 and threshold(80, 64) == 35 and threshold(100, 64) == 64
