@@ -9,6 +9,7 @@ from .nearness import near_groups
 from .packing import pack
 from .secrets import scan_secrets
 from .sharding import minimax_shards
+from .toxicity import judged
 from .wavelet import read_shards, write_shards
 
 
@@ -43,9 +44,13 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("node")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op7_toxicity, op10_token_files)}
 ORACLES: dict[str, str] = {}
