@@ -9,6 +9,7 @@ from .nearness import near_groups
 from .packing import pack
 from .secrets import scan_secrets
 from .sharding import minimax_shards
+from .topk import nearest
 from .toxicity import judged
 from .wavelet import read_shards, write_shards
 
@@ -48,9 +49,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op7_toxicity, op10_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op7_toxicity, op9_exact_top_k, op10_token_files)}
+ORACLES = {
+    "op9_exact_top_k": """
+        WITH fine AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM fine q JOIN fine c ON c.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
