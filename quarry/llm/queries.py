@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import told
 from .mixing import taken
 from .nearness import near_groups
 from .packing import pack
@@ -49,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
@@ -57,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op7_toxicity, op9_exact_top_k, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_exact_top_k, op10_token_files)}
 ORACLES = {
     "op9_exact_top_k": """
         WITH fine AS (
