@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .lines import told
+from .media import stored_media
 from .mixing import taken
 from .nearness import near_groups
 from .packing import pack
@@ -42,6 +43,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents"), shards=16, weights=(1, 2, 3), ceiling=3)
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_media(read(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("node")
 
@@ -62,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_exact_top_k, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op5_media_columns, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_exact_top_k, op10_token_files)}
 ORACLES = {
     "op9_exact_top_k": """
         WITH fine AS (
