@@ -284,7 +284,21 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         roots = components(edges.union(more))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = stored(named.select("node", "root").join(ids, "root").select("node", "component_id"), "near-components")
+    of_node = stored(named.select("node", "root").join(ids, "root").select("node", "root", "component_id"), "near-components")
     out = rows.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key", "root")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group: the smallest doc_id, nulls last. Documents without words stay; of rows that are equal in doc_id and text one stays."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = near_groups(docs.select("doc_id", "text"), size, percent).where("root is not null").groupBy("root", "doc_id", "key").count()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    chosen = stored(rows.groupBy("root").agg(F.min(place).alias("row"), F.max("count").alias("most")), "near-chosen")
+    only = chosen.select(F.col("row.doc_id").alias("c_doc"), F.col("row.key").alias("c_key"))
+    kept = keyed.where(~blank).join(only, (F.col("_key") == F.col("c_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("c_doc")), "left_semi")
+    if not chosen.where("most > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key", "doc_id"])
+    return kept.unionByName(keyed.where(blank)).select(*docs.columns)

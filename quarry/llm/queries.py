@@ -48,7 +48,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("node")
+    return near_groups(read(spark, sf_dir, "documents"), size=3, percent=85).drop("key", "root")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
