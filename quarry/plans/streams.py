@@ -1,3 +1,50 @@
-"""Streaming queries run to the end of what there is."""
+"""Streaming queries over the whole events table, run to its end. Sinks and checkpoints lie in the shared folder of the session."""
 
 from __future__ import annotations
+
+import tempfile
+import uuid
+
+from ..streaming import jobs
+from .base import query
+
+
+def folder(spark) -> str:
+    """A new folder below the shared one; a temporary one is set only where the session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run(spark, stream, mode="append"):
+    path = folder(spark)
+    jobs.finished(stream, f"{path}/rows", f"{path}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+RATE = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id, n, [t] AS times, true AS allowed FROM o WHERE n = 1
+          UNION ALL SELECT o.user_id, o.event_id, o.n,
+            CASE WHEN len(list_filter(r.times, lambda x: x > o.t - 14400000000)) < 2 THEN list_append(list_filter(r.times, lambda x: x > o.t - 14400000000), o.t) ELSE list_filter(r.times, lambda x: x > o.t - 14400000000) END,
+            len(list_filter(r.times, lambda x: x > o.t - 14400000000)) < 2
+          FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+    SELECT user_id, event_id, allowed FROM r"""
+
+
+@query(RATE)
+def rate_limit_exact(spark, sf_dir):
+    return run(spark, jobs.limited(jobs.event_stream(spark, sf_dir), most=2, seconds=4 * 3600))
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    return run(spark, jobs.breakers(jobs.event_stream(spark, sf_dir), failures=2, rest=7200, successes=2))
+
+
+@query("SELECT user_id, event_id, event_type FROM events")
+def stream_ingest(spark, sf_dir):
+    path = folder(spark)
+    jobs.ingest(jobs.event_stream(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", "event_id")
+    return spark.read.parquet(f"{path}/table/rows").select("user_id", "event_id", "event_type")
