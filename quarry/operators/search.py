@@ -55,7 +55,7 @@ def fuse_ranks(lists: dict[str, DataFrame], query: str, item: str, k: int = 60,
 def fuse_scores(lists: dict[str, tuple[DataFrame, float]], query: str, item: str, limit: int = 10) -> DataFrame:
     """Weighted sum of scores over the lists."""
     every = reduce(DataFrame.unionByName, (df.select(query, item, (F.col("score") * weight).alias("score")) for df, weight in lists.values()))
-    fused = every.groupBy(query, item).agg(F.round(F.sum("score"), 6).alias("score"))
+    fused = every.groupBy(query, item).agg(F.round(F.sum("score"), 8).alias("score"))
     return top(fused, [query], [F.col("score").desc(), item], limit)
 
 

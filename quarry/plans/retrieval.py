@@ -65,7 +65,7 @@ HALF = "list_cosine_similarity(e[{a}:{b}], query[{a}:{b}])"
 
 @query(f"""
     WITH {CENTROIDS}, {ranked(COSINE, 'DESC', 20, 'c')}, {ranked(f"round({HALF.format(a=1, b=32)}, 6)", 'DESC', 20, 's')}, {ranked(f"round({HALF.format(a=33, b=64)}, 6)", 'DESC', 20, 'k')},
-    f AS (SELECT label, vec_id, round(sum(score), 6) AS score FROM (SELECT label, vec_id, score * 1.0 AS score FROM c UNION ALL SELECT label, vec_id, score * 1.5 FROM s UNION ALL SELECT label, vec_id, score * 1.2 FROM k) GROUP BY label, vec_id)
+    f AS (SELECT label, vec_id, round(sum(score), 8) AS score FROM (SELECT label, vec_id, score * 1.0::DOUBLE AS score FROM c UNION ALL SELECT label, vec_id, score * 1.5::DOUBLE FROM s UNION ALL SELECT label, vec_id, score * 1.2::DOUBLE FROM k) GROUP BY label, vec_id)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 10
 """)
 def facet_fusion(spark, sf_dir):

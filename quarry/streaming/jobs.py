@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, glob: str = "events.parquet", files: int = 100) -> DataFrame:
-    """The events table as a stream of its files."""
-    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(path)
+def event_stream(spark: SparkSession, path: str, glob: str = "events.parque[t]", files: int = 100) -> DataFrame:
+    """The events table as a stream of its files; a glob finds a single file as well as a folder of files."""
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(f"{path}/{glob}")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
