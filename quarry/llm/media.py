@@ -6,7 +6,8 @@ chunk found in several objects is owned by one of them and borrowed by the other
 chunk list and the bytes of the chunks it owns. Reading joins the borrowed chunks back in, puts the list together and
 verifies it against the digest that the list was made with.
 
-Each text is dealt once, by its digest; borrowed chunks alone travel again.
+Texts that have no copy and borrow nothing, by a bitmap of bounded size, are stored where they are read; of the others each is
+dealt once, by its digest, and borrowed chunks travel again. A false hit of the bitmap only moves a text.
 
 Defined cases: a null text counts as empty, and an empty one has one frame of padding; a null doc_id is kept; repeated rows
 read the same object; an empty table gives no rows; other columns are ignored.
@@ -20,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ NAME = b"QMED"
 #: Bytes of a chunk: least, most, and the mask whose bits the gear hash must clear, for an average of about 2 KB.
 LEAST, MOST, MASK = 512, 8_192, np.uint32(0x7FF << 21)
 GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, np.uint32)
+#: Bits of the map that tells which objects may have copies or borrowed chunks; when it fills, more objects travel.
+BITS = 1 << 25
 #: Bytes that the gear hash remembers.
 WINDOW = 32
 
@@ -75,50 +79,90 @@ def chunked(data: bytes) -> list[bytes]:
 
 
 def digest(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=20).digest()
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def key(text: str | None) -> bytes:
+    """Half of the text's SHA-256 names its object."""
+    return hashlib.sha256((text or "").encode()).digest()[:16]
 
 
 def listed(texts: DataFrame) -> DataFrame:
-    """media, number, digest of the chunks of each distinct text."""
+    """media, number, digest of the chunks of each text."""
 
     def run(batches):
         for batch in batches:
-            row, number, digests = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            media_, number, digests = [], [], []
+            for text in batch.column(0).to_pylist():
+                name = key(text)
                 for k, chunk in enumerate(chunked(media(text))):
-                    row.append(i)
+                    media_.append(name)
                     number.append(k)
                     digests.append(digest(chunk))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(digests, pa.binary())], names=["media", "number", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(media_, pa.binary()), pa.array(number, pa.int32()), pa.array(digests, pa.binary())], names=["media", "number", "digest"])
+
+    return texts.select("text").mapInArrow(run, "media binary, number int, digest binary")
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits at the hashes of all keys (key binary): BITS of them, whatever the input; Spark builds it and the driver gets it whole."""
+    at = F.pmod(F.xxhash64("key"), F.lit(BITS)) + 1  # the functions count from 1
+    parts = keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for bucket, bits in parts.collect():  # at most BITS / 32768 rows of 4 KB
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def stored_row(text: str | None, absent: set[int]) -> tuple:
+    data = media(text)
+    parts = chunked(data)
+    return key(text), hashlib.sha256(data).hexdigest(), [digest(p) for p in parts], [None if k in absent else p for k, p in enumerate(parts)], sorted(absent)
+
 
-    return texts.select("media", "text").mapInArrow(run, "media binary, number int, digest binary")
+STORE = "media binary, sha256 string, digests array<binary>, own array<binary>, borrowed array<int>"
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["media", "sha256", "digests", "own", "borrowed"])
 
 
 def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with the key of their object; and the store: media, sha256 of the object, chunk list, own chunks, numbers of borrowed chunks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("media"), text.alias("text"))
-    # digests first: which chunks several objects hold, and who owns them
-    chunks = stored(listed(keyed).distinct(), "media-chunks")
-    shared = chunks.groupBy("digest").agg(F.min(F.struct("media", "number")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    borrowed = chunks.join(stored(shared, "media-shared"), "digest").where(F.struct("media", "number") != F.col("owner"))
-    lists = borrowed.groupBy("media").agg(F.collect_list("number").alias("borrowed"))
-    # every distinct text comes to its list of borrowed chunks
-    once = keyed.groupBy("media").agg(F.min("text").alias("text")).join(lists, "media", "left")
+    texts = docs.select(text.alias("text"))
+    # digests first: which chunks several objects hold, who owns them, and which objects several documents have
+    found = stored(listed(texts), "media-chunks")
+    spot = F.struct("media", "number")
+    shared = found.groupBy("digest").agg(F.min(spot).alias("owner"), F.max(spot).alias("last")).where("owner != last").select("digest", "owner")
+    shared = stored(shared, "media-shared")
+    copies = found.where("number = 0").groupBy("media").count().where("count > 1")
+    lists = stored(found.join(shared, "digest").where(spot != F.col("owner")).groupBy("media").agg(F.collect_set("number").alias("borrowed")), "media-lists")
+    bits = bitmap(copies.select(F.col("media").alias("key")).union(lists.select("media")))
+
+    def doubtful(text_: str) -> bool:
+        h = xxhash.xxh64_intdigest(key(text_), seed=42) % BITS
+        return bool(bits[h >> 3] >> (h & 7) & 1)
+
+    def alone(batches):
+        for batch in batches:
+            yield as_batch([stored_row(t, set()) for t in batch.column(0).to_pylist() if not doubtful(t)])
 
-    def run(batches):
+    def others(batches):
         for batch in batches:
-            rows = []
-            for key, text_, absent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, absent = media(text_), set(absent or ())
-                parts = chunked(data)
-                own = [None if k in absent else p for k, p in enumerate(parts)]
-                rows.append((key, hashlib.sha256(data).hexdigest(), [digest(p) for p in parts], own, sorted(absent)))
-            kinds = (pa.binary(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["media", "sha256", "digests", "own", "borrowed"])
-
-    store = once.select("media", "text", "borrowed").mapInArrow(run, "media binary, sha256 string, digests array<binary>, own array<binary>, borrowed array<int>")
-    return keyed.select("doc_id", "media"), stored(store, "media-store")
+            keep = [t for t in batch.column(0).to_pylist() if doubtful(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([key(t) for t in keep], pa.binary()), pa.array(keep, pa.string())], names=["media", "text"])
+
+    def joined(batches):
+        for batch in batches:
+            yield as_batch([stored_row(t, set(b or ())) for t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+
+    # objects of one document that own all their chunks are stored where they are read; each of the others comes once to its list
+    once = texts.mapInArrow(others, "media binary, text string").groupBy("media").agg(F.min("text").alias("text")).join(lists, "media", "left")
+    parts = [stored(texts.mapInArrow(alone, STORE), "media-store"), stored(once.select("text", "borrowed").mapInArrow(joined, STORE), "media-store")]
+    of = docs.select("doc_id", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("media"))
+    return of, parts[0].union(parts[1])
 
 
 def read_store(store: DataFrame) -> DataFrame:

@@ -51,3 +51,13 @@ def test_damage_is_found(spark):
     bad = store.selectExpr("media", "sha256", "digests", "transform(own, x -> cast('zzz' as binary)) as own", "borrowed")
     with pytest.raises(Exception, match="isn't what was stored"):
         read_store(bad).collect()
+
+
+def test_bitmap_has_all_keys(spark):
+    import xxhash
+    from quarry.llm.media import BITS, bitmap
+
+    keys = [bytes([i % 256, i // 256, 7]) for i in range(3000)]
+    bits = bitmap(spark.createDataFrame([(k,) for k in keys], "key binary"))
+    assert all(bits[(h := xxhash.xxh64_intdigest(k, seed=42) % BITS) >> 3] >> (h & 7) & 1 for k in keys)
+    assert 2990 <= int(np.bitwise_count(bits).sum()) <= 3000
