@@ -44,11 +44,11 @@ class WaveletMatrix:
         at = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros = [], []
         for bit in range(width - 1, -1, -1):
-            ones = (at & at.dtype.type(1 << bit)).astype(bool)
-            low = at[~ones]
+            ones = (at >> at.dtype.type(bit) & at.dtype.type(1)).astype(bool)
+            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             planes.append(np.packbits(ones))
             zeros.append(len(low))
-            at = np.concatenate((low, at[ones]))
+            at = np.concatenate((at.take(low), at.take(high)))
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -57,8 +57,8 @@ class WaveletMatrix:
         for bit, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             ones = np.unpackbits(plane, count=self.n).view(bool)
             back = np.empty_like(at)
-            back[~ones] = at[:zeros]
-            back[ones] = at[zeros:] | at.dtype.type(1 << bit)
+            back[np.flatnonzero(~ones)] = at[:zeros]
+            back[np.flatnonzero(ones)] = at[zeros:] | at.dtype.type(1 << bit)
             at = back
         return at
 
