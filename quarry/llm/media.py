@@ -120,6 +120,13 @@ def stored_row(text: str | None, absent: set[int]) -> tuple:
     return key(text), hashlib.sha256(data).hexdigest(), [digest(p) for p in parts], [None if k in absent else p for k, p in enumerate(parts)], sorted(absent)
 
 
+def slices(batches, rows: int = 1_000):
+    """Batches in parts: what a part becomes is held only once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 STORE = "media binary, sha256 string, digests array<binary>, own array<binary>, borrowed array<int>"
 
 
@@ -146,7 +153,7 @@ def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return bool(bits[h >> 3] >> (h & 7) & 1)
 
     def alone(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield as_batch([stored_row(t, set()) for t in batch.column(0).to_pylist() if not doubtful(t)])
 
     def others(batches):
@@ -155,7 +162,7 @@ def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array([key(t) for t in keep], pa.binary()), pa.array(keep, pa.string())], names=["media", "text"])
 
     def joined(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield as_batch([stored_row(t, set(b or ())) for t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
     # objects of one document that own all their chunks are stored where they are read; each of the others comes once to its list
@@ -177,7 +184,7 @@ def read_store(store: DataFrame) -> DataFrame:
     ready = whole.unionByName(joined).select("media", "sha256", "digests", "own", "brought")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, sha256, digests, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 other = dict(other or ())
