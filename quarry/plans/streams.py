@@ -38,7 +38,22 @@ def rate_limit_exact(spark, sf_dir):
     return run(spark, jobs.limited(jobs.event_stream(spark, sf_dir), most=2, seconds=4 * 3600))
 
 
-@query()
+BREAKER = """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type = 'error' AS bad, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, 'closed' AS condition, 0 AS failed, 0 AS passed, CAST(0 AS BIGINT) AS opened FROM events
+          UNION ALL SELECT user_id, event_id, n,
+            CASE WHEN trips THEN 'open' WHEN NOT bad AND now = 'half_open' AND passed + 1 >= 2 THEN 'closed' ELSE now END,
+            CASE WHEN now = 'open' THEN failed WHEN trips THEN 0 WHEN bad THEN failed + 1 WHEN now = 'half_open' AND passed + 1 < 2 THEN failed ELSE 0 END,
+            CASE WHEN NOT bad AND now = 'half_open' THEN passed + 1 ELSE passed END,
+            CASE WHEN trips THEN t ELSE opened END
+          FROM (SELECT *, now <> 'open' AND bad AND (now = 'half_open' OR failed + 1 >= 2) AS trips
+                FROM (SELECT o.user_id, o.event_id, o.n, o.bad, o.t, r.failed, r.opened,
+                        CASE WHEN r.condition = 'open' AND o.t - r.opened >= 7200000000 THEN 'half_open' ELSE r.condition END AS now,
+                        CASE WHEN r.condition = 'open' AND o.t - r.opened >= 7200000000 THEN 0 ELSE r.passed END AS passed
+                      FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)))
+    SELECT user_id, event_id, condition FROM r WHERE n > 0"""
+
+
+@query(BREAKER)
 def circuit_breaker(spark, sf_dir):
     return run(spark, jobs.breakers(jobs.event_stream(spark, sf_dir), failures=2, rest=7200, successes=2))
 
