@@ -150,7 +150,18 @@ def chunk_hierarchical(spark, sf_dir):
     return C.hierarchical(docs(spark, sf_dir))
 
 
-@query()
+LATE = r"""WITH RECURSIVE s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+    t AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS n, len(parts) AS total FROM s),
+    c AS (SELECT *, len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> '')) AS words FROM t),
+    r AS (SELECT doc_id, n, total, words AS held, CAST(0 AS BIGINT) AS span, words >= 256 AS full_ FROM c WHERE n = 1
+          UNION ALL SELECT c.doc_id, c.n, c.total, CASE WHEN r.full_ THEN c.words ELSE r.held + c.words END, r.span + CASE WHEN r.full_ THEN 1 ELSE 0 END, CASE WHEN r.full_ THEN c.words ELSE r.held + c.words END >= 256
+          FROM r JOIN c ON c.doc_id = r.doc_id AND c.n = r.n + 1),
+    p AS (SELECT doc_id, span, string_agg(sentence, ' ' ORDER BY n) AS content FROM r JOIN c USING (doc_id, n) GROUP BY doc_id, span),
+    k AS (SELECT *, len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) AS n_words FROM p)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY span) - 1 AS chunk_index, n_words, content FROM k WHERE n_words >= 64"""
+
+
+@query(LATE)
 def chunk_late(spark, sf_dir):
     return C.late(docs(spark, sf_dir))
 
