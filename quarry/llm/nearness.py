@@ -38,7 +38,7 @@ POSTED = 32
 BLOCK = 128
 COLUMNS = 4096
 #: Words whose hash a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 _rng = np.random.default_rng(20_240_601)
 FACTORS = _rng.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct stretches that a worker remembers.
-MEMO = 1_600_000
+MEMO = 800_000
 #: A space between two other white-space characters, or at the end behind one: no word boundary lies before it.
 INNER = re.compile(r"\s (?:\s|\Z)")
 #: Before a space between two other characters there is always a boundary.
@@ -117,7 +117,7 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def groups(texts: list[str | None], chars: int = 24_000_000):
+def groups(texts: list[str | None], chars: int = 12_000_000):
     """Runs of texts of about so many characters: what is split at once stays small."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -85,7 +85,7 @@ class Model:
             ids = memo.get(w)
             if ids is None:
                 ids = tuple(self.terms[t] for t in (w, "^" + w[:HEAD]) if t in self.terms)
-                if len(memo) > 400_000:
+                if len(memo) > 200_000:
                     memo.clear()
                 memo[w] = ids
             if ids:
