@@ -1,18 +1,27 @@
-"""Removal of repeated runs of lines by content-defined chunks.
+"""Removal of repeated runs of lines.
 
-A rolling hash over the hashes of neighbouring lines ends chunks, so the chunks of a passage are the same wherever it stands
-but for its first and last. Chunks of several lines that occur more than once anywhere, by digest, are compared byte by byte
-with their first occurrence (by doc_id, text and position); all but the first are cut out.
+told() takes every pair of neighbouring lines: a line goes if it stands in a pair that isn't the first of its kind, so each
+repeated run of two lines and more goes from end to end, whatever stands around it, and each distinct line stays somewhere.
+A later pair that overlaps its first one (a line three times in a row) takes only the line beyond it; blank lines between lines
+that go, go too; pairs of blank lines and repeated single lines stay.
 
-The texts are dealt once, to bring each document its list of repeated chunks; digests and the repeated chunks travel alone.
+without_repeats() takes content-defined chunks instead: a rolling hash over the hashes of neighbouring lines ends chunks, so the
+chunks of a passage are the same wherever it stands but for its first and last, which stay, as short passages mostly do.
 
-Defined cases: null and empty texts, and texts of one line, have no chunks; a null doc_id sorts last; rows that are equal in
+Pieces (pairs or chunks) that occur more than once anywhere, by digest, are compared byte by byte with their first occurrence
+(by doc_id, text and position); all but the first are cut out. The texts are dealt once, to bring each document its list of
+repeated pieces; digests and the repeated pieces travel alone.
+
+Defined cases: null and empty texts, and texts of one line, have no pieces; a null doc_id sorts last; rows that are equal in
 doc_id and text are one document and are rewritten alike; a document that loses all lines keeps its row with an empty text;
 blank chunks stay; an empty table gives no rows; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import groupby
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,14 +59,44 @@ def counted(chunk: str) -> bool:
     return "\n" in chunk and not chunk.isspace()
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc, key, chunk, digest of all chunks of several lines."""
+def pairs(text: str | None) -> list[str]:
+    """All pairs of neighbouring lines of a text, by their first line."""
+    lines = (text or "").split("\n")
+    return [a + "\n" + b for a, b in zip(lines, lines[1:])]
+
+
+def chunks_left(text: str, gone: set[int]) -> tuple[list[str], int, int]:
+    """Chunks that stay, number of all, number of those that go."""
+    parts = chunks(text)
+    return [p for k, p in enumerate(parts) if k not in gone], len(parts), len(gone)
+
+
+def lines_left(text: str, gone: set[int]) -> tuple[list[str], int, int]:
+    """Lines that stay without the pairs that go, number of stretches of lines that stay or go, number of those that go."""
+    lines = text.split("\n")
+    out = [False] * len(lines)
+    for k in gone:
+        out[k + 1] = True
+        if k - 1 in gone or not k or not lines[k - 1] == lines[k] == lines[k + 1]:
+            out[k] = True
+    at = 0
+    for blank, some in groupby(lines, lambda x: not x or x.isspace()):
+        end = at + len(list(some))
+        if blank and at and end < len(lines) and out[at - 1] and out[end]:
+            out[at:end] = [True] * (end - at)
+        at = end
+    stretches = [x for x, _ in groupby(out)]
+    return [x for x, o in zip(lines, out) if not o], len(stretches), sum(stretches)
+
+
+def digests(docs: DataFrame, pieces: Callable) -> DataFrame:
+    """doc, key, chunk, digest of all pieces of several lines."""
 
     def run(batches):
         for batch in batches:
             row, number, digest = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for k, chunk in enumerate(chunks(text)):
+                for k, chunk in enumerate(pieces(text)):
                     if counted(chunk):
                         row.append(i)
                         number.append(k)
@@ -68,11 +107,11 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("_doc", "_key", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, key long, chunk int, digest binary")
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """docs with their repeated chunks cut out, and _lines, _chunks, _cut and _kept_lines."""
+def cut(docs: DataFrame, pieces: Callable, left: Callable) -> DataFrame:
+    """docs with their repeated pieces cut out, and _lines, _chunks, _cut and _kept_lines."""
     names = docs.columns
     docs = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")})
-    found = stored(digests(docs), "line-chunks")
+    found = stored(digests(docs, pieces), "line-chunks")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "chunk")
     repeated = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("digest", "first")
     listed = found.join(stored(repeated, "line-repeated"), "digest").groupBy("doc", "key").agg(F.collect_set(F.struct("chunk", "digest", (place == F.col("first")).alias("is_first"))).alias("_list"))
@@ -83,7 +122,7 @@ def cut(docs: DataFrame) -> DataFrame:
         for batch in batches:
             table: list[tuple] = []
             for doc, key, text, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = chunks(text)
+                parts = pieces(text)
                 table += [(doc, key, x["chunk"], x["digest"], x["is_first"], parts[x["chunk"]]) for x in several]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)], names=["doc", "key", "chunk", "digest", "is_first", "part"])
@@ -101,10 +140,11 @@ def cut(docs: DataFrame) -> DataFrame:
         for batch in batches:
             table = []
             for text, out_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts_, out_ = chunks(text), set(out_ or ())
-                kept = [p for k, p in enumerate(parts_) if k not in out_]
-                lines = 0 if text is None else text.count("\n") + 1
-                table.append(("\n".join(kept) if out_ else text, lines, len(parts_) if text is not None else 0, len(out_), sum(p.count("\n") + 1 for p in kept) if text is not None else 0))
+                if text is None:
+                    table.append((None, 0, 0, 0, 0))
+                    continue
+                kept, parts_, gone_ = left(text, set(out_ or ()))
+                table.append(("\n".join(kept) if out_ else text, text.count("\n") + 1, parts_, gone_, sum(p.count("\n") + 1 for p in kept)))
             kinds = (pa.string(), *[pa.int64()] * 4)
             done = [pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *done], names=[*batch.schema.names[2:], "_new", "_lines", "_chunks", "_cut", "_kept_lines"])
@@ -119,12 +159,12 @@ def cut(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with their repeated runs of lines cut out."""
-    return cut(docs).select(*docs.columns)
+    """docs with their repeated chunks of lines cut out."""
+    return cut(docs, chunks, chunks_left).select(*docs.columns)
 
 
 def told(docs: DataFrame) -> DataFrame:
-    """Per document: lines, chunks, chunks cut out, lines kept, and the checksum of what is left."""
-    return cut(docs.select("doc_id", "text")).select(
+    """Per document: lines, stretches of lines that stay or go, stretches cut out, lines kept, and the checksum of what is left."""
+    return cut(docs.select("doc_id", "text"), pairs, lines_left).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_chunks").alias("n_chunks"), F.col("_cut").alias("n_removed"), F.col("_kept_lines").alias("n_kept_lines"), F.crc32(F.coalesce("text", F.lit(""))).alias("kept_crc32")
     )
