@@ -22,8 +22,8 @@ def split_words(text: C) -> Column:
 
 
 def sparse_tokens(text: C, stop=None) -> Column:
-    """Lower-case alphanumeric runs of the first 100,000 characters, without stop words and numbers."""
-    found = F.regexp_extract_all(F.lower(F.substring(text, 1, 100_000)), F.lit(r"(?U)(\w+)"), F.lit(1))
+    """Lower-case alphanumeric runs of the whole text, without stop words and numbers."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
     stop = strings(lists.SPARSE_STOP) if stop is None else stop
     return F.filter(found, lambda t: ~F.array_contains(stop, t) & ~t.rlike(r"^\d+$"))
 
