@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lists
 
@@ -39,6 +42,12 @@ def content_words(text: C) -> Column:
     return F.array_except(F.array_distinct(F.filter(words, lambda w: w.rlike("^[a-z]{3,}$"))), strings(lists.CONTENT_STOP))
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode's compatibility composition."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def plain_marks(text: Column) -> Column:
     """Quotes, dashes, ellipsis and invisible characters in ASCII."""
     return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), lists.QUOTES.items(), text)

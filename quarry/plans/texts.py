@@ -79,16 +79,27 @@ def clean_headers(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(lines).alias("n_kept"), (F.size(F.split("text", "\n")) - F.size(lines)).alias("n_stripped"), F.md5(F.array_join(lines, "\n")).alias("clean_md5"))
 
 
+def cleaned(nfkc):
+    """Marks, white space, page furniture and personal data of an NFKC text in order."""
+    lines = F.array_join(T.kept_lines(T.clean_whitespace(T.plain_marks(nfkc))), "\n")
+    return F.regexp_replace(T.redact(lines), r"^\s+|\s+$", "")
+
+
 @query(f"""WITH a AS (SELECT doc_id, text AS original, array_to_string({kept(f"({WHITE})")}, chr(10)) AS text FROM documents),
     b AS (SELECT doc_id, original, regexp_replace({REDACTED}, '^\\s+|\\s+$', '', 'g') AS clean FROM a)
     SELECT doc_id, length(original) AS n_original, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM b""")
 def clean_pipeline(spark, sf_dir):
-    """Marks, white space, page furniture and personal data in order, with an audit; the test table has no marks to replace that SQL treats otherwise."""
-    lines = F.array_join(T.kept_lines(T.clean_whitespace(F.col("text"))), "\n")
-    clean = F.regexp_replace(T.redact(lines), r"^\s+|\s+$", "")
+    """cleaned() over documents; SQL has neither NFKC nor marks, which no document of the test tables needs."""
+    clean = cleaned(T.nfkc("text"))
     return docs(spark, sf_dir).select("doc_id", F.length("text").alias("n_original"), F.length(clean).alias("n_clean"), F.md5(clean).alias("clean_md5"))
 
 
+@query()
+def clean_nfkc(spark, sf_dir):
+    plain = T.plain_marks(T.nfkc("text"))
+    return docs(spark, sf_dir).select("doc_id", F.length(plain).alias("n_plain"), F.md5(plain).alias("plain_md5"))
+
+
 @query(f"SELECT doc_id, md5({''.join('replace(' for _ in lists.QUOTES)}text{''.join(f', chr({ord(a)}), {literal(b)})' for a, b in lists.QUOTES.items())}) AS plain_md5 FROM documents")
 def clean_marks(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.plain_marks(F.col("text"))).alias("plain_md5"))

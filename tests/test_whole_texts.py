@@ -1,7 +1,10 @@
 """Cases beyond the test tables."""
 
+import hashlib
+
 from quarry.functions import text as T
 from quarry.operators import search as S
+from quarry.plans.registry import QUERIES
 
 
 def test_terms_after_100000_characters(spark):
@@ -12,3 +15,17 @@ def test_terms_after_100000_characters(spark):
     assert got == {(1, ids["early"]): 20_000, (1, ids["tail"]): 2, (2, ids["tail"]): 1}
     queries = spark.createDataFrame([(7, "tail")], "item_id long, text string")
     assert [(r.doc_id, r.score) for r in S.sparse_scores(queries, docs, "item_id", "doc_id", 10).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+
+
+MARKED = "﻿The oﬃce  of “A”—it’s​ here…  \n１２\nmail bob＠example.com now."
+PLAIN = "The office  of \"A\"-it's here...  \n12\nmail bob@example.com now."
+CLEAN = "The office of \"A\"-it's here...\nmail [REDACTED_EMAIL] now."
+
+
+def test_marks_are_plain_before_other_cleaning(spark, tmp_path):
+    spark.createDataFrame([(1, MARKED), (2, PLAIN), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = {r.doc_id: (r.n_original, r.n_clean, r.clean_md5) for r in QUERIES["clean_pipeline"](spark, str(tmp_path)).collect()}
+    assert got == {1: (len(MARKED), len(CLEAN), md5(CLEAN)), 2: (len(PLAIN), len(CLEAN), md5(CLEAN)), 3: (None, None, None)}
+    got = {r.doc_id: (r.n_plain, r.plain_md5) for r in QUERIES["clean_nfkc"](spark, str(tmp_path)).collect()}
+    assert got == {1: (len(PLAIN), md5(PLAIN)), 2: (len(PLAIN), md5(PLAIN)), 3: (None, None)}
