@@ -1,7 +1,7 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
 Each distinct shingle set has a MinHash signature. Sets are posted under coordinate-value pairs; two sets above the
-similarity agree in at least t of n coordinates but for a chance below one in a million, so they share one of the n - t + 1
+similarity agree in at least t of n coordinates but for a chance of up to 4 in a million, so they share one of the n - t + 1
 rarest pairs of either (prefix), and pairs that no other set has are skipped. The postings of a pair are merged around
 their most central set, which is held against all others: collisions are counted over whole signatures, what is below the
 match threshold goes, and the rest is confirmed on full shingle sets. Where a list still lies in several components, these
@@ -46,7 +46,7 @@ MIX = _rng.integers(0, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def threshold(percent: int, coordinates: int) -> int:
-    """Coordinates in which sets of this similarity agree, but for a chance below one in a million."""
+    """Coordinates in which sets of this similarity agree, but for a chance of up to 4 in a million at 80 and 85 percent of 32 and 64."""
     j = percent / 100
     return max(1, math.floor(coordinates * j - SAFETY * math.sqrt(coordinates * j * (1 - j))))
 
