@@ -22,8 +22,13 @@ def relevance(answer: Column, query: Column, expected: Column) -> Column:
     return F.when(F.size(query) == 0, 0.5).otherwise(F.least(F.lit(1.0), 0.4 * of_query + 0.6 * of_expected))
 
 
-def coverage(answer: Column, expected: Column) -> Column:
-    return F.coalesce(share(answer, expected), F.lit(0.5))
+def coverage(answer: Column, expected: Column, answer_text: Column | None = None, expected_text: Column | None = None) -> Column:
+    """Share of the expected words that the answer has; half if none are known. An empty answer covers nothing, and where nothing is expected all is covered."""
+    blank = lambda t: F.length(F.trim(F.coalesce(t, F.lit("")))) == 0
+    c = F.coalesce(share(answer, expected), F.lit(0.5))
+    if expected_text is not None:
+        c = F.when(blank(expected_text), 1.0).otherwise(c)
+    return F.when(blank(answer_text), 0.0).otherwise(c) if answer_text is not None else c
 
 
 def failure(faithful: Column, relevant: Column, covered: Column, latency_ms: Column, recall: Column) -> Column:

@@ -48,9 +48,26 @@ READS = "SELECT WITH EXPLAIN DESCRIBE SHOW".split()
 UNSAFE_SQL = [r"--", r"/\*", r";\s*\w", r"(?i)'\s*OR\s+'", r"(?i)UNION\s+SELECT", r"(?i)xp_\w+"]
 
 # fixed values: characters that text cleaning replaces
-QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " ", "​": "", "﻿": ""}
+QUOTES = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2026": "...", "\u00a0": " ", "\u200b": "", "\ufeff": ""}
+
+# fixed values: ligatures and furniture of page layouts
+LIGATURES = {"\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
+BOILERPLATE = [r"^\d+$", r"^Page \d+$", r"^Page \d+ of \d+$", r"CONFIDENTIAL", r"DO NOT DISCLOSE", r"INTERNAL USE ONLY"]
+
+# fixed values: what answers without or with weak sources say
+NO_SOURCES = "I could not find relevant sources to answer this question confidently. Try rephrasing your query or uploading additional documents."
+LOW_CONFIDENCE = ("\u26a0\ufe0f Low confidence (", "): ", "\n\nThe retrieved documents may not be highly relevant to your question.")
+
+#: Function words of other languages, chosen here for sparse vectors.
+STOP_BY_LANG = {
+    "de": "aber als am an auch auf aus bei bis das dass dem den der des die ein eine einem einen einer er es für hat ich im in ist mit nach nicht oder sie sich sind so und von vor war wie wir zu zum zur".split(),
+    "fr": "à au aux avec ce ces dans de des du elle en et il ils je la le les leur lui mais me ne nous on ou où par pas pour qu que qui sa se ses son sur un une vous".split(),
+    "es": "a al como con de del el ella en entre es esta este ha la las lo los más me mi no o para pero por que se sin sobre su sus un una y ya".split(),
+}
 
 # fixed values: tokens a day by tier, and dollars per million tokens in and out by model
 DAILY_TOKENS = {"free": 50_000, "standard": 200_000, "pro": 500_000, "premium": 2_000_000, "enterprise": 5_000_000}
 PRICES = {"gpt-4o": (2.50, 10.0), "gpt-4o-mini": (0.15, 0.60), "gpt-4-turbo": (10.0, 30.0), "claude-3-5-sonnet": (3.0, 15.0), "claude-3-haiku": (0.25, 1.25), "noop-llm-v1": (0.0, 0.0)}
 OTHER_PRICE = (5.0, 15.0)
+# fixed values: dollars per million tokens in and out by model, where usage is summed by model
+MODEL_PRICES = {"amazon.titan-embed-text-v2:0": (0.02, 0.0), "text-embedding-3-small": (0.02, 0.0), "text-embedding-3-large": (0.13, 0.0), "anthropic.claude-3-5-sonnet-20241022-v2:0": (3.0, 15.0), "gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "noop-llm-v1": (0.0, 0.0)}

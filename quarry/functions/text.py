@@ -31,6 +31,12 @@ def sparse_tokens(text: C, stop=None) -> Column:
     return F.filter(found, lambda t: ~F.array_contains(stop, t) & ~t.rlike(r"^\d+$"))
 
 
+def stop_words(lang: Column) -> Column:
+    """The stop words of a language; those of English where there is no list."""
+    table = F.create_map(*(x for k, words in lists.STOP_BY_LANG.items() for x in (F.lit(k), strings(words))))
+    return F.coalesce(F.try_element_at(table, lang), strings(lists.SPARSE_STOP))
+
+
 def token_id(token: C) -> Column:
     """The first eight bytes of the token's SHA-256, modulo a prime."""
     return (F.conv(F.substring(F.sha2(token, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(1_000_000_007)).cast("long")
@@ -60,16 +66,13 @@ def clean_whitespace(text: Column, most_newlines: int = 3) -> Column:
     return F.regexp_replace(text, r"\n{%d,}" % (most_newlines + 1), "\n" * most_newlines)
 
 
-def kept_lines(text: C) -> Column:
-    """Lines that are neither page numbers nor page furniture."""
+#: A line of page furniture: a page number, one of three words, or at most one character that ends no sentence.
+FURNITURE = r"(?is)^\s*(?:(?:Page )?\d+(?: of \d+)?|confidential|draft|internal|[^.!?:;,\s]?)\s*$"
 
-    def keep(line: Column) -> Column:
-        s = F.regexp_replace(line, r"^\s+|\s+$", "")
-        number = s.rlike(r"(?i)^\s*(Page )?\d+( of \d+)?\s*$") | s.rlike(r"^\d{1,5}$")
-        furniture = (F.length(s) < 2) | F.lower(s).isin("confidential", "draft", "internal") | s.rlike(r"^\d+$")
-        return ~number & (~furniture | s.rlike(r"[.!?:;,]$"))
 
-    return F.filter(F.split(text, "\n"), keep)
+def kept_lines(text: C) -> Column:
+    """Lines that are neither page numbers nor page furniture; one pattern a line."""
+    return F.filter(F.split(text, "\n"), lambda line: ~line.rlike(FURNITURE))
 
 
 def clean_urls(text: C) -> Column:
@@ -86,9 +89,14 @@ def pii_count(text: C, kind: str) -> Column:
     return F.regexp_count(text, F.lit(java(lists.PII[kind])))
 
 
+#: Kinds that no text without a digit has.
+WITH_DIGITS = {"ssn", "phone_us", "passport", "date_of_birth", "drivers_license", "medical_record", "credit_card", "iban", "ip_address", "aws_arn"}
+
+
 def redact(text: Column) -> Column:
-    """Personal data replaced, one kind after the other."""
-    return reduce(lambda t, k: F.regexp_replace(t, java(lists.PII[k]), f"[REDACTED_{k.upper()}]"), lists.PII, text)
+    """Personal data replaced, one kind after the other; texts without digits meet only the patterns that need none."""
+    chain = lambda kinds: reduce(lambda t, k: F.regexp_replace(t, java(lists.PII[k]), f"[REDACTED_{k.upper()}]"), kinds, text)
+    return F.when(text.rlike(r"(?U)\d"), chain(lists.PII)).otherwise(chain([k for k in lists.PII if k not in WITH_DIGITS]))
 
 
 def pii_kinds(text: C) -> Column:
@@ -96,6 +104,16 @@ def pii_kinds(text: C) -> Column:
     return F.filter(F.array(*(F.when(F.col(text).rlike(java(p)) if isinstance(text, str) else text.rlike(java(p)), k) for k, p in lists.PII.items())), lambda k: k.isNotNull())
 
 
+def cache_key(team: Column, namespace: Column, key: Column) -> Column:
+    """What a cached value is stored under: teams and namespaces never meet."""
+    return F.sha2(F.concat_ws(":", team, namespace, key), 256)
+
+
+def query_key(query: Column) -> Column:
+    """A short key of a query, whatever its case and the white space around it."""
+    return F.substring(F.sha2(F.lower(F.regexp_replace(query, r"^\s+|\s+$", "")), 256), 1, 16)
+
+
 def any_of(text: Column, patterns, flags: str = "(?i)") -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(flags + p) for p in patterns))
 
@@ -107,12 +125,27 @@ def rail(query: Column, namespace: Column | None = None, allowed=()) -> Column:
     return why.when(~namespace.isin(*allowed), "namespace") if allowed and namespace is not None else why
 
 
-def safe_answer(answer: Column, confidence: Column) -> Column:
-    """Output rails in order: length, confidence, personal data, leaks."""
-    answer = F.when(F.length(answer) > 10_000, F.concat(F.substring(answer, 1, 10_000), F.lit("\n\n[Response truncated]"))).otherwise(answer)
-    warned = F.concat(F.lit("Low confidence: "), answer)
-    answer = F.when(confidence.isNull(), F.lit("No relevant sources were found.")).when(confidence < 0.3, warned).otherwise(answer)
-    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p, "[REDACTED]"), lists.LEAKS, redact(answer))
+def gated(answer: Column, confidence: Column, least: float = 0.3) -> Column:
+    """An answer behind a warning with its mean confidence where that is low, or what is said where there are no sources (null)."""
+    share = F.format_string("%.0f%%", F.coalesce(confidence, F.lit(0.0)) * 100)
+    warned = F.concat(F.lit(lists.LOW_CONFIDENCE[0]), share, F.lit(lists.LOW_CONFIDENCE[1]), answer, F.lit(lists.LOW_CONFIDENCE[2]))
+    return F.when(confidence.isNull(), F.lit(lists.NO_SOURCES)).when(confidence < least, warned).otherwise(answer)
+
+
+#: Output rails by name; each is a function of the answer and its confidence.
+RAILS = {
+    "response_length": lambda a, c: F.when(F.length(a) > 10_000, F.concat(F.substring(a, 1, 10_000), F.lit("\n\n[Response truncated]"))).otherwise(a),
+    "confidence_gate": gated,
+    "output_pii_redaction": lambda a, c: redact(a),
+    "blocked_pattern": lambda a, c: reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p, "[REDACTED]"), lists.LEAKS, a),
+}
+
+
+def railed(rows, answer: str, confidence: Column, rails=tuple(RAILS)):
+    """rows with the answer column behind the output rails of these names, in this order; one projection each."""
+    for name in rails:
+        rows = rows.withColumn(answer, RAILS[name](F.col(answer), confidence))
+    return rows
 
 
 def sql_refusal(query: Column) -> Column:
@@ -128,6 +161,23 @@ def complexity(query: Column) -> Column:
     return F.when((F.size(words) > 30) | hop, "complex").when((F.size(words) < 8) & ~why, "simple").otherwise("moderate")
 
 
+def complexity_by_length(query: Column) -> Column:
+    """The rule of hosted models: by characters alone."""
+    return F.when(F.length(query) < 50, "simple").when(F.length(query) < 200, "moderate").otherwise("complex")
+
+
+def unwrapped(text: Column) -> Column:
+    """Text of a page layout: ligatures, words broken at line ends and white space in order."""
+    plain = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), lists.LIGATURES.items(), text)
+    joined = F.regexp_replace(plain, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
+    return F.regexp_replace(F.regexp_replace(joined, r"(?U)\s+", " "), r"^ | $", "")
+
+
+def boilerplate(text: Column) -> Column:
+    """Whether a block says by itself that it is page furniture."""
+    return any_of(text, lists.BOILERPLATE)
+
+
 def query_class(query: Column) -> Column:
     low = F.lower(query)
     structured = F.size(F.array_intersect(F.array_distinct(split_words(low)), strings(lists.STRUCTURED)))

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def grams(text, n: int = 3):
+    """Distinct stretches of n characters, or the text itself if it is shorter."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array(text))
+
+
 def find_entities(names: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """Names that contain an asked word, whatever the case, the first k of each; the asked are few and are broadcast after a check of their size."""
-    few = F.broadcast(asked) if asked.limit(1001).count() <= 1000 else asked
-    found = names.join(few, F.lower("name").contains(F.lower("asked")))
+    """Names that contain an asked word, whatever the case, the first k of each. Words meet names under the word's rarest three characters, then are looked for; shorter words meet all characters and pairs of the names."""
+    low = names.select(F.lower("name").alias("low"), "name").distinct()
+    asked = asked.select("asked", F.lower("asked").alias("word")).distinct()
+    size = lambda n: low.select("low", "name", F.explode(grams(F.col("low"), n)).alias("gram"))
+    posts = reduce(DataFrame.unionByName, (size(n).withColumn("n", F.lit(n)) for n in (1, 2, 3))).where(F.length("gram") == F.col("n"))
+    often = posts.groupBy("n", "gram").count()
+    wanted = asked.withColumn("n", F.least(F.length("word"), F.lit(3))).where("n > 0")
+    of_word = wanted.withColumn("gram", F.explode(F.when(F.col("n") == 3, grams(F.col("word"))).otherwise(F.array("word"))))
+    rarest = of_word.join(often, ["n", "gram"], "left").groupBy("asked", "word", "n").agg(F.min_by("gram", F.coalesce("count", F.lit(0))).alias("gram"))
+    found = posts.join(rarest, ["n", "gram"]).where(F.col("low").contains(F.col("word"))).select("asked", "name").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy("name"))).where(F.col("rank") <= k)
 
 
@@ -56,10 +70,73 @@ def page_contents(asked: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("content"), F.count("*").alias("n_pages"))
 
 
+def headings_of(docs: DataFrame) -> DataFrame:
+    """Markdown headings of documents: doc_id, position (the line, from 1), level, title."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "heading"))
+    level = F.length(F.regexp_extract("heading", r"^\s*(#{1,6})\s", 1))
+    title = F.trim(F.regexp_replace("heading", r"^\s*#{1,6}\s+", ""))
+    return lines.withColumn("level", level).where("level > 0").select("doc_id", (F.col("line") + 1).alias("position"), "level", title.alias("title"))
+
+
 def tree_of(headings: DataFrame) -> DataFrame:
-    """Parents of headings (doc_id, position, level): the last heading of a lower level before. One window, no recursion."""
+    """Parents of headings (doc_id, position, level): the last heading of a lower level before; and their depth. One window, no recursion."""
     w = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     last = F.array(*(F.max(F.when(F.col("level") == k, F.col("position"))).over(w) for k in range(1, 7)))
     before = F.filter(F.slice(F.col("last"), 1, F.col("level") - 1), lambda x: x.isNotNull())
-    rows = headings.withColumn("last", last)
-    return rows.withColumn("parent", F.when(F.col("level") > 1, F.array_max(before))).drop("last")
+    rows = headings.withColumn("last", last).withColumn("before", F.when(F.col("level") > 1, before).otherwise(F.array().cast("array<long>")))
+    return rows.withColumns({"parent": F.array_max("before"), "depth": _depth(F.col("before"))}).drop("last", "before")
+
+
+def _depth(before):
+    """Number of ancestors and one: before holds, by level, the last heading of each lower level; one that stands before a later heading of a still lower level is none."""
+    ancestors = F.filter(F.transform(before, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.array_max(F.slice(before, 1, i)), F.lit(-1)).alias("lower"))), lambda p: p["x"] > p["lower"])
+    return F.size(ancestors) + 1
+
+
+def neighbours(seeds: DataFrame, triplets: DataFrame, hops: int, siblings: int = 10) -> DataFrame:
+    """Triplets met on the way from each seed, whatever the case: a node shows its first few triplets, and each hop goes on from twice as many new nodes at most, in order of their names."""
+    low = triplets.select(F.lower("subject").alias("s"), "predicate", F.lower("object").alias("o"), "subject", "object")
+    ends = low.select(F.col("s").alias("node"), "*").unionByName(low.where("s != o").select(F.col("o").alias("node"), "*"))
+    shown = ends.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("s", "predicate", "o", "subject", "object"))).where(F.col("n") <= siblings).drop("n")
+    seen = seeds.select("seed", F.lower("seed").alias("node")).distinct()
+    frontier, met = seen, None
+    for _ in range(hops):
+        found = frontier.join(shown, "node").select("seed", "s", "predicate", "o", "subject", "object")
+        met = found if met is None else met.unionByName(found)
+        step = found.select("seed", F.explode(F.array("s", "o")).alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
+        seen = seen.unionByName(step)
+        frontier = step.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("n") <= 2 * siblings).drop("n")
+    first = F.min_by(F.struct("subject", "object"), F.struct("subject", "object"))
+    return met.groupBy("seed", "s", "predicate", "o").agg(first.alias("t")).select("seed", "t.subject", "predicate", "t.object")
+
+
+def first_seen(rows: DataFrame, by: list[str], key: list[str], order: list) -> DataFrame:
+    """Rows in order, each key's first one."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, *key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def entities_of(found: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """Subjects and objects of found triplets (query, rank, subject, object) in order of their first appearance."""
+    both = found.select(query, "rank", F.posexplode(F.array("subject", "object")).alias("side", "entity")).where("entity != ''")
+    once = first_seen(both, [query], ["entity"], ["rank", "side"])
+    place = F.row_number().over(Window.partitionBy(query).orderBy("rank", "side"))
+    return once.withColumn("place", place).where(F.col("place") <= limit).select(query, "place", "entity")
+
+
+def all_pages(nodes: DataFrame, most: int = 20) -> DataFrame:
+    """Where no model says which pages to read: the span of the first pages that the nodes (doc_id, start_index, end_index) of a tree cover, or the first five."""
+    pages = F.when((F.col("start_index") > 0) & (F.col("end_index") >= F.col("start_index")), F.sequence("start_index", "end_index")).otherwise(F.array().cast("array<int>"))
+    first = nodes.groupBy("doc_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pages)))), 1, most).alias("p"))
+    low, high = F.get("p", F.lit(0)).cast("string"), F.get("p", F.size("p") - 1).cast("string")
+    return first.select("doc_id", F.when(F.size("p") == 0, "1-5").when(F.size("p") == 1, low).otherwise(F.concat(low, F.lit("-"), high)).alias("pages"), F.lit(0.3).alias("confidence"))
+
+
+def tree_summary(nodes: DataFrame) -> DataFrame:
+    """Nodes and depth of each document's tree (doc_id, position, level, depth)."""
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.count(F.when(F.col("parent").isNull(), 1)).alias("n_roots"))
+
+
+def page_cache(nodes: DataFrame) -> DataFrame:
+    """Texts of a tree's nodes (doc_id, position, text) as numbered pages in order, without blank ones."""
+    rows = nodes.where(F.length(F.trim("text")) > 0)
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("position")).alias("page"), "position", F.col("text").alias("content"))

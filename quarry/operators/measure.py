@@ -18,8 +18,23 @@ def ranking(retrieved: DataFrame, relevant: DataFrame, query: str, item: str, k:
         F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("gain"),
     )
     size = relevant.select(query, item).distinct().groupBy(query).agg(F.count("*").cast("int").alias("n_relevant"))
-    best = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(k))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
     rows = size.join(found, query, "left").na.fill(0, ["n_hits"]).na.fill(0.0, ["gain"])
+    return _metrics(rows, query, k)
+
+
+def ranking_of(rows: DataFrame, query: str, k: int) -> DataFrame:
+    """The same from one table of pairs: rank (null if not retrieved) and relevant; one pass, no joins."""
+    hit = F.col("relevant") & F.col("rank").isNotNull()
+    inside = hit & (F.col("rank") <= k)
+    found = rows.groupBy(query).agg(
+        F.sum(inside.cast("int")).alias("n_hits"), F.min(F.when(hit, F.col("rank"))).alias("first"),
+        F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("gain"), F.sum(F.col("relevant").cast("int")).alias("n_relevant"),
+    ).where("n_relevant > 0")
+    return _metrics(found, query, k)
+
+
+def _metrics(rows: DataFrame, query: str, k: int) -> DataFrame:
+    best = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant").cast("int"), F.lit(k))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
     precision, recall = F.col("n_hits") / k, F.col("n_hits") / F.col("n_relevant")
     f1 = F.when(F.col("n_hits") == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
     r4 = lambda c: F.round(c, 4)

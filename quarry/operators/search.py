@@ -65,20 +65,61 @@ def term_frequencies(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     return tokens.groupBy(doc, T.token_id(F.col("token")).alias("token_id")).agg(F.count("*").alias("tf"))
 
 
+#: Query terms up to so many rows are broadcast; more are joined by shuffle.
+FEW = 200_000
+
+
+def postings(queries: DataFrame, query: str) -> DataFrame:
+    """token, query and its tf there."""
+    return queries.select(query, F.explode(T.sparse_tokens("text")).alias("token")).groupBy(query, "token").agg(F.count("*").alias("q_tf"))
+
+
+def near(df: DataFrame) -> DataFrame:
+    """A table that is broadcast if a look at its first rows says that it is small."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def sparse_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    """Dot products of term frequencies: an equi-join on token ids, top k of each query."""
-    q = term_frequencies(queries, query).withColumnRenamed("tf", "q_tf")
-    scored = term_frequencies(docs, doc).join(q, "token_id").groupBy(query, doc).agg(F.sum(F.col("tf") * F.col("q_tf")).alias("score"))
+    """Dot products of term frequencies, top k of each query. Every occurrence of a term adds the query's frequency of it, so documents need no table of terms: where the query terms are few, one pass over the texts gives partial scores before the shuffle."""
+    words = docs.select(doc, F.explode(T.sparse_tokens("text")).alias("token"))
+    scored = words.join(near(postings(queries, query)), "token").groupBy(query, doc).agg(F.sum("q_tf").alias("score"))
     return top(scored, [query], [F.col("score").desc(), doc], k)
 
 
+def shared_terms(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> DataFrame:
+    """query, doc, n and score of all pairs that share terms: how many they share, and their dot product. Terms that no query has go before the first shuffle."""
+    q = postings(queries, query)
+    words = docs.select(doc, F.explode(T.sparse_tokens("text")).alias("token")).join(near(q.select("token").distinct()), "token", "left_semi")
+    counted = words.groupBy(doc, "token").agg(F.count("*").alias("tf"))
+    return counted.join(near(q), "token").groupBy(query, doc).agg(F.count("*").alias("n"), F.sum(F.col("tf") * F.col("q_tf")).alias("score"))
+
+
+def fuse_results(lists: dict[str, DataFrame], query: str, doc: str, content: str = "content", k: int = 60, limit: int = 10) -> DataFrame:
+    """Reciprocal rank fusion of rows: equal documents with equal first 100 characters are one result, which keeps the row that was seen first (lists in their order, then rank)."""
+    rows = [df.select(query, doc, F.left(content, F.lit(100)).alias("head"), "rank", F.lit(i).alias("place"), F.lit(n).alias("source"), F.struct(*(c for c in df.columns if c not in (query, doc, "rank"))).alias("row")) for i, (n, df) in enumerate(lists.items())]
+    every = reduce(DataFrame.unionByName, rows)
+    first = F.min_by("row", F.struct("place", "rank"))
+    fused = every.groupBy(query, doc, "head").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 8).alias("rrf_score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), first.alias("row"), F.min(F.struct("place", "rank")).alias("seen"))
+    return top(fused, [query], [F.col("rrf_score").desc(), "seen", doc], limit).select(query, doc, "rrf_score", "sources", "rank", "row.*")
+
+
+def hybrid(dense: DataFrame, sparse: DataFrame, query: str, item: str, k: int = 10) -> DataFrame:
+    """Dense and sparse branches (query, item, rank), each with twice the results asked for, fused by rank."""
+    return fuse_ranks({"dense": dense.where(F.col("rank") <= 2 * k), "sparse": sparse.where(F.col("rank") <= 2 * k)}, query, item, limit=k)
+
+
+def merged_filter(team: dict, extracted: dict | None = None, given: dict | None = None, namespace: str | None = None) -> Column:
+    """Conditions of the team, then those extracted from the question, then those of the request, then the namespace: all must hold."""
+    return reduce(lambda a, b: a & b, (matches(m) for m in (team, extracted, given, {"namespace": namespace} if namespace else None) if m), F.lit(True))
+
+
 def rerank(candidates: DataFrame, query: str, n: int, confident: float = 0.5, fallback: int = 3) -> DataFrame:
     """Keyword-overlap rerank of candidates (query_text, text, rank), then the confidence gate: confident rows, or the first few if a query has none."""
     words = lambda c: F.array_distinct(T.split_words(F.lower(c)))
     w = Window.partitionBy(query)
     share = F.size(F.array_intersect(words("query_text"), words("text"))) / F.greatest(F.size(words("query_text")), F.lit(1))
     bonus = 0.1 * (1 - (F.col("rank") - 1) / F.count("*").over(w))
-    scored = candidates.withColumn("score", F.round(F.when(F.size(words("text")) == 0, bonus).otherwise(F.least(F.lit(1.0), F.least(F.lit(1.0), share) + bonus)), 4))
+    scored = candidates.withColumn("score", F.round(F.when(F.size(words("text")) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.least(F.lit(1.0), share) + bonus)), 4))
     ranked = top(scored, [query], [F.col("score").desc(), "rank"], n, "position")
     sure = F.col("score") >= confident
     return ranked.withColumn("is_confident", sure).withColumn("any_confident", F.max(sure).over(w)).where("is_confident OR (NOT any_confident AND position <= %d)" % fallback).drop("any_confident")

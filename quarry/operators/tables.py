@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of new in place of old ones with their key."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+    """Rows of new in place of old ones with their key. Of several new rows with a key the last one in order wins."""
+    if order:
+        new = latest(new, key, [o.desc() if isinstance(o, Column) else F.col(o).desc() for o in order])
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
@@ -70,13 +72,13 @@ def cascade(requests: DataFrame, tiers: dict[str, DataFrame], key: str) -> DataF
     return out.withColumns({"cache_tier": tier, "value": F.coalesce(*values)}).drop(*(f"value_{n}" for n in tiers))
 
 
-def query_table(df: DataFrame, columns: list[str], where: str | None = None, value=None, limit: int = 50) -> DataFrame:
+def query_table(df: DataFrame, columns: list[str], where: str | None = None, value=None, limit: int | None = 50) -> DataFrame:
     """Projection with one equality of a table tool; names are checked against the schema."""
     unknown = [c for c in [*columns, *([where] if where else [])] if c not in df.columns]
     if unknown:
         raise ValueError(f"unknown columns {unknown}")
     out = df.select(*columns) if where is None or value in (None, "") else df.where(F.col(where) == value).select(*columns)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
 def describe(df: DataFrame, name: str) -> DataFrame:

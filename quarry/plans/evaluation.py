@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import judge as J
@@ -22,12 +23,13 @@ RETRIEVED = f"""q AS {frequencies('benchmark', 'item_id')}, d AS {frequencies('d
 
 
 def judged(spark, sf_dir):
-    """Retrieved documents, and the relevant ones: those with most of an item's terms."""
+    """All pairs of items and documents that share terms: rank of the 20 best, and whether the document has most of the item's terms."""
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    q, d = S.term_frequencies(items, "item_id"), S.term_frequencies(docs, "doc_id")
-    both = d.join(q.withColumnRenamed("tf", "q_tf"), "token_id").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.sum(F.col("tf") * F.col("q_tf")).alias("score"))
-    sizes = q.groupBy("item_id").agg(F.count("*").alias("size"))
-    return S.top(both, ["item_id"], [F.col("score").desc(), "doc_id"], 20), both.join(sizes, "item_id").where(F.col("n") >= F.lit(0.6) * F.col("size"))
+    both = S.shared_terms(items, docs, "item_id", "doc_id")
+    sizes = S.postings(items, "item_id").groupBy("item_id").agg(F.count("*").alias("size"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id"))
+    rows = both.join(S.near(sizes), "item_id").withColumn("relevant", F.col("n") >= F.lit(0.6) * F.col("size")).withColumn("rank", place)
+    return rows.withColumn("rank", F.when(F.col("rank") <= 20, F.col("rank"))).where("relevant or rank is not null")
 
 
 @query(f"""WITH {RETRIEVED},
@@ -36,8 +38,7 @@ def judged(spark, sf_dir):
     m AS (SELECT item_id, coalesce(n, 0) AS n, first, coalesce(gain, 0) AS gain, r, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(r, 5) + 1) t(i)) AS best FROM z LEFT JOIN h USING (item_id))
     SELECT item_id, round(n / 5.0::DOUBLE, 4) AS precision, round(n / r::DOUBLE, 4) AS recall, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / 5.0::DOUBLE) * (n / r::DOUBLE) / (n / 5.0::DOUBLE + n / r::DOUBLE) END, 4) AS f1, round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr, round(gain / best, 4) AS ndcg FROM m""")
 def ir_metrics(spark, sf_dir):
-    retrieved, relevant = judged(spark, sf_dir)
-    return M.ranking(retrieved, relevant, "item_id", "doc_id", 5)
+    return M.ranking_of(judged(spark, sf_dir), "item_id", 5)
 
 
 CONTENT = f"list_filter(list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{{{3,}}}}'))), lambda w: NOT list_contains({sql_list(lists.CONTENT_STOP)}, w))".replace("{{", "{").replace("}}", "}")
@@ -48,26 +49,26 @@ def content(c: str) -> str:
 
 
 SHARE = "len(list_intersect({whole}, {part}))::DOUBLE / nullif(len({whole}), 0)"
-CASES = f"""t AS (SELECT c.conv_id, c.turn, {content('c.text')} AS a, {content('p.text')} AS q, {content('d.text')} AS s, e.value * 200 AS latency_ms
+CASES = f"""t AS (SELECT c.conv_id, c.turn, {content('c.text')} AS a, {content('p.text')} AS q, {content('d.text')} AS s, e.value * 200 AS latency_ms, trim(c.text) = '' AS no_answer, trim(d.text) = '' AS none_expected
         FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 JOIN documents d ON d.doc_id = c.conv_id JOIN events e ON e.event_id = c.conv_id WHERE c.role = 'assistant'),
     c AS (SELECT *, {SHARE.format(whole='a', part='s')} AS c, {SHARE.format(whole='q', part='a')} AS qc, {SHARE.format(whole='s', part='a')} AS ec FROM t),
     j AS (SELECT conv_id, turn, latency_ms,
         round(CASE WHEN len(s) = 0 THEN 0 ELSE coalesce(CASE WHEN c >= 0.6 THEN least(1.0, 0.5 + c * 0.5) WHEN c >= 0.3 THEN 0.3 + c * 0.4 ELSE c * 0.5 END, 0) END, 4) AS faithfulness,
         round(CASE WHEN len(q) = 0 THEN 0.5 ELSE least(1.0, 0.4 * qc + 0.6 * coalesce(ec, 0)) END, 4) AS relevance,
-        round(coalesce(ec, 0.5), 4) AS coverage FROM c)"""
+        round(CASE WHEN no_answer THEN 0 WHEN none_expected THEN 1 ELSE coalesce(ec, 0.5) END, 4) AS coverage FROM c)"""
 
 
 def judge_scores(spark, sf_dir):
     """Answers of conversations against the document of the same number as source and expectation, and the turn before as question."""
     talks = read(spark, sf_dir, "conversations")
     words = T.content_words
-    answers = talks.where("role = 'assistant'").select("conv_id", "turn", words("text").alias("a"))
+    answers = talks.where("role = 'assistant'").select("conv_id", "turn", words("text").alias("a"), F.col("text").alias("answer"))
     asked = talks.select("conv_id", (F.col("turn") + 1).alias("turn"), words("text").alias("q"))
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), words("text").alias("s"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), words("text").alias("s"), F.col("text").alias("expected"))
     times = read(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"), (F.col("value") * 200).alias("latency_ms"))
     rows = answers.join(asked, ["conv_id", "turn"]).join(docs, "conv_id").join(times, "conv_id")
     a, q, s = F.col("a"), F.col("q"), F.col("s")
-    return rows.select("conv_id", "turn", "latency_ms", F.round(J.faithfulness(a, s), 4).alias("faithfulness"), F.round(J.relevance(a, q, s), 4).alias("relevance"), F.round(J.coverage(a, s), 4).alias("coverage"))
+    return rows.select("conv_id", "turn", "latency_ms", F.round(J.faithfulness(a, s), 4).alias("faithfulness"), F.round(J.relevance(a, q, s), 4).alias("relevance"), F.round(J.coverage(a, s, F.col("answer"), F.col("expected")), 4).alias("coverage"))
 
 
 @query(f"WITH {CASES} SELECT * FROM j")
@@ -146,7 +147,7 @@ def latest_status(spark, sf_dir):
 def table_tool(spark, sf_dir):
     """The table tool's projection and equality without its row cap."""
     rows = read(spark, sf_dir, "orders")
-    return B.query_table(rows, ["o_orderkey", "o_totalprice"], "o_orderstatus", "F", limit=2_000_000_000)
+    return B.query_table(rows, ["o_orderkey", "o_totalprice"], "o_orderstatus", "F", limit=None)
 
 
 @query("SELECT vec_id, label, CASE WHEN label = 2 THEN 'archived' ELSE 'live' END AS status, 'team' || label AS team_id FROM embeddings")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import search as S
 from ..operators import tables as B
 from .base import query, read
+from .retrieval import CENTROIDS, COSINE
 
 
 def triplets(spark, sf_dir):
@@ -73,9 +75,70 @@ def tree_pages(spark, sf_dir):
     return G.page_contents(asked, pages)
 
 
-@query("""WITH h AS (SELECT conv_id AS doc_id, turn AS position, 1 + turn % 3 AS level FROM conversations)
-    SELECT doc_id, position, level, (SELECT max(g.position) FROM h g WHERE g.doc_id = h.doc_id AND g.position < h.position AND g.level < h.level) AS parent FROM h""")
-def tree_parents(spark, sf_dir):
+HEADS = "h AS (SELECT conv_id AS doc_id, turn AS position, CAST(1 + turn % 3 AS INTEGER) AS level FROM conversations)"
+PARENTS = f"""{HEADS}, p AS (SELECT doc_id, position, level, (SELECT max(g.position) FROM h g WHERE g.doc_id = h.doc_id AND g.position < h.position AND g.level < h.level) AS parent FROM h),
+    d AS (SELECT doc_id, position, level, parent, 1 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.doc_id, p.position, p.level, p.parent, d.depth + 1 FROM p JOIN d ON p.doc_id = d.doc_id AND p.parent = d.position)"""
+
+
+def headings(spark, sf_dir):
     """Turns stand for headings whose levels go round."""
-    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), (1 + F.col("turn") % 3).alias("level"))
-    return G.tree_of(rows)
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), (1 + F.col("turn") % 3).cast("int").alias("level"), "text")
+
+
+@query(f"WITH RECURSIVE {PARENTS} SELECT doc_id, position, level, parent, depth FROM d")
+def tree_parents(spark, sf_dir):
+    return G.tree_of(headings(spark, sf_dir)).drop("text")
+
+
+@query(f"WITH RECURSIVE {PARENTS} SELECT doc_id, count(*) AS n_nodes, max(depth) AS depth, count(*) FILTER (parent IS NULL) AS n_roots FROM d GROUP BY doc_id")
+def tree_depth(spark, sf_dir):
+    return G.tree_summary(G.tree_of(headings(spark, sf_dir)))
+
+
+@query(f"""WITH {HEADS.replace("AS level", "AS level, text")} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS page, position, text AS content FROM h WHERE length(trim(text)) > 0""")
+def tree_page_cache(spark, sf_dir):
+    return G.page_cache(headings(spark, sf_dir))
+
+
+@query(f"""WITH n AS (SELECT conv_id AS doc_id, CASE WHEN turn % 4 = 3 THEN 0 ELSE turn * 2 END AS a, turn * 2 + turn % 3 AS b FROM conversations),
+    p AS (SELECT doc_id, list_sort(list_distinct(flatten(list(CASE WHEN a > 0 AND b >= a THEN range(a, b + 1) ELSE [] END))))[1:20] AS p FROM n GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN len(p) = 0 THEN '1-5' WHEN len(p) = 1 THEN CAST(p[1] AS VARCHAR) ELSE p[1] || '-' || p[len(p)] END AS pages, 0.3::DOUBLE AS confidence FROM p""")
+def tree_all_pages(spark, sf_dir):
+    """Turns stand for nodes that cover some pages; every fourth covers none."""
+    start = F.when(F.col("turn") % 4 == 3, 0).otherwise(F.col("turn") * 2).cast("int")
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), start.alias("start_index"), (F.col("turn") * 2 + F.col("turn") % 3).cast("int").alias("end_index"))
+    return G.all_pages(rows)
+
+
+@query(r"""WITH m AS (SELECT doc_id, '# ' || replace(text, '. ', '.' || chr(10) || '## ') AS text FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS position FROM m)
+    SELECT doc_id, position, CAST(length(regexp_extract(line, '^\s*(#{1,6})\s', 1)) AS INTEGER) AS level, trim(regexp_replace(line, '^\s*#{1,6}\s+', '')) AS title FROM l WHERE regexp_matches(line, '^\s*#{1,6}\s')""")
+def markdown_headings(spark, sf_dir):
+    """Headings of documents; a sentence's start stands for one."""
+    text = F.concat(F.lit("# "), F.replace("text", F.lit(". "), F.lit(".\n## ")))
+    return G.headings_of(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
+@query(f"""WITH {TRIPLETS}, e AS (SELECT DISTINCT lower(subject) AS s, predicate, lower(object) AS o, subject, object FROM t),
+    n AS (SELECT s AS node, * FROM e UNION ALL SELECT o AS node, * FROM e WHERE s <> o),
+    w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s, predicate, o, subject, object) AS k FROM n) WHERE k <= 10),
+    z AS (SELECT DISTINCT r_name AS seed FROM region),
+    a AS (SELECT seed, s, predicate, o, subject, object FROM z JOIN w ON node = lower(seed)),
+    f AS (SELECT * FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY node) AS k FROM (SELECT DISTINCT seed, unnest([s, o]) AS node FROM a) WHERE node <> lower(seed)) WHERE k <= 20),
+    b AS (SELECT seed, s, predicate, o, subject, object FROM f JOIN w USING (node))
+    SELECT DISTINCT seed, subject, predicate, object FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def graph_capped(spark, sf_dir):
+    """Two hops from each region over the triplets' first ten a node."""
+    return G.neighbours(read(spark, sf_dir, "region").select(F.col("r_name").alias("seed")), triplets(spark, sf_dir).distinct(), 2)
+
+
+@query(f"""WITH {CENTROIDS}, r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {COSINE} DESC, vec_id) AS rank FROM pairs), k AS (SELECT * FROM r WHERE rank <= 5),
+    u AS (SELECT label, rank, unnest([0, 1]) AS side, unnest(['e' || (vec_id % 7), 'f' || (vec_id % 5)]) AS entity FROM k),
+    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, entity ORDER BY rank, side) AS n FROM u) WHERE n = 1)
+    SELECT label, place, entity FROM (SELECT label, entity, row_number() OVER (PARTITION BY label ORDER BY rank, side) AS place FROM o) WHERE place <= 5""")
+def entity_vector(spark, sf_dir):
+    """Entities of the triplets nearest to a tenant's query; a vector stands for a triplet of two names."""
+    vectors = read(spark, sf_dir, "embeddings")
+    near = S.similar(S.centroids(vectors, "label"), vectors, "label", 5)
+    name = lambda letter, n: F.concat(F.lit(letter), (F.col("vec_id") % n).cast("string"))
+    return G.entities_of(near.select("label", "rank", name("e", 7).alias("subject"), name("f", 5).alias("object")), "label")

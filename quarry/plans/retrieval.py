@@ -75,7 +75,7 @@ def facet_fusion(spark, sf_dir):
     return S.fuse_scores({n: (S.similar(queries, vectors, "label", 20, f), w) for n, (f, w) in facets.items()}, "label", "vec_id")
 
 
-TOKENS = f"""list_filter(regexp_extract_all(lower(left(text, 100000)), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda t: NOT list_contains({sql_list(lists.SPARSE_STOP)}, t) AND NOT regexp_full_match(t, '[0-9]+'))"""
+TOKENS = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda t: NOT list_contains({sql_list(lists.SPARSE_STOP)}, t) AND NOT regexp_full_match(t, '[0-9]+'))"""
 TOKEN_ID = "CAST(CAST(concat('0x', left(sha256(token), 16)) AS UBIGINT) % 1000000007 AS BIGINT)"
 
 
@@ -106,7 +106,7 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), la
     c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM s) WHERE rank <= 15),
     t AS (SELECT c.item_id, c.doc_id, c.rank, {WORDS.format('b.text')} AS qw, {WORDS.format('x.text')} AS dw, count(*) OVER (PARTITION BY c.item_id) AS n
           FROM c JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id)),
-    r AS (SELECT item_id, doc_id, rank, round(CASE WHEN len(dw) = 0 THEN 0.1::DOUBLE * (1 - (rank - 1)::DOUBLE / n) ELSE least(1.0, least(1.0, len(list_intersect(qw, dw))::DOUBLE / greatest(len(qw), 1)) + 0.1::DOUBLE * (1 - (rank - 1)::DOUBLE / n)) END, 4) AS score FROM t),
+    r AS (SELECT item_id, doc_id, rank, round(CASE WHEN len(dw) = 0 THEN 0 ELSE least(1.0, least(1.0, len(list_intersect(qw, dw))::DOUBLE / greatest(len(qw), 1)) + 0.1::DOUBLE * (1 - (rank - 1)::DOUBLE / n)) END, 4) AS score FROM t),
     p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS position FROM r),
     g AS (SELECT item_id, doc_id, score, position, score >= 0.5 AS is_confident, max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS any_sure FROM p WHERE position <= 5)
     SELECT item_id, doc_id, score, position, is_confident FROM g WHERE is_confident OR any_sure = 0 AND position <= 3

@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..streaming import jobs
 from .base import query
 
 
 def folder(spark) -> str:
-    """A new folder below the shared one; a temporary one is set only where the session names none."""
+    """A new folder below the shared one. Where the session names none, a local session gets a temporary one; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -58,8 +62,18 @@ def circuit_breaker(spark, sf_dir):
     return run(spark, jobs.breakers(jobs.event_stream(spark, sf_dir), failures=2, rest=7200, successes=2))
 
 
-@query("SELECT user_id, event_id, event_type FROM events")
+TRIED = "CASE WHEN event_type <> 'error' THEN 1 WHEN value < 20 THEN 4 ELSE 1 + event_id % 4 END"
+
+
+@query(f"SELECT user_id, event_id, event_type, CASE WHEN event_type = 'error' AND value < 20 THEN 'failed' ELSE 'rows' END AS outcome, CAST({TRIED} AS INTEGER) AS attempts FROM events")
 def stream_ingest(spark, sf_dir):
-    path = folder(spark)
-    jobs.ingest(jobs.event_stream(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", "event_id")
-    return spark.read.parquet(f"{path}/table/rows").select("user_id", "event_id", "event_type")
+    """Errors succeed after some attempts, and those of small value never: these are set aside after three retries."""
+    table = f"{folder(spark)}/table"
+
+    def work(rows):
+        needed = F.when(F.col("event_type") != "error", 1).when(F.col("value") < 20, 99).otherwise(1 + F.col("event_id") % 4)
+        return rows.withColumn("ok", F.col("attempt") >= needed)
+
+    jobs.ingest(jobs.event_stream(spark, sf_dir), table, f"{table}-checkpoint", work=work)
+    out = [spark.read.parquet(f"{table}/{name}").select("user_id", "event_id", "event_type", F.lit(name).alias("outcome"), F.col("attempt").alias("attempts")) for name in ("rows", "failed")]
+    return out[0].unionByName(out[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import lists
@@ -79,19 +81,37 @@ def clean_headers(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(lines).alias("n_kept"), (F.size(F.split("text", "\n")) - F.size(lines)).alias("n_stripped"), F.md5(F.array_join(lines, "\n")).alias("clean_md5"))
 
 
-def cleaned(nfkc):
-    """Marks, white space, page furniture and personal data of an NFKC text in order."""
-    lines = F.array_join(T.kept_lines(T.clean_whitespace(T.plain_marks(nfkc))), "\n")
-    return F.regexp_replace(T.redact(lines), r"^\s+|\s+$", "")
+def cleaned(docs, text):
+    """docs with clean: marks, white space, page furniture and personal data of an NFKC text in order; one projection a stage, so that none is computed twice. before: the text that personal data was looked for in; stripped: lines that went."""
+    rows = docs.withColumn("_lines", T.clean_whitespace(T.plain_marks(text)))
+    rows = rows.withColumn("_kept", T.kept_lines("_lines"))
+    rows = rows.withColumn("before", F.array_join("_kept", "\n")).withColumn("stripped", F.size(F.split("_lines", "\n")) - F.size("_kept"))
+    return rows.withColumn("clean", F.regexp_replace(T.redact(F.col("before")), r"^\s+|\s+$", "")).drop("_lines", "_kept")
+
+
+CLEANED = f"""a AS (SELECT doc_id, text AS original, {WHITE} AS white FROM documents),
+    k AS (SELECT doc_id, original, len(string_split(white, chr(10))) AS n_lines, {kept("white")} AS kept FROM a),
+    l AS (SELECT doc_id, original, n_lines - len(kept) AS stripped, array_to_string(kept, chr(10)) AS text FROM k),
+    b AS (SELECT doc_id, original, stripped, text, regexp_replace({REDACTED}, '^\\s+|\\s+$', '', 'g') AS clean FROM l)"""
 
 
-@query(f"""WITH a AS (SELECT doc_id, text AS original, array_to_string({kept(f"({WHITE})")}, chr(10)) AS text FROM documents),
-    b AS (SELECT doc_id, original, regexp_replace({REDACTED}, '^\\s+|\\s+$', '', 'g') AS clean FROM a)
-    SELECT doc_id, length(original) AS n_original, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM b""")
+@query(f"WITH {CLEANED} SELECT doc_id, length(original) AS n_original, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM b")
 def clean_pipeline(spark, sf_dir):
     """cleaned() over documents; SQL has neither NFKC nor marks, which no document of the test tables needs."""
-    clean = cleaned(T.nfkc("text"))
-    return docs(spark, sf_dir).select("doc_id", F.length("text").alias("n_original"), F.length(clean).alias("n_clean"), F.md5(clean).alias("clean_md5"))
+    rows = cleaned(docs(spark, sf_dir), T.nfkc("text"))
+    return rows.select("doc_id", F.length("text").alias("n_original"), F.length("clean").alias("n_clean"), F.md5("clean").alias("clean_md5"))
+
+
+@query(f"""WITH {CLEANED} SELECT doc_id, {' + '.join(map(counted, lists.PII))} AS n_pii, array_to_string(list_filter([{', '.join(f"CASE WHEN {counted(k)} > 0 THEN '{k}' END" for k in lists.PII)}], lambda k: k IS NOT NULL), ',') AS pii_types,
+    'unicode_normalization,whitespace_normalization,header_footer_strip,pii_redaction' AS stages, CASE WHEN stripped > 0 THEN 'Stripped ' || stripped || ' header/footer lines' ELSE '' END AS warnings FROM b""")
+def clean_audit(spark, sf_dir):
+    """What the cleaning found and did: personal data before it was redacted, stages and warnings."""
+    rows = cleaned(docs(spark, sf_dir), T.nfkc("text"))
+    counts = [T.pii_count("before", k) for k in lists.PII]
+    kinds = F.array_join(F.array_compact(F.array(*(F.when(c > 0, k) for k, c in zip(lists.PII, counts, strict=True)))), ",")
+    warning = F.when(F.col("stripped") > 0, F.concat(F.lit("Stripped "), F.col("stripped").cast("string"), F.lit(" header/footer lines"))).otherwise("")
+    stages = F.lit("unicode_normalization,whitespace_normalization,header_footer_strip,pii_redaction")
+    return rows.select("doc_id", reduce(lambda a, b: a + b, counts).alias("n_pii"), kinds.alias("pii_types"), stages.alias("stages"), warning.alias("warnings"))
 
 
 @query()
@@ -179,7 +199,7 @@ def chunk_late(spark, sf_dir):
 
 @query()
 def proposition(spark, sf_dir):
-    return C.propositions(docs(spark, sf_dir))
+    return C.propositions(docs(spark, sf_dir), F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("source"))
 
 
 @query("""WITH b AS (SELECT *, CAST(embedding AS DOUBLE[]) AS e, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
@@ -228,12 +248,12 @@ for _p in lists.LEAKS:
 
 
 @query(f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE (turn % 4) / 4.0 END AS confidence, CASE WHEN length(text) > 10000 THEN left(text, 10000) || chr(10) || chr(10) || '[Response truncated]' ELSE text END AS t FROM conversations WHERE role = 'assistant'),
-    b AS (SELECT conv_id, turn, CASE WHEN confidence IS NULL THEN 'No relevant sources were found.' WHEN confidence < 0.3 THEN 'Low confidence: ' || t ELSE t END AS text FROM a)
+    b AS (SELECT conv_id, turn, CASE WHEN confidence IS NULL THEN {literal(lists.NO_SOURCES)} WHEN confidence < 0.3 THEN {literal(lists.LOW_CONFIDENCE[0])} || CAST(round(confidence * 100) AS INTEGER) || '%' || {literal(lists.LOW_CONFIDENCE[1])} || t || {literal(lists.LOW_CONFIDENCE[2])} ELSE t END AS text FROM a)
     SELECT conv_id, turn, md5({LEAKED}) AS answer_md5 FROM b""")
 def guardrail_output(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     confidence = F.when(F.col("turn") % 5 == 4, None).otherwise((F.col("turn") % 4) / 4.0)
-    return rows.select("conv_id", "turn", F.md5(T.safe_answer(F.col("text"), confidence)).alias("answer_md5"))
+    return T.railed(rows, "text", confidence).select("conv_id", "turn", F.md5("text").alias("answer_md5"))
 
 
 UNSAFE = " OR ".join(f"regexp_matches(q, {literal(duck(p)[0])}, '{duck(p)[1]}')" for p in lists.UNSAFE_SQL)

@@ -31,12 +31,48 @@ def register_views(spark: SparkSession, sources: dict[str, dict]) -> list[str]:
     return sorted(sources)
 
 
-def run_sql(spark: SparkSession, statement: str, limit: int = 100) -> DataFrame:
-    """A read-only statement's first rows; what the guard refuses isn't planned."""
+def tenant_views(spark: SparkSession, tables: dict[str, DataFrame], tenant: str, column: str = "team_id") -> list[str]:
+    """Temporary views of one tenant's rows: what is asked of them can't see another tenant's."""
+    if not tenant:
+        raise ValueError("a tenant is required")
+    for name, df in tables.items():
+        df.where(F.col(column) == tenant).createOrReplaceTempView(name)
+    return sorted(tables)
+
+
+def run_sql(spark: SparkSession, statement: str, limit: int | None = 100, parameters: dict | None = None) -> DataFrame:
+    """A read-only statement's first rows; what the guard refuses isn't planned. Values are bound, never pasted in."""
     why = spark.createDataFrame([(statement,)], "q string").select(T.sql_refusal(F.col("q"))).head()[0]
     if why:
         raise ValueError(why)
-    return spark.sql(statement).limit(limit)
+    out = spark.sql(statement, args=parameters or {})
+    return out if limit is None else out.limit(limit)
+
+
+CASE = "id string, query string, expected_answer string, difficulty string, tags array<string>"
+FAILURE = "case_id long, category string, score double"
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Golden cases as JSON lines."""
+    cases.write.mode("overwrite").json(path)
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CASE).json(path)
+
+
+def write_failures(failed: DataFrame, path: str) -> None:
+    """A failure report: rows by category and a summary of each category beside them."""
+    failed.write.mode("overwrite").partitionBy("category").json(f"{path}/rows")
+    worst = F.min_by("case_id", F.struct("score", "case_id"))
+    failed.groupBy("category").agg(F.count("*").alias("n_cases"), F.avg("score").alias("mean_score"), worst.alias("worst_case")).write.mode("overwrite").json(f"{path}/summary")
+
+
+def read_failures(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
+    """Failed cases; one category reads that category's files alone."""
+    rows = spark.read.schema(FAILURE).json(f"{path}/rows")
+    return rows if category is None else rows.where(F.col("category") == category)
 
 
 def capped(column, most: int = 5 * 1024 * 1024):

@@ -27,7 +27,7 @@ def limited(stream: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # a user's rows of one micro-batch
         out = []
         for event_id, ts in zip(rows.event_id, rows.ts, strict=True):
             now = ts.timestamp()
@@ -84,21 +84,41 @@ def once(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, key: str, retries: int = 3, fails=None) -> None:
-    """Adds to a Parquet table the rows whose content isn't there yet. A row that fails is tried again, then set aside with its attempts; fails is the column that tells (none does by default)."""
-    spark = stream.sparkSession
+def attempt(rows: DataFrame, table: str, number: int, work, retries: int) -> None:
+    """One round over rows with their attempt: those that succeed are stored, those that fail wait for the next round with the delay until then, or are set aside after the last. work adds ok, which may depend on the attempt. A round overwrites its own folders alone, so a repeated one changes nothing."""
+    spark = rows.sparkSession
+    done = work(rows).withColumn("ok", F.coalesce("ok", F.lit(False)))
+    last = F.col("attempt") > retries
+    delay = F.least(F.lit(2.0) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(60.0))
+    place = {"rows": F.col("ok"), "waiting": ~F.col("ok") & ~last, "failed": ~F.col("ok") & last}
+    tried = f"{table}/tried/round={number}"
+    kinds = F.when(place["rows"], "rows").when(place["waiting"], "waiting").otherwise("failed")
+    done.withColumns({"outcome": kinds, "delay": F.when(place["waiting"], delay)}).drop("ok").write.mode("overwrite").parquet(tried)
+    told = spark.read.parquet(tried)
+    for name in place:
+        told.where(F.col("outcome") == name).drop("outcome", *(() if name == "waiting" else ("delay",))).write.mode("overwrite").parquet(f"{table}/{name}/round={number}")
+
+
+def waiting(spark: SparkSession, table: str, number: int) -> DataFrame:
+    """Rows of a round that wait, for their next attempt."""
+    return spark.read.parquet(f"{table}/waiting/round={number}").drop("delay").withColumn("attempt", F.col("attempt") + 1)
+
+
+def ingest(stream: DataFrame, table: str, checkpoint: str, retries: int = 3, work=lambda rows: rows.withColumn("ok", F.lit(True)), late: str = "1 day") -> int:
+    """Stores a stream's rows, each content once within the time that a row may be late; what fails is tried again with the next batch and, behind the last one, until nothing waits. Returns the number of rounds."""
+    spark, rounds = stream.sparkSession, []
+    fresh = stream.withColumn("digest", F.md5(F.to_json(F.struct(*stream.columns)))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["digest"])
 
     def batch(df: DataFrame, number: int) -> None:
-        bad = F.lit(False) if fails is None else F.coalesce(fails, F.lit(True))
-        rows = df.withColumn("digest", F.md5(F.to_json(F.struct(*df.columns)))).dropDuplicates([key])
-        try:
-            known = spark.read.parquet(f"{table}/rows").select("digest")
-            rows = rows.join(known, "digest", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.where(~bad).write.mode("append").parquet(f"{table}/rows")
-        delays = F.array(*(F.least(F.lit(2) * F.pow(F.lit(2), F.lit(a - 1)), F.lit(60)).cast("int") for a in range(1, retries + 1)))
-        rows.where(bad).select(key, F.lit(retries).alias("attempts"), delays.alias("delays"), F.lit("failed").alias("status")).write.mode("append").parquet(f"{table}/failed")
-
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        rows = df.withColumn("attempt", F.lit(1))
+        if number:  # the batch before has left its folder
+            rows = rows.unionByName(waiting(spark, table, number - 1))
+        attempt(rows, table, number, work, retries)
+        rounds.append(number)
+
+    fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    number = max(rounds, default=-1)
+    while number >= 0 and not (left := waiting(spark, table, number)).isEmpty():
+        number += 1
+        attempt(left, table, number, work, retries)
+    return number + 1
