@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .staging import stored
 
 #: Bytes of a frame, and what fills the last one.
 FRAME, FILL = 576, b"\xff"

@@ -17,7 +17,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .staging import stored
 
 #: Hex digits of the first prefixes; a split adds one.
 DEPTH = 3

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none."""
+    """The shared folder. Where the session names none, a local session gets a temporary one; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,3 +31,13 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = place(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """docs as one column, row, of all their columns: no name of theirs can clash with one that an operator adds."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def with_text(text, docs: DataFrame) -> list:
+    """The columns of the carried docs, with another text."""
+    return [text.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns]

@@ -25,3 +25,14 @@ def docs(spark):
 @pytest.fixture
 def no_docs(docs):
     return docs.limit(0)
+
+
+#: Names that operators use for columns of their own.
+OWN = "row text_ doc key chunk chunks digest gone none first last is_first part parts lines stretches removed kept score toxicity scored target source_size draws draw size words within block step turn shard place source_ cell key_ node root posted signature a b c_doc c_key blank component_id n_shingles most _size _source _key _draw _first _cell _rest _list _gone _lines _scored _doc mix_shard mix_place epoch position".split()
+
+
+@pytest.fixture
+def crowded(spark):
+    """Documents whose other columns have every name that operators use."""
+    rows = [(*r, *(f"{n} of {i}" for n in OWN)) for i, r in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in OWN))
