@@ -4,7 +4,8 @@ Longer documents are cut into whole sequences behind a shorter first piece. All
 number of pieces of each length, at most as many numbers as a sequence has tokens, is all that the driver sees. For each
 length, from the longest, single lengths, pairs and triples that fill the gap exactly are consumed under the counts; best
 fit packs the rest. A pattern stands for as many sequences as the counts allow, and pieces find their places through their
-rank within their length. The table of patterns is bounded by the sequence length, not by the data.
+rank within their length. The tables of lengths, cells and patterns are bounded by the sequence length and CELLS, not by the
+data.
 
 Defined cases: a null or empty text is a document of the end id alone; a null doc_id is kept; repeated rows are packed one
 by one; ties order by doc_id, piece and checksum; an empty table gives no rows; other columns are ignored.
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
-from .tokens import encoder, groups
+from .staging import stored
+from .tokens import AT_ONCE, encoder, sliced
 
-#: Ranks within a length are counted in so many cells.
-CELLS = 64
+#: Ranks within a length are counted in cells: so many of all lengths, of so many pieces at least. Tokens of a sequence at most.
+CELLS, LEAST, MOST = 1 << 16, 1 << 14, 1 << 18
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,10 +42,10 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end: int) -> DataFrame:
     def run(batches):
         encode = encoder(vocabulary)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids = batch.column(0)
             row, number, start, length, crc = [], [], [], [], []
-            for a, b in groups(texts):
-                for i, data in enumerate(encode.many(texts[a:b]), a):
+            for a, texts in sliced(batch.column(1), AT_ONCE):
+                for i, data in enumerate(encode.many(texts), a):
                     data += tail
                     for k, (s, n) in enumerate(cut(len(data) // 4, size)):
                         row.append(i)
@@ -143,25 +144,31 @@ def places(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
 
 
 def placed(found: DataFrame, size: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces, a stored table."""
+    """Adds sequence_id and offset to pieces, a stored table. A piece that fills a sequence needs no rank; each other length has cells in proportion to its pieces, at most size + CELLS in all."""
+    if size > MOST:
+        raise ValueError(f"sequences of more than {MOST} tokens would make tables by length too large to broadcast")
     spark = found.sparkSession
-    found = found.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(CELLS)).cast("int"))
-    cells = stored(found.groupBy("length", "cell").count(), "pack-cells")  # at most size * CELLS rows
-    counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("count")).collect()}
+    full = found.where(F.col("length") == size).withColumn("nth", F.monotonically_increasing_id())
+    found = found.where(F.col("length") != size)
+    counts = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # fewer than size rows
     rows = places(patterns(counts, size))
-    at = spark.createDataFrame(rows, "at_length long, from_rank long, to_rank long, each long, first_sequence long, first_offset long")
+    cell_size = max(LEAST, -(-sum(counts.values()) // CELLS))
+    parts = F.broadcast(spark.createDataFrame([(k, -(-n // cell_size)) for k, n in counts.items()], "length long, parts long"))
+    found = found.join(parts, "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts")).cast("int")).drop("parts")
+    cells = found.groupBy("length", "cell").count()
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    first = cells.select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    first = stored(cells.select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")), "pack-cells")
+    at = spark.createDataFrame(rows, "at_length long, from_rank long, to_rank long, each long, first_sequence long, first_offset long")
     within = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = found.withColumn("within", within).join(F.broadcast(first), ["length", "cell"]).withColumn("rank", F.col("first") + F.col("within"))
     on = (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     nth = F.col("rank") - F.col("from_rank")
-    return ranked.join(F.broadcast(at), on).withColumns(
-        {
-            "sequence_id": F.col("first_sequence") + F.floor(nth / F.col("each")),
-            "offset": F.col("first_offset") + F.pmod(nth, F.col("each")) * F.col("length"),
-        }
-    )
+    ranked = ranked.join(F.broadcast(at), on)
+    sequence, offset = F.col("first_sequence") + F.floor(nth / F.col("each")), F.col("first_offset") + F.pmod(nth, F.col("each")) * F.col("length")
+    columns = [c.split()[0] for c in PIECE.split(", ")]
+    behind = 1 + max((r[4] + (r[2] - r[1]) // r[3] for r in rows), default=0)
+    alone = full.select(*columns, (F.col("nth") + behind).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.select(*columns, sequence.alias("sequence_id"), offset.alias("offset")).unionByName(alone)
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end: int = 0) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library.
 
 A byte-level BPE vocabulary encodes the stretches between word boundaries one by one, so each distinct stretch needs to be
-encoded only once in a worker. The memo is bounded; its older half goes when it is full, which changes no result.
+encoded only once in a task. The memo is bounded, lives as long as its task, and loses its older half when it is full, which
+changes no result.
 """
 
 from __future__ import annotations
@@ -10,26 +11,35 @@ import os
 import re
 import sys
 from array import array
+from functools import partial
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct stretches that a worker remembers.
-MEMO = 800_000
+#: Distinct stretches that a worker remembers, and how many of their letters: about 60 MB at most.
+MEMO, LETTERS = 200_000, 4_000_000
 #: A space between two other white-space characters, or at the end behind one: no word boundary lies before it.
 INNER = re.compile(r"\s (?:\s|\Z)")
 #: Before a space between two other characters there is always a boundary.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Bytes of texts that are split and looked up at once.
+AT_ONCE = 24_000_000
 #: Letters whose runs are one piece to any byte-level splitter.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
+#: Stretches without white space on either side of single line ends.
+LINES = re.compile(r"\S+(?:\n\S+)+")
+
 
 class Memo:
-    """Encoded stretches in two generations: when the young one is full it becomes the old one."""
+    """Encoded stretches in two generations: when the young one is full, by number or by letters, it becomes the old one."""
 
-    def __init__(self, encode, limit: int):
-        self.encode, self.half, self.young, self.old = encode, max(1, limit // 2), {}, {}
+    def __init__(self, encode, limit: int, letters: int = LETTERS):
+        self.encode, self.half, self.letters, self.held = encode, max(1, limit // 2), letters // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def of(self, stretches: list[str]) -> list[bytes]:
         """The ids of each; stretches should be distinct."""
@@ -37,13 +47,15 @@ class Memo:
         missing = [i for i, data in enumerate(found) if data is None]
         if missing:
             words = [stretches[i] for i in missing]
-            encode = self.encode
-            data = [d if d is not None else encode(w) for w, d in zip(words, map(self.old.get, words), strict=True)]
+            encode, old = self.encode, self.old.get
+            data = [old(w) or encode(w) for w in words]
             for i, d in zip(missing, data, strict=True):
                 found[i] = d
-            if len(self.young) + len(words) > self.half:
-                self.old, self.young = self.young, {}
-            self.young.update(zip(words[: self.half], data, strict=False))
+            size = sum(map(len, words))
+            if len(self.young) + len(words) > self.half or self.held + size > self.letters:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young.update((w, d) for w, d in zip(words[: self.half], data, strict=False) if len(w) <= 200)
+            self.held += size
         return found
 
 
@@ -59,26 +71,26 @@ class Encoder:
         self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         assert array("I").itemsize == 4 and sys.byteorder == "little"
         # the library's own byte-level letters of the Latin words that need no further split
-        self.letters = {x: "".join(m for m, _ in self.split(x)) for x in map(chr, range(0x250)) if LATIN.fullmatch(x)}
+        self.letters = {ord(x): "".join(m for m, _ in self.split(x)) for x in map(chr, range(0x250)) if LATIN.fullmatch(x)}
         self.blank = self.split(" a")[0][0][:-1]
-        self.spaced, self.whole = Memo(lambda w: self.encode(" ", w), memo), Memo(lambda w: self.encode("", w), memo // 8)
-        self.marks = Memo(lambda w: array("I", self.raw(w)).tobytes(), 100)
+        self.line_end = array("I", self.raw("\n")).tobytes()
+        self.spaced, self.whole = Memo(partial(self.encode, self.blank, " "), memo), Memo(partial(self.encode, "", ""), memo // 8)
+        self.marks = Memo(lambda w: array("I", self.raw(w)).tobytes(), 2_000)
 
     def raw(self, text: str) -> list[int]:
         """The library's ids of a whole text."""
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, lead: str, stretch: str) -> bytes:
-        stem = stretch.rstrip(".,")
-        try:
-            piece = "".join([self.letters[c] for c in stem])
-        except KeyError:
-            piece = ""
-        if not piece:
-            return array("I", [t.id for p, _ in self.split(lead + stretch) for t in self.merge(p)]).tobytes()
-        # a Latin word is one piece, and the marks behind it are another
-        data = array("I", [t.id for t in self.merge(self.blank + piece if lead else piece)]).tobytes()
-        return data + self.marks.of([stretch[len(stem) :]])[0] if len(stem) < len(stretch) else data
+    def encode(self, blank: str, lead: str, stretch: str) -> bytes:
+        """A Latin word is one piece, the marks behind it are another, and so is a line end between two; what is neither is split by the library."""
+        stem = stretch.rstrip(punctuation)
+        if LATIN.fullmatch(stem):
+            data = array("I", [t.id for t in self.merge(blank + (stem if stem.isascii() else stem.translate(self.letters)))]).tobytes()
+            return data if len(stem) == len(stretch) else data + self.marks.of([stretch[len(stem) :]])[0]
+        if LINES.fullmatch(stretch):
+            first, *rest = stretch.split("\n")
+            return self.line_end.join([self.encode(blank, lead, first), *self.whole.of(rest)])
+        return array("I", [t.id for p, _ in self.split(lead + stretch) for t in self.merge(p)]).tobytes()
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts: each distinct stretch among them is looked up once, and columns of stretches become columns of ids."""
@@ -107,23 +119,28 @@ class Encoder:
         return [h + flat[a:b] for h, a, b in zip(heads, at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
+_kept: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """One in each worker process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
-
-
-def groups(texts: list[str | None], chars: int = 12_000_000):
-    """Runs of texts of about so many characters: what is split at once stays small."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    """One in each worker process, until a task of another kind starts there."""
+    if vocabulary not in _kept:
+        _kept.clear()
+        _kept[vocabulary] = Encoder(vocabulary)
+    return _kept[vocabulary]
+
+
+def release() -> None:
+    """Forgets the encoder: Spark gives a worker the tasks of other operators too, and those need the memory."""
+    _kept.clear()
+
+
+def sliced(texts: pa.Array, size: int = 8_000_000):
+    """First row and texts of runs of rows with about so many bytes: what a task holds as Python strings at once stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, texts.slice(start, end - start).to_pylist()
+        start = end

@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import folder, stored
-from .tokens import encoder, groups
+from .staging import folder, stored
+from .tokens import AT_ONCE, encoder, sliced
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 #: Tokens of a shard; a single longer document makes a longer shard.
 SHARD = 2_000_000
 #: Bits between two entries of a plane's rank directory.
@@ -32,35 +32,40 @@ STEP = 512
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of ids, from the highest bit; each plane puts zeros before ones, in order."""
+    """Bit planes of a sequence of ids, from the highest bit; each plane puts zeros before ones, in order. The planes hold the ids' ranks in the sequence's own alphabet, so that there are as few as it needs."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], alphabet: np.ndarray):
+        self.n, self.planes, self.zeros, self.alphabet = n, planes, zeros, alphabet
         self.ranks = None
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        width = max(1, int(ids.max(initial=0)).bit_length())
-        at = ids.astype(np.uint16 if width <= 16 else np.uint32)
+        here = np.bincount(ids) > 0 if len(ids) else np.zeros(1, bool)
+        alphabet = np.flatnonzero(here).astype(np.uint32)
+        width = max(1, (len(alphabet) - 1).bit_length())
+        kind = np.uint16 if width <= 16 else np.uint32
+        at = (np.cumsum(here) - 1).astype(kind).take(ids)
         planes, zeros = [], []
         for bit in range(width - 1, -1, -1):
-            ones = (at >> at.dtype.type(bit) & at.dtype.type(1)).astype(bool)
-            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
+            ones = (at & kind(1 << bit)).astype(bool)
             planes.append(np.packbits(ones))
+            high = at.take(np.flatnonzero(ones))
+            low = at.take(np.flatnonzero(np.logical_not(ones, out=ones)))
             zeros.append(len(low))
-            at = np.concatenate((at.take(low), at.take(high)))
-        return cls(len(ids), planes, zeros)
+            at[: len(low)], at[len(low) :] = low, high
+        return cls(len(ids), planes, zeros, alphabet)
 
     def decode(self) -> np.ndarray:
         """All ids in order: from the lowest plane up, zeros and ones go back to their places."""
-        at = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        at, back = np.zeros(self.n, kind), np.empty(self.n, kind)
         for bit, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             ones = np.unpackbits(plane, count=self.n).view(bool)
-            back = np.empty_like(at)
-            back[np.flatnonzero(~ones)] = at[:zeros]
-            back[np.flatnonzero(ones)] = at[zeros:] | at.dtype.type(1 << bit)
-            at = back
-        return at
+            np.bitwise_or(at[zeros:], kind(1 << bit), out=at[zeros:])
+            back[np.flatnonzero(ones)] = at[zeros:]
+            back[np.flatnonzero(np.logical_not(ones, out=ones))] = at[:zeros]
+            at, back = back, at
+        return self.alphabet.take(at) if self.n else np.zeros(0, np.uint32)
 
     def rank(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
@@ -82,15 +87,16 @@ class WaveletMatrix:
         for level, plane in enumerate(self.planes):
             bit = int(plane[i >> 3] >> (7 - (i & 7)) & 1)
             value, i = value << 1 | bit, self.down(level, bit, i)
-        return value
+        return int(self.alphabet[value])
 
     def count(self, value: int, start: int = 0, end: int | None = None) -> int:
         """Occurrences in [start, end)."""
         end = self.n if end is None else end
-        if value >> len(self.planes):
+        code = int(np.searchsorted(self.alphabet, value))
+        if code == len(self.alphabet) or self.alphabet[code] != value:
             return 0
         for level in range(len(self.planes)):
-            bit = value >> (len(self.planes) - 1 - level) & 1
+            bit = code >> (len(self.planes) - 1 - level) & 1
             start, end = self.down(level, bit, start), self.down(level, bit, end)
         return end - start
 
@@ -106,11 +112,11 @@ class WaveletMatrix:
 
 
 def dumped(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A file: magic, header length, header, then compressed document table and planes."""
+    """A file: magic, header length, header, then compressed document table, alphabet and planes."""
     codec = pa.Codec("zstd", 1)
     m = WaveletMatrix.build(ids)
     known = np.array([d is not None for d in doc_ids], bool)
-    raw = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(lengths, "<i8").tobytes(), *(p.tobytes() for p in m.planes)]
+    raw = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(lengths, "<i8").tobytes(), m.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in m.planes)]
     parts = [codec.compress(r, asbytes=True) for r in raw]
     head = json.dumps({"docs": len(doc_ids), "tokens": m.n, "zeros": m.zeros, "sizes": [[len(r), len(p)] for r, p in zip(raw, parts, strict=True)]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
@@ -126,7 +132,7 @@ def loaded(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
         raw.append(np.frombuffer(codec.decompress(data[at : at + packed], whole, asbytes=True), np.uint8))
         at += packed
     ids, known = raw[0].view("<i8").tolist(), np.unpackbits(raw[1], count=head["docs"]).tolist()
-    return [d if k else None for d, k in zip(ids, known, strict=True)], raw[2].view("<i8"), WaveletMatrix(head["tokens"], raw[3:], head["zeros"])
+    return [d if k else None for d, k in zip(ids, known, strict=True)], raw[2].view("<i8"), WaveletMatrix(head["tokens"], raw[4:], head["zeros"], raw[3].view("<u4"))
 
 
 def opened(path: str):
@@ -161,9 +167,9 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 0, shard: int = SH
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                for i, data in enumerate(encode.many(texts[a:b]), a):
+            ids = batch.column(0).to_pylist()
+            for a, texts in sliced(batch.column(1), AT_ONCE):
+                for i, data in enumerate(encode.many(texts), a):
                     held.append((ids[i], data + tail))
                     tokens += len(data) // 4 + 1
                     if tokens >= shard:
@@ -186,7 +192,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                 system, name = opened(path)
                 with system.open_input_stream(name) as f:
                     doc_ids, lengths, matrix = loaded(f.read())
-                ids = memoryview(matrix.decode().astype("<u4").tobytes())
+                ids = memoryview(matrix.decode()).cast("B")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
