@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from quarry.llm.nearness import near_groups, threshold
+from quarry.llm.nearness import collisions, near_groups, threshold
 
 
 def shingles(text, size):
@@ -74,4 +75,46 @@ def test_empty(no_docs):
 
 
 def test_threshold():
-    assert threshold(85, 64) == 40 and threshold(80, 64) == 35 and threshold(100, 64) == 64
+    assert threshold(85, 32) == 16 and threshold(85, 256) == 188 and threshold(80, 256) == 172 and threshold(100, 64) == 64
+
+
+def edited(rng, words, target, size):
+    """A copy whose shingle similarity lies just at or above the target."""
+    copy = list(words)
+    own = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+    while True:
+        other = list(copy)
+        other[rng.randrange(len(other))] = f"x{rng.random()}"
+        sets = {tuple(other[i : i + size]) for i in range(len(other) - size + 1)}
+        if 100 * len(own & sets) < target * len(own | sets):
+            return copy
+        copy = other
+
+
+def test_recall_just_above_the_similarity(spark):
+    """Pairs at 85 to 87 percent: all 400 are found."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        words = [f"a{rng.randrange(50_000)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, 85, 3)))]
+    got = {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == 400
+
+
+def test_template_pages_below_the_similarity(spark):
+    """Pages that share half their words: no links, and neither pairs nor texts of them in numbers."""
+    rng = random.Random(5)
+    frame = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join(frame + [f"p{rng.randrange(10**9)}" for _ in range(60)])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_groups(docs, 3, 85).where("kept").count() == 3000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_collisions(seed):
+    rng = np.random.default_rng(seed)
+    left = rng.integers(0, 3, (40, 256)).astype(np.uint8)
+    right = np.concatenate((left[:20], rng.integers(0, 3, (30, 256)).astype(np.uint8)))
+    right[:20][rng.random((20, 256)) < 0.2] = 9
+    want = {(i, j, int((a == b).sum())) for i, a in enumerate(left) for j, b in enumerate(right) if (a == b).sum() >= 188}
+    assert set(zip(*(x.tolist() for x in collisions(left, right, 188)))) == want and want
