@@ -1,25 +1,25 @@
 """Removal of repeated runs of lines.
 
-told() takes every pair of neighbouring lines: a line goes if it stands in a pair that isn't the first of its kind, so each
-repeated run of two lines and more goes from end to end, whatever stands around it, and each distinct line stays somewhere.
-A later pair that overlaps its first one (a line three times in a row) takes only the line beyond it; blank lines between lines
-that go, go too; pairs of blank lines and repeated single lines stay.
-
-without_repeats() takes content-defined chunks instead: a rolling hash over the hashes of neighbouring lines ends chunks, so the
-chunks of a passage are the same wherever it stands but for its first and last, which stay, as short passages mostly do.
-
-Pieces (pairs or chunks) that occur more than once anywhere, by digest, are compared byte by byte with their first occurrence
-(by doc_id, text and position); all but the first are cut out. The texts are dealt once, to bring each document its list of
-repeated pieces; digests and the repeated pieces travel alone.
-
-Defined cases: null and empty texts, and texts of one line, have no pieces; a null doc_id sorts last; rows that are equal in
-doc_id and text are one document and are rewritten alike; a document that loses all lines keeps its row with an empty text;
-blank chunks stay; an empty table gives no rows; other columns pass, whatever their names.
+A hash rolls over the hashes of neighbouring lines. Chunks are the windows of two lines that it covers, with every line end a
+boundary: the densest content-defined cut, which no shift can move. A line goes if it stands in a chunk that isn't the first
+of its kind, so each repeated run of two lines and more goes from end to end, whatever stands around it, and each distinct
+line stays somewhere. A single line of LONG words and more is a chunk of its own. Sparser cuts lose short passages and the
+ends of runs (README has the figures).
+
+A later chunk that overlaps its first one (a line three times in a row) takes only the line beyond it; blank lines between lines
+that go, go too; chunks of blank lines and repeated short single lines stay.
+
+Chunks that occur more than once anywhere, by digest, are compared byte by byte with their first occurrence (by doc_id, text
+and position); all but the first are cut out. The texts are dealt once, to bring each document its list of repeated chunks;
+digests and the repeated chunks travel alone.
+
+Defined cases: null and empty texts, and texts of one short line, have no chunks; a null doc_id sorts last; rows that are equal
+in doc_id and text are one document and are rewritten alike; a document that loses all lines keeps its row with an empty text;
+an empty table gives no rows; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import groupby
 
 import pyarrow as pa
@@ -27,57 +27,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
-
-#: Lines of a chunk at least and at most; a line pair ends a chunk with chance 1 / OFTEN.
-LEAST, MOST, OFTEN = 2, 16, 3
-PLACE = "struct<none:boolean,doc:long,key:long,chunk:int>"
-
-
-def bounds(lines: list[str]) -> list[tuple[int, int]]:
-    """Start and end of each chunk of lines."""
-    out, start, before = [], 0, 0
-    for i, line in enumerate(lines):
-        h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-        n = i + 1 - start
-        if n >= MOST or n >= LEAST and (h * 31 + before * 17 >> 7) % OFTEN == 0:
-            out.append((start, i + 1))
-            start = i + 1
-        before = h
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
-
-
-def chunks(text: str | None) -> list[str]:
-    """The chunks of a text; joined by line ends they are the text."""
-    lines = (text or "").split("\n")
-    return ["\n".join(lines[a:b]) for a, b in bounds(lines)]
+from .staging import carried, stored, with_text
+from .tokens import release, sliced
 
+#: Words of a line that is a chunk by itself.
+LONG = 50
 
-def counted(chunk: str) -> bool:
-    return "\n" in chunk and not chunk.isspace()
 
-
-def pairs(text: str | None) -> list[str]:
-    """All pairs of neighbouring lines of a text, by their first line."""
+def rolled(text: str | None, long: int = LONG) -> list[tuple[int, bytes]]:
+    """Number and digest of each chunk: 2 k is the window of lines k and k + 1, and 2 k + 1 is the long line k."""
     lines = (text or "").split("\n")
-    return [a + "\n" + b for a, b in zip(lines, lines[1:])]
+    out, before, blank_before = [], b"", True
+    for k, line in enumerate(lines):
+        h, blank = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), not line or line.isspace()
+        if k and not (blank and blank_before):
+            out.append((2 * k - 2, xxhash.xxh3_128_digest(before + h)))
+        if len(line) >= 2 * long - 1 and len(line.split(None, long)) >= long:
+            out.append((2 * k + 1, xxhash.xxh3_128_digest(h)))
+        before, blank_before = h, blank
+    return out
 
 
-def chunks_left(text: str, gone: set[int]) -> tuple[list[str], int, int]:
-    """Chunks that stay, number of all, number of those that go."""
-    parts = chunks(text)
-    return [p for k, p in enumerate(parts) if k not in gone], len(parts), len(gone)
+def chunk(lines: list[str], number: int) -> str:
+    return lines[number // 2] if number % 2 else "\n".join(lines[number // 2 : number // 2 + 2])
 
 
 def lines_left(text: str, gone: set[int]) -> tuple[list[str], int, int]:
-    """Lines that stay without the pairs that go, number of stretches of lines that stay or go, number of those that go."""
+    """Lines that stay without the chunks that go, number of stretches of lines that stay or go, number of those that go."""
     lines = text.split("\n")
     out = [False] * len(lines)
-    for k in gone:
+    for number in gone:
+        k = number // 2
+        if number % 2:
+            out[k] = True
+            continue
         out[k + 1] = True
-        if k - 1 in gone or not k or not lines[k - 1] == lines[k] == lines[k + 1]:
+        if number - 2 in gone or not k or not lines[k - 1] == lines[k] == lines[k + 1]:
             out[k] = True
     at = 0
     for blank, some in groupby(lines, lambda x: not x or x.isspace()):
@@ -89,82 +74,80 @@ def lines_left(text: str, gone: set[int]) -> tuple[list[str], int, int]:
     return [x for x, o in zip(lines, out) if not o], len(stretches), sum(stretches)
 
 
-def digests(docs: DataFrame, pieces: Callable) -> DataFrame:
-    """doc, key, chunk, digest of all pieces of several lines."""
+def digests(docs: DataFrame, long: int) -> DataFrame:
+    """doc, key, chunk, digest of all chunks."""
 
     def run(batches):
+        release()
         for batch in batches:
-            row, number, digest = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for k, chunk in enumerate(pieces(text)):
-                    if counted(chunk):
-                        row.append(i)
-                        number.append(k)
-                        digest.append(xxhash.xxh3_128_digest(chunk.encode()))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(digest, pa.binary())], names=["doc", "key", "chunk", "digest"])
-
-    return docs.select("_doc", "_key", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, key long, chunk int, digest binary")
-
-
-def cut(docs: DataFrame, pieces: Callable, left: Callable) -> DataFrame:
-    """docs with their repeated pieces cut out, and _lines, _chunks, _cut and _kept_lines."""
-    names = docs.columns
-    docs = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")})
-    found = stored(digests(docs, pieces), "line-chunks")
+            for at, texts in sliced(batch.column(2)):
+                found = [(at + i, k, d) for i, text in enumerate(texts) for k, d in rolled(text, long)]
+                row = pa.array([f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=["doc", "key", "chunk", "digest"])
+
+    return docs.select("doc", "key", "text").mapInArrow(run, "doc long, key long, chunk int, digest binary")
+
+
+def cut(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """row (all columns of docs), text without its repeated chunks, and the numbers lines, stretches, removed and kept."""
+    text = F.col("row.text").cast("string")
+    docs = carried(docs).withColumns({"doc": F.col("row.doc_id").cast("long"), "key": F.xxhash64(text), "text": text})
+    found = stored(digests(docs, long), "line-chunks")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "chunk")
     repeated = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("digest", "first")
-    listed = found.join(stored(repeated, "line-repeated"), "digest").groupBy("doc", "key").agg(F.collect_set(F.struct("chunk", "digest", (place == F.col("first")).alias("is_first"))).alias("_list"))
-    on = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_key") == F.col("key"))
-    dealt = stored(docs.join(listed, on, "left").drop("doc", "key"), "line-texts")
+    listed = found.join(stored(repeated, "line-repeated"), "digest").groupBy("doc", "key").agg(F.collect_set(F.struct("chunk", "digest", (place == F.col("first")).alias("is_first"))).alias("chunks"))
+    on = lambda other: F.col("d.doc").eqNullSafe(other["doc"]) & (F.col("d.key") == other["key"])
+    dealt = docs.drop("text").alias("d")
+    dealt = stored(dealt.join(listed, on(listed), "left").select("d.*", "chunks"), "line-texts").withColumn("text", text)
 
     def texts(batches):
+        release()
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.string())
         for batch in batches:
-            table: list[tuple] = []
-            for doc, key, text, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = pieces(text)
-                table += [(doc, key, x["chunk"], x["digest"], x["is_first"], parts[x["chunk"]]) for x in several]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)], names=["doc", "key", "chunk", "digest", "is_first", "part"])
-
-    some = dealt.where("_list is not null").select("_doc", "_key", F.col("text").cast("string").alias("text"), "_list")
+            for at, some in sliced(batch.column(2)):
+                doc, key, chunks = (batch.column(i).slice(at, len(some)).to_pylist() for i in (0, 1, 3))
+                table: list[tuple] = []
+                for d, k, text, several in zip(doc, key, some, chunks, strict=True):
+                    lines = text.split("\n")
+                    table += [(d, k, x["chunk"], x["digest"], x["is_first"], chunk(lines, x["chunk"])) for x in several]
+                yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)], names=["doc", "key", "chunk", "digest", "is_first", "part"])
+
+    some = dealt.where("chunks is not null").select("doc", "key", "text", "chunks")
     parts = stored(some.mapInArrow(texts, "doc long, key long, chunk int, digest binary, is_first boolean, part string"), "line-parts")
     firsts = stored(parts.where("is_first").select("digest", F.col("part").alias("first_part")).dropDuplicates(["digest"]), "line-firsts")
     same = parts.where("not is_first").join(firsts, "digest").where("part = first_part")
-    gone = same.groupBy("doc", "key").agg(F.collect_set("chunk").alias("_gone"))
-    out = dealt.where("_list is not null").drop("_list").join(gone, on, "left").drop("doc", "key")
-    none = F.lit(None).cast("array<int>")
-    out = out.unionByName(dealt.where("_list is null").drop("_list").withColumn("_gone", none))
+    gone = same.groupBy("doc", "key").agg(F.collect_set("chunk").alias("gone"))
+    out = dealt.where("chunks is not null").alias("d").join(gone, on(gone), "left").select("row", "text", "gone")
+    out = out.unionByName(dealt.where("chunks is null").select("row", "text", F.lit(None).cast("array<int>").alias("gone")))
 
     def rewritten(batches):
+        release()
+        kinds = (pa.string(), *[pa.int64()] * 4)
         for batch in batches:
-            table = []
-            for text, out_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is None:
-                    table.append((None, 0, 0, 0, 0))
-                    continue
-                kept, parts_, gone_ = left(text, set(out_ or ()))
-                table.append(("\n".join(kept) if out_ else text, text.count("\n") + 1, parts_, gone_, sum(p.count("\n") + 1 for p in kept)))
-            kinds = (pa.string(), *[pa.int64()] * 4)
-            done = [pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *done], names=[*batch.schema.names[2:], "_new", "_lines", "_chunks", "_cut", "_kept_lines"])
-
-    others = [n for n in names if n != "text"]
-    ready = out.select(F.col("text").cast("string").alias("_text"), "_gone", *others)
-    schema = ready.drop("_text", "_gone").schema
-    for name, kind in (("_new", "string"), ("_lines", "long"), ("_chunks", "long"), ("_cut", "long"), ("_kept_lines", "long")):
+            for at, some in sliced(batch.column(1)):
+                table = []
+                for text, out_ in zip(some, batch.column(2).slice(at, len(some)).to_pylist(), strict=True):
+                    if text is None:
+                        table.append((None, 0, 0, 0, 0))
+                        continue
+                    kept, stretches, removed = lines_left(text, set(out_ or ()))
+                    table.append(("\n".join(kept) if out_ else text, text.count("\n") + 1, stretches, removed, len(kept)))
+                done = [pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *done], names=["row", "text", "lines", "stretches", "removed", "kept"])
+
+    schema = out.select("row").schema
+    for name, kind in (("text", "string"), ("lines", "long"), ("stretches", "long"), ("removed", "long"), ("kept", "long")):
         schema = schema.add(name, kind)
-    done = ready.mapInArrow(rewritten, schema)
-    return done.select(*(F.col("_new").alias("text") if n == "text" else n for n in names), "_lines", "_chunks", "_cut", "_kept_lines")
+    return out.mapInArrow(rewritten, schema)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
     """docs with their repeated chunks of lines cut out."""
-    return cut(docs, chunks, chunks_left).select(*docs.columns)
+    return cut(docs, long).select(*with_text(F.col("text"), docs))
 
 
-def told(docs: DataFrame) -> DataFrame:
+def told(docs: DataFrame, long: int = LONG) -> DataFrame:
     """Per document: lines, stretches of lines that stay or go, stretches cut out, lines kept, and the checksum of what is left."""
-    return cut(docs.select("doc_id", "text"), pairs, lines_left).select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.col("_chunks").alias("n_chunks"), F.col("_cut").alias("n_removed"), F.col("_kept_lines").alias("n_kept_lines"), F.crc32(F.coalesce("text", F.lit(""))).alias("kept_crc32")
+    return cut(docs.select("doc_id", "text"), long).select(
+        "row.doc_id", F.col("lines").alias("n_lines"), F.col("stretches").alias("n_chunks"), F.col("removed").alias("n_removed"), F.col("kept").alias("n_kept_lines"), F.crc32(F.coalesce("text", F.lit(""))).alias("kept_crc32")
     )
