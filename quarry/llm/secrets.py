@@ -10,10 +10,10 @@ one; equal starts order by kind; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .staging import stored
 
 #: Kind, pattern, the group whose length counts, and its least length. Fixed values.
 BASE = (
@@ -32,27 +32,34 @@ KEY = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 WINDOW = 256
 
 KINDS = [k for k, *_ in BASE + WEAK]
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches that pass, with positions in code points: what lies between the matches gives their starts."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    pieces = F.arrays_zip(
+def matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches in order: code points between the last one and this, those of this, and whether it passes."""
+    found = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-        F.transform(found, F.length).alias("size"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(group)), (lambda v: F.length(v)) if kind != "key" else (lambda v: F.when(v.rlike(KEY), F.length(v)).otherwise(0))).alias("value"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("size"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: (F.length(v) >= least) & (v.rlike(KEY) if kind == "key" else F.lit(True))).alias("passes"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    told_ = F.transform(F.filter(found, lambda x: x["size"].isNotNull()), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["gap"].cast("long").alias("gap"), x["size"].cast("long").alias("size"), x["passes"].alias("passes")))
+    return F.when(text.rlike(pattern), told_).otherwise(F.array().cast("array<struct<kind:int,gap:long,size:long,passes:boolean>>"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+def spans(scanned: DataFrame) -> DataFrame:
+    """row, kind, start, end of the matches that pass: a running sum of gaps and sizes gives the places, one pass over a row's matches however many."""
+    found = scanned.select("row", F.posexplode("found").alias("number", "match")).select("row", "number", "match.*")
+    before = Window.partitionBy("row", "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("size")).over(before)
+    return found.withColumn("end", end).where("passes").select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """Without the weak spans that overlap a base span: the farthest end of the base spans that start before a weak span ends tells."""
+    base = F.col("kind") < len(BASE)
+    at = found.withColumn("at", F.when(base, F.col("start")).otherwise(F.col("end") - 1))
+    farthest = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return at.withColumn("farthest", farthest).where(base | F.coalesce(F.col("farthest") <= F.col("start"), F.lit(True))).drop("at", "farthest")
 
 
 def told(parts: Column) -> Column:
@@ -61,45 +68,40 @@ def told(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def linked(scanned: DataFrame) -> DataFrame:
-    """Weak spans of each row that stand beside their complements."""
+def linked(parts: DataFrame) -> DataFrame:
+    """Weak spans that stand beside their complements: row, kind, start, end."""
     kind = {k: i for i, k in enumerate(KINDS)}
-    some = lambda *kinds: F.exists("parts", lambda s: s["kind"].isin([kind[k] for k in kinds]))
-    parts = scanned.where(some("identifier", "access") & some("key", "assign", "hex")).select("row", F.inline("parts"))
-    parts = parts.withColumn("cell", F.floor(F.col("start") / WINDOW))
-    ids = parts.where(F.col("kind").isin(kind["identifier"], kind["access"]))
-    keys = parts.where(F.col("kind").isin(kind["key"], kind["assign"], kind["hex"]))
+    of = lambda *kinds: parts.where(F.col("kind").isin([kind[k] for k in kinds]))
+    ids, keys, ends = of("identifier", "access"), of("key", "assign", "hex"), of("endpoint")
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         """Interval join: rows of left with one of right within the window; right posts itself in all cells that its window touches."""
         cells = F.sequence(F.floor((F.col("start") - WINDOW) / WINDOW), F.floor((F.col("end") + WINDOW) / WINDOW))
         near = right.select(F.col("row").alias("r_row"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.explode(cells).alias("r_cell"))
         # a long left span may begin a cell before the window of what follows it
-        wide = left.withColumn("cells", F.sequence(F.floor(F.col("start") / WINDOW), F.floor(F.col("end") / WINDOW))).withColumn("l_cell", F.explode("cells")).drop("cells")
+        wide = left.withColumn("l_cell", F.explode(F.sequence(F.floor(F.col("start") / WINDOW), F.floor(F.col("end") / WINDOW))))
         on = (F.col("row") == F.col("r_row")) & (F.col("l_cell") == F.col("r_cell")) & (F.col("start") <= F.col("r_end") + WINDOW) & (F.col("r_start") <= F.col("end") + WINDOW)
         return wide.join(near, on, "left_semi").drop("l_cell").distinct()
 
     near_ids, near_keys = beside(ids, keys), beside(keys, ids)
-    ends = beside(beside(parts.where(F.col("kind") == kind["endpoint"]), near_ids), near_keys)
-    weak = near_ids.unionByName(near_keys).unionByName(ends).where(F.col("kind") >= len(BASE))
-    return weak.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("weak"))
+    return near_ids.unionByName(near_keys).unionByName(beside(beside(ends, near_ids), near_keys)).where(F.col("kind") >= len(BASE))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Per document: counts and digest of the base spans, and all spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.array_sort(F.concat(*(spans(text, *k) for k in BASE)))
-    weak = F.concat(*(spans(text, *k) for k in WEAK))
-    scanned = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), weak.alias("weak_parts"))
-    fresh = F.filter("weak_parts", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    scanned = stored(scanned.select("row", "doc_id", "base", F.concat("base", fresh).alias("parts")), "secret-spans")
-    found = scanned.join(linked(scanned), "row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("weak", F.array().cast(SPAN))))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = F.concat(*(matches(text, *k) for k in BASE + WEAK))
+    scanned = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found")), "secret-matches")
+    parts = stored(apart(spans(scanned.where(F.size("found") > 0))), "secret-spans")
+    every = parts.where(F.col("kind") < len(BASE)).unionByName(linked(parts))
+    of_row = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    out = scanned.select("row", "doc_id").join(of_row, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    out = out.withColumn("base", F.filter("spans", lambda s: s["kind"] < len(BASE)))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    return found.select(
+    return out.select(
         "doc_id",
         *(count(i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)),
         F.sha2(told(F.col("base")), 256).alias("base_sha256"),
-        told(every).alias("spans"),
-        F.size(F.coalesce("weak", F.array().cast(SPAN))).cast("long").alias("n_linked"),
+        told(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_linked"),
     )
