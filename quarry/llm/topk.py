@@ -1,10 +1,11 @@
 """Exact top-k search by inner product over norm-bucketed vectors.
 
-Vectors lie in parts; each part sorts its vectors by length and cuts them into buckets. Blocks of queries meet all parts. For
-a bucket, a query's k-th best score so far, divided by both lengths, is the cosine that a vector there must reach: above 1
-the bucket and all shorter ones are done for that query. A high threshold prunes by coordinates (the strongest ones of
-the query bound those of any vector within that cosine), a low one by length alone; what is left is verified by exact integer
-products. Each part gives k candidates a query, and the best k of these are the result.
+Vectors are dealt by range of length: part 0 holds the longest, and equal lengths spread over as many parts as they need. The
+search goes from the longest part on, in waves of growing width; after each wave a query's k-th best score is its bar, and it goes
+on only to parts whose greatest length times its own can still reach it. Within a part, buckets of vectors of like length come
+in order: a query's bar, divided by both lengths, is the cosine that a vector there must reach; above 1 the bucket and all
+shorter ones are done for that query. A high threshold prunes by coordinates (the strongest ones of the query bound those of
+any vector within that cosine), a low one by length alone; what is left is verified by exact integer products.
 
 Defined cases: null vectors, vectors with null or non-finite components and vectors of another width than the query's take
 no part; zero vectors score 0; rows that share the query's vec_id are its own and no candidates; a null vec_id is no query
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .staging import stored
 
 #: Vectors in a bucket, queries in a block, vectors in a part; few vectors make smaller parts, for as many tasks.
 BUCKET, BLOCK, PART = 512, 2_048, 16_384
 SMALL, TASKS = 256, 64
+#: A wave is so many times as wide as the one before; greatest lengths that a query compares itself with, at most.
+WIDER, MARKS = 8, 4_096
 #: Coordinates that prune, and the cosine from which they do.
 FOCUS, STEEP = 3, 0.5
 #: Sums of products below this are exact in doubles.
@@ -35,23 +38,25 @@ LONG = 2**63 - 1
 
 
 def whole(df: DataFrame, scale: int) -> DataFrame:
-    """vec_id and the scaled, floored vector of the rows that take part."""
+    """vec_id, the scaled, floored vector and its length, of the rows that take part."""
     scaled = F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     # doubles from 2^53 up are whole
     vector = F.transform(scaled, lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y))
-    return df.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
+    return df.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("length", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
 
 
 class Best:
     """The k best candidates of each query so far: scores descending, ties by ascending id."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, bar: np.ndarray | None = None):
         self.score = np.full((queries, k), -np.inf)
         self.id = np.full((queries, k), LONG, np.int64)
+        self.least = np.full(queries, -np.inf) if bar is None else bar
 
     def bar(self) -> np.ndarray:
-        return self.score[:, -1]
+        """What a score must reach: the k-th so far, here or elsewhere."""
+        return np.maximum(self.score[:, -1], self.least)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: of each row against ids, -inf where no candidate."""
@@ -63,9 +68,9 @@ class Best:
         self.id[rows] = np.take_along_axis(every, order, 1)
 
 
-def search(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, exact) -> Best:
-    """The k best of v for each row of q; exact(q, v) gives all products."""
-    best = Best(len(q), k)
+def search(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, exact, bar: np.ndarray | None = None) -> Best:
+    """The k best of v for each row of q, as far as they reach the bar; exact(q, v) gives all products."""
+    best = Best(len(q), k, bar)
     length = np.sqrt((v * v).sum(1))
     order = np.lexsort((v_id, -length))
     v_id, v, length = v_id[order], v[order], length[order]
@@ -116,36 +121,58 @@ def by_integers(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray
     return found
 
 
+def found_in(table: pa.Table, k: int) -> pa.Table:
+    """The k best of a part's vectors for each query of a block."""
+    query, ids, keys, bars = (table.column(c).to_numpy() for c in ("query", "vec_id", "key", "bar"))
+    lists = table.column("vector").combine_chunks()
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    width, found = np.diff(starts), []
+    for w in np.unique(width[query]).tolist():
+        q_at, v_at = np.flatnonzero(query & (width == w)), np.flatnonzero(~query & (width == w))
+        q, v = (flat[starts[at][:, None] + np.arange(w)] for at in (q_at, v_at))
+        if not len(v_at):
+            continue
+        if w and float(np.abs(q).max()) * float(np.abs(v).max()) * w >= EXACT:
+            best = by_integers(ids[q_at], q, ids[v_at], v, k)
+        else:
+            b = search(ids[q_at], q, ids[v_at], v, k, lambda x, y: x @ y.T, bars[q_at])
+            best = [(i, d, int(s)) for i in range(len(q_at)) for d, s in zip(b.id[i].tolist(), b.score[i].tolist(), strict=True) if s != -np.inf]
+        found += [(int(ids[q_at[i]]), int(keys[q_at[i]]), d, s) for i, d, s in best]
+    return pa.table({name: pa.array([x[i] for x in found], pa.int64()) for i, name in enumerate(("query_id", "key", "vec_id", "score"))})
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score for queries with ids divisible by every."""
-    rows = stored(whole(vectors, scale), "topk-vectors")
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
+    rows = stored(whole(vectors, scale).withColumn("at", F.monotonically_increasing_id()), "topk-vectors")
+    key = F.xxhash64("vec_id", "vector")
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vector", "length", key.alias("key")).distinct()
     n, n_queries = rows.count(), queries.count()
     parts, blocks = max(1, -(-n // PART), min(TASKS, -(-n // SMALL))), max(1, -(-n_queries // BLOCK))
-    key = F.xxhash64("vec_id", "vector")
-    salt = lambda count: F.pmod(key, F.lit(count)).cast("int")
-    # every task holds one block of queries and one part of the vectors
-    of_parts = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), salt(parts).alias("part"), F.lit(False).alias("query"), key.alias("key"), "vec_id", "vector")
-    of_blocks = queries.select(salt(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), key.alias("key"), "vec_id", "vector")
-
-    def run(table: pa.Table) -> pa.Table:
-        query, ids, keys = (table.column(c).to_numpy() for c in ("query", "vec_id", "key"))
-        lists = table.column("vector").combine_chunks()
-        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        width, found = np.diff(starts), []
-        for w in np.unique(width[query]).tolist():
-            q_at, v_at = np.flatnonzero(query & (width == w)), np.flatnonzero(~query & (width == w))
-            q, v = (flat[starts[at][:, None] + np.arange(w)] for at in (q_at, v_at))
-            if not len(v_at):
-                continue
-            if w and float(np.abs(q).max()) * float(np.abs(v).max()) * w >= EXACT:
-                best = by_integers(ids[q_at], q, ids[v_at], v, k)
-            else:
-                b = search(ids[q_at], q, ids[v_at], v, k, lambda x, y: x @ y.T)
-                best = [(i, d, int(s)) for i in range(len(q_at)) for d, s in zip(b.id[i].tolist(), b.score[i].tolist(), strict=True) if s != -np.inf]
-            found += [(int(ids[q_at[i]]), int(keys[q_at[i]]), d, s) for i, d, s in best]
-        return pa.table({name: pa.array([x[i] for x in found], pa.int64()) for i, name in enumerate(("query_id", "key", "vec_id", "score"))})
-
-    found = of_parts.unionByName(of_blocks).groupBy("block", "part").applyInArrow(run, "query_id long, key long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # equal lengths go by place in the table, so that no part is larger for them
+    rows = rows.repartitionByRange(parts, F.col("length").desc(), "at").withColumn("part", F.spark_partition_id())
+    rows = stored(rows.select("part", "vec_id", "vector", "length"), "topk-parts")
+    last = (rows.agg(F.max("part")).head()[0] or 0) + 1
+    stride = -(-last // MARKS)
+    of_mark = {r[0]: r[1] for r in rows.groupBy(F.floor(F.col("part") / stride)).agg(F.max("length")).collect()}  # at most MARKS
+    marks = F.array(*(F.lit(float(of_mark.get(i, 0.0))) for i in range(-(-last // stride))))
+    queries = stored(queries.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")), "topk-queries")
+    best, start, width = None, 0, 1
+    top = Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id")
+    while start < last:
+        end = min(last, start + width)
+        asked = queries.withColumn("bar", F.lit(float("-inf")))
+        if best is not None:
+            bars = best.where(F.col("rank") == k).select("key", F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar"))
+            asked = queries.join(bars, ["key", "vec_id"], "left").na.fill(float("-inf"), ["bar"])
+        # the greatest lengths fall from part to part: a query goes on as far as they reach its bar
+        reach = F.when(F.col("bar") <= 0, last).otherwise(stride * F.size(F.filter(marks, lambda m: m * F.col("length") * (1 + 1e-9) >= F.col("bar"))))
+        asked = asked.withColumn("reach", F.least(reach, F.lit(end))).where(F.col("reach") > start)
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(start), F.col("reach") - 1)))
+        asked = asked.select("block", "part", F.lit(True).alias("query"), "key", "vec_id", "vector", "bar")
+        here = rows.where((F.col("part") >= start) & (F.col("part") < end)).join(asked.select("block", "part").distinct(), "part")
+        here = here.select("block", "part", F.lit(False).alias("query"), F.lit(0).cast("long").alias("key"), "vec_id", "vector", F.lit(0.0).alias("bar"))
+        found = here.unionByName(asked).groupBy("block", "part").applyInArrow(lambda table: found_in(table, k), "query_id long, key long, vec_id long, score long")
+        every_ = found if best is None else found.unionByName(best.drop("rank"))
+        best = stored(every_.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k), "topk-best")
+        start, width = end, width * WIDER
+    return best.select("query_id", "rank", "vec_id", "score") if best is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

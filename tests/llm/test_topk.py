@@ -59,3 +59,19 @@ def test_pruning_loses_nothing(spread):
         want = sorted((-s, d) for s, d in zip((v @ v[i]).tolist(), ids.tolist(), strict=True) if d != ids[i])[:5]
         assert [(-s, d) for s, d in zip(best.score[i].tolist(), best.id[i].tolist(), strict=True)] == want
     assert sum(seen) < 60 * 6000
+
+
+def test_waves_and_repeated_vectors(spark):
+    """Lengths that differ by far, one vector that is a third of all rows, and more than one wave."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(4000, 6)) * np.exp(1.5 * rng.normal(size=(4000, 1)))
+    rows = [(i, v[i].tolist()) for i in range(4000)] + [(10_001, v[7].tolist())] * 2000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    whole = np.floor(256 * np.array([r[1] for r in rows]))
+    ids = np.array([r[0] for r in rows])
+    for i in range(0, 4000, 50):
+        s = whole @ whole[i]
+        best = sorted((-a, d) for a, d in zip(s.tolist(), ids.tolist(), strict=True) if d != i)[:5]
+        want += [(i, r, d, int(-a)) for r, (a, d) in enumerate(best, 1)]
+    assert got(nearest(df)) == want
