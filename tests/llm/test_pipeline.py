@@ -3,17 +3,18 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from quarry.llm.mixing import shared
 from quarry.llm.nearness import one_of_each
 from quarry.llm.queries import vocabulary
-from quarry.llm.scratch import stored
+from quarry.llm.staging import stored
 from quarry.llm.tokens import Encoder
 from quarry.llm.toxicity import judged
 
 from .test_lines import brute as brute_lines
 from .test_lines import hashed
+from .test_mixing import shared
 from .test_nearness import shingles
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,3 +82,24 @@ def test_near_stage_defined_cases(spark, docs, no_docs):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 100
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_columns_pass_whatever_their_names(spark, crowded, tmp_path, name, stage):
+    spark.createDataFrame([(1, 0), (9, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = stage(spark, crowded, str(tmp_path))
+    assert got.columns == crowded.columns
+    want = {(r.doc_id, r.key): r for r in crowded.collect()}
+    rows = got.collect()
+    assert rows
+    for r in rows:
+        assert all(r[c] == want[r.doc_id, r.key][c] for c in crowded.columns if c != "text")
+
+
+def test_run_on_hard_and_empty_tables(spark, docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(1, 0), (9, 1)], "doc_id long, toxic int")
+    for name, table in (("hard", docs), ("none", no_docs)):
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(rows) == (name == "hard")
