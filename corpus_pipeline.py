@@ -1,5 +1,11 @@
 """A training corpus from raw documents: toxic documents go, repeated runs of lines are cut out, one document of each group of
-near duplicates stays, sources are mixed to target weights, and the result is tokenized and packed into sequences."""
+near duplicates stays, sources are mixed to target weights, and the result is tokenized and packed into sequences.
+
+Defined cases, at each stage: a null or empty text is a document without words, which is kept as it is up to the mix, where it
+is never drawn; a null doc_id is a document of its own, the last in order; rows equal in doc_id and text are kept up to the
+near-duplicate stage, which leaves one; a document that loses all its lines keeps its row with an empty text; an empty table
+gives no rows; very long texts are taken whole, and packing cuts them into sequences; columns besides doc_id, text and source
+pass unchanged up to packing, whatever their names."""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from quarry.llm.mixing import drawn
 from quarry.llm.nearness import one_of_each
 from quarry.llm.packing import pack
 from quarry.llm.queries import read, vocabulary
-from quarry.llm.scratch import stored
+from quarry.llm.staging import stored
 from quarry.llm.toxicity import without_toxic
 
 
@@ -28,10 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mix = drawn(docs, shards=16, weights=(1, 2, 3), ceiling=3)
+    mix, columns = drawn(docs, shards=16, weights=(1, 2, 3), ceiling=3)
     # each shard in shuffled order; a slice of the order at a time, so that a shard isn't one task's work
-    part = F.pmod("mix_place", F.lit(32))
-    return mix.repartition("mix_shard", part).sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns)
+    part = F.pmod("place", F.lit(32))
+    return mix.repartition("shard", part).sortWithinPartitions("shard", "place").select(*columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
