@@ -69,5 +69,9 @@ STOP_BY_LANG = {
 DAILY_TOKENS = {"free": 50_000, "standard": 200_000, "pro": 500_000, "premium": 2_000_000, "enterprise": 5_000_000}
 PRICES = {"gpt-4o": (2.50, 10.0), "gpt-4o-mini": (0.15, 0.60), "gpt-4-turbo": (10.0, 30.0), "claude-3-5-sonnet": (3.0, 15.0), "claude-3-haiku": (0.25, 1.25), "noop-llm-v1": (0.0, 0.0)}
 OTHER_PRICE = (5.0, 15.0)
+# fixed values: what the stand-in for a model answers
+STAND_IN = ("Based on the provided sources, here is what I found:\n\n", "\n\nThis answer was generated from ", " source(s) in response to: ")
+NO_CONTEXT = "No relevant context was provided. Please ensure documents have been uploaded and indexed."
+
 # fixed values: dollars per million tokens in and out by model, where usage is summed by model
 MODEL_PRICES = {"amazon.titan-embed-text-v2:0": (0.02, 0.0), "text-embedding-3-small": (0.02, 0.0), "text-embedding-3-large": (0.13, 0.0), "anthropic.claude-3-5-sonnet-20241022-v2:0": (3.0, 15.0), "gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "noop-llm-v1": (0.0, 0.0)}

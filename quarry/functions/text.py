@@ -190,3 +190,10 @@ def path(mode: Column, target: Column, tree: Column, vectors: Column, kind: Colu
     explicit = F.when(mode == "pageindex", "pageindex").when(mode.isin("vector", "rag"), "vector").when(mode == "hybrid", "hybrid")
     both = F.when(kind == "structured", "pageindex").when(kind == "factual", "vector").otherwise("hybrid")
     return explicit.when(target.isNull() | ~tree, "vector").when(~vectors, "pageindex").otherwise(both)
+
+
+def path_confidence(mode: Column, target: Column, tree: Column, vectors: Column, kind: Column) -> Column:
+    """How sure the choice of path() is."""
+    tree, vectors = F.coalesce(tree, F.lit(False)), F.coalesce(vectors, F.lit(False))
+    both = F.when(kind == "structured", 0.8).when(kind == "factual", 0.7).otherwise(0.6)
+    return F.when(mode.isin("pageindex", "vector", "rag", "hybrid"), 1.0).when(target.isNull(), 0.9).when(tree & ~vectors, 0.9).when(tree & vectors, both).otherwise(0.7)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
@@ -73,3 +73,37 @@ def members(sets: DataFrame, tools: DataFrame) -> DataFrame:
     """Tools of each set (toolset, names); names without a tool are skipped."""
     return sets.select("toolset", F.explode("names").alias("name")).join(tools.select("name"), "name").select("toolset", "name")
 
+
+
+def stand_in(contexts: DataFrame, query: str, prompt: str) -> DataFrame:
+    """An answer without a model: the first five sources (query, prompt, position, content) by position, 200 characters of each."""
+    part = F.concat(F.lit("[Source "), F.col("position").cast("string"), F.lit("]: "), F.left("content", F.lit(200)))
+    lines = F.array_sort(F.collect_list(F.when(F.col("position") <= 5, F.struct("position", part.alias("line")))))
+    rows = contexts.groupBy(query).agg(F.first(prompt).alias(prompt), F.count("content").alias("n"), lines.alias("lines"))
+    a, b, c = map(F.lit, lists.STAND_IN)
+    said = F.concat(a, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), b, F.col("n").cast("string"), c, F.left(prompt, F.lit(100)))
+    return rows.select(query, F.when(F.col("n") > 0, said).otherwise(F.lit(lists.NO_CONTEXT)).alias("answer"))
+
+
+def with_fallback(scored: dict[str, DataFrame], candidates: DataFrame, query: str, item: str) -> DataFrame:
+    """Scores of the first reranker in order that has any for a query; a query that none scores keeps its order at one half, and a blank query scores 0."""
+    out = None
+    for name, df in scored.items():
+        own = df.select(query, item, "score", F.lit(name).alias("reranker"))
+        out = own if out is None else out.unionByName(own.join(out.select(query).distinct(), query, "left_anti"))
+    rest = candidates.join(out.select(query).distinct(), query, "left_anti").select(query, item, F.when(F.length(F.trim("query_text")) == 0, 0.0).otherwise(0.5).alias("score"), F.lit("none").alias("reranker"))
+    return out.unionByName(rest)
+
+
+def limited(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """The first rows of each tool call, and whether there were more of them or as many as it may return."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    kept = rows.withColumn("_n", n).where(F.col("_n") <= most + 1)
+    many = F.max("_n").over(Window.partitionBy(*by))
+    return kept.withColumn("truncated", many >= most).where(F.col("_n") <= most).drop("_n")
+
+
+def queued(jobs: DataFrame, bound: int = 100) -> DataFrame:
+    """Status of jobs that arrive at a queue of so many places in one batch: those behind the bound fail, the others wait."""
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("ts", "event_id"))
+    return jobs.withColumn("status", F.when(place <= bound, "pending").otherwise("failed"))

@@ -31,11 +31,17 @@ def difference(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFra
     return a.join(b, digest, "full").withColumn("action", action)
 
 
-def add_triplets(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Triplets keyed by what they say; a known one isn't added again."""
-    key = F.sha2(F.concat_ws("\x1f", "subject", "predicate", "object"), 256)
-    every = old.unionByName(new).withColumn("triplet_id", key)
-    return every.dropDuplicates(["triplet_id"])
+def add_triplets(old: DataFrame, new: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """Triplets keyed by what they say within a scope (team, namespace), whatever the case; a known one isn't added again, and of several that say the same the first in order stays."""
+    said = ["subject", "predicate", "object"]
+    key = F.sha2(F.concat_ws("\x1f", *scope, *(F.lower(c) for c in said)), 256)
+    every = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).withColumn("triplet_id", key)
+    return latest(every, ["triplet_id"], ["_new", *said]).drop("_new")
+
+
+def entities(triplets: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """Entities that triplets name, each once in its scope."""
+    return triplets.select(*scope, F.explode(F.array("subject", "object")).alias("name")).where("name != ''").distinct()
 
 
 def set_payload(df: DataFrame, condition: Column, values: dict[str, str]) -> DataFrame:

@@ -12,10 +12,26 @@ def words(text: str = "text"):
     return F.size(T.split_words(text))
 
 
-def fit_budget(rows: DataFrame, group: str, order: list, budget: float = 3000.0) -> DataFrame:
-    """Rows in order while their estimated tokens, 1.3 a word, stay within the budget."""
-    running = F.sum(F.round(words() * 1.3, 6)).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", F.round(running, 4)).where(F.col("used") <= budget)
+#: Cells of a group's values, and rows of a stretch of a group's time.
+CELLS, STRETCH = 1024, 4096
+
+
+def in_cells(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """rows with cell: where a value lies between the least and the greatest of its group. A group that holds much of a table has as many tasks as cells."""
+    ends = rows.groupBy(group).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    cell = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / F.nullif(width, F.lit(0.0)) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    return rows.join(ends, group).withColumn("cell", cell.cast("int")).drop("_low", "_high")
+
+
+def fit_budget(rows: DataFrame, group: str, score: str, key: str, budget: float = 3000.0) -> DataFrame:
+    """Rows by score, highest first, while their estimated tokens, 1.3 a word, stay within the budget. Sums by cell tell which rows can be reached at all; only these are put in order."""
+    rows = in_cells(rows.withColumn("_cost", F.round(words() * 1.3, 6)), group, score)
+    above = Window.partitionBy(group).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(group, "cell").agg(F.sum("_cost").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(above), F.lit(0.0)))
+    within = rows.join(cells.where(F.col("_before") <= budget + 1e-6).select(group, "cell"), [group, "cell"])
+    running = F.sum("_cost").over(Window.partitionBy(group).orderBy(F.col(score).desc(), key).rowsBetween(Window.unboundedPreceding, 0))
+    return within.withColumn("used", F.round(running, 4)).where(F.col("used") <= budget).drop("_cost", "cell")
 
 
 def prune_sessions(messages: DataFrame, most: int = 20, budget: int = 4000) -> DataFrame:
@@ -44,12 +60,25 @@ def sessions(events: DataFrame, ttl: int = 3600) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
+def in_stretches(events: DataFrame, group: str, carry: int) -> DataFrame:
+    """events in stretches of STRETCH rows of a group by time, each behind the last carry rows of the one before (is_carried). Places are counted by hours first."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    rows = events.withColumn("_hour", hour)
+    before = Window.partitionBy(group).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy(group, "_hour").count().select(group, "_hour", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_hour").orderBy("ts", "event_id")) - 1
+    placed = rows.withColumn("_in", inside).join(hours, [group, "_hour"]).withColumn("place", F.col("_before") + F.col("_in")).drop("_hour", "_in", "_before")
+    own = F.floor(F.col("place") / STRETCH)
+    both = F.when(F.pmod("place", F.lit(STRETCH)) >= STRETCH - carry, F.array(own, own + 1)).otherwise(F.array(own))
+    return placed.select("*", own.alias("_own"), F.explode(both).alias("stretch")).withColumn("is_carried", F.col("stretch") != F.col("_own")).drop("_own")
+
+
 def sliding_percentile(events: DataFrame, group: str, last: int = 100, p: int = 95) -> DataFrame:
     """A percentile of the last values before and at each event."""
-    w = Window.partitionBy(group).orderBy("ts", "event_id").rowsBetween(1 - last, 0)
+    w = Window.partitionBy(group, "stretch").orderBy("place").rowsBetween(1 - last, 0)
     values = F.array_sort(F.collect_list("value").over(w))
     at = F.least(F.floor(F.size("values") * p / 100), F.size("values") - 1)
-    return events.withColumn("values", values).select("event_id", group, F.get("values", at.cast("int")).alias(f"p{p}"))
+    return in_stretches(events, group, last - 1).withColumn("values", values).where("not is_carried").select("event_id", group, F.get("values", at.cast("int")).alias(f"p{p}"))
 
 
 def requests_in_window(events: DataFrame, client: str, seconds: int = 60, most: int = 100) -> DataFrame:
@@ -59,12 +88,18 @@ def requests_in_window(events: DataFrame, client: str, seconds: int = 60, most:
 
 
 def histogram(events: DataFrame, group: str) -> DataFrame:
-    """Count, least, most, mean and the 99th percentile by rank of each group's values."""
-    ranked = events.where("value is not null").withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("value", "event_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(group)))
-    return ranked.groupBy(group).agg(
-        F.count("*").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 4).alias("mean"),
-        F.max(F.when(F.col("rn") == F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1), F.col("value"))).alias("p99"),
-    )
+    """Count, least, most, mean and the 99th percentile by rank of each group's values. Counts by cell tell where the rank lies; only that cell's distinct values are put in order."""
+    rows = events.where("value is not null").select(group, "value")
+    counted = in_cells(rows.groupBy(group, "value").count(), group, "value")
+    before = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.groupBy(group, "cell").agg(F.sum("count").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    totals = rows.groupBy(group).agg(F.count("*").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 4).alias("mean"))
+    rank = F.least(F.floor(F.col("n_values") * 0.99), F.col("n_values") - 1)
+    place = cells.join(totals.select(group, rank.alias("_rank")), group).where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    up_to = F.col("_before") + F.sum("count").over(Window.partitionBy(group).orderBy("value"))
+    near = counted.join(place.select(group, "cell", "_before", "_rank"), [group, "cell"]).withColumn("_up_to", up_to)
+    p99 = near.where(F.col("_rank") < F.col("_up_to")).groupBy(group).agg(F.min("value").alias("p99"))
+    return totals.join(p99, group)
 
 
 def as_of(facts: DataFrame, moments: DataFrame, key: str) -> DataFrame:

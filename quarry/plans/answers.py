@@ -240,3 +240,78 @@ def sql_template(spark, sf_dir):
     read(spark, sf_dir, "supplier").createOrReplaceTempView("quarry_supplier")
     return D.run_sql(spark, "SELECT s_suppkey, coalesce(nullif(s_name, :skip), 'none') AS name, CAST(s_acctbal AS BIGINT) AS balance, CAST(s_nationkey AS STRING) AS nation FROM quarry_supplier WHERE s_acctbal > :least", None, {"skip": "Supplier#000000001", "least": 0})
 
+
+
+MODES = "['auto', 'pageindex', 'rag', 'hybrid'][1 + turn % 4]"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {MODES} AS mode, len(list_filter({sql_list(lists.STRUCTURED)}, lambda k: list_contains(regexp_split_to_array(lower(text), '\\s+'), k))) AS s, len(list_filter({sql_list(lists.FACTUAL)}, lambda k: contains(lower(text), k))) AS f FROM conversations),
+    j AS (SELECT c.*, d.doc_id, coalesce(n_chars > 2000, false) AS tree, coalesce(lang <> 'de', false) AS vectors FROM c LEFT JOIN documents d ON d.doc_id = c.conv_id)
+    SELECT conv_id, turn, CASE mode WHEN 'pageindex' THEN 'pageindex' WHEN 'rag' THEN 'vector' WHEN 'hybrid' THEN 'hybrid' ELSE CASE WHEN doc_id IS NULL OR NOT tree THEN 'vector' WHEN NOT vectors THEN 'pageindex' WHEN s > f THEN 'pageindex' WHEN f > s THEN 'vector' ELSE 'hybrid' END END AS path,
+    (CASE WHEN mode <> 'auto' THEN 1.0 WHEN doc_id IS NULL THEN 0.9 WHEN tree AND NOT vectors THEN 0.9 WHEN tree AND vectors THEN CASE WHEN s > f THEN 0.8 WHEN f > s THEN 0.7 ELSE 0.6 END ELSE 0.7 END)::DOUBLE AS confidence FROM j""")
+def route_modes(spark, sf_dir):
+    """Paths and their confidence for requests whose modes go round."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).alias("tree"), (F.col("lang") != "de").alias("vectors"))
+    rows = read(spark, sf_dir, "conversations").join(docs, F.col("doc_id") == F.col("conv_id"), "left")
+    mode = F.element_at(F.array(*map(F.lit, ("auto", "pageindex", "rag", "hybrid"))), (1 + F.col("turn") % 4).cast("int"))
+    of = (mode, F.col("doc_id"), F.col("tree"), F.col("vectors"), T.query_class(F.col("text")))
+    return rows.select("conv_id", "turn", T.path(*of).alias("path"), T.path_confidence(*of).alias("confidence"))
+
+
+@query(f"""WITH {FOUND}, b AS (SELECT b.item_id, b.text AS prompt, x.rank, x.content FROM benchmark b LEFT JOIN x ON x.item_id = b.item_id AND x.rank <= 7 AND b.item_id % 5 <> 0)
+    SELECT item_id, CASE WHEN count(content) = 0 THEN {literal(lists.NO_CONTEXT)} ELSE {literal(lists.STAND_IN[0])} || string_agg('[Source ' || rank || ']: ' || left(content, 200), chr(10) ORDER BY rank) FILTER (rank <= 5) || {literal(lists.STAND_IN[1])} || count(content) || {literal(lists.STAND_IN[2])} || left(first(prompt), 100) END AS answer FROM b GROUP BY item_id""")
+def stand_in_answers(spark, sf_dir):
+    """Answers from each item's best documents; every fifth item has none."""
+    rows = found(spark, sf_dir, 30).where("rank <= 7 and item_id % 5 != 0").select("item_id", F.col("rank").alias("position"), "content")
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt")).join(rows, "item_id", "left")
+    return A.stand_in(asked, "item_id", "prompt")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events) SELECT user_id, event_id, c >= 20 AS truncated FROM e WHERE n <= 20""")
+def limited_rows(spark, sf_dir):
+    """The first twenty rows of a call for each user, marked where the limit was reached."""
+    return A.limited(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 20).select("user_id", "event_id", "truncated")
+
+
+@query("""WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H') AS batch, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d %H') ORDER BY ts, event_id) AS n FROM events) SELECT event_id, CASE WHEN n <= 3 THEN 'pending' ELSE 'failed' END AS status FROM e""")
+def queue_overflow(spark, sf_dir):
+    """Events stand for jobs that arrive by hours at a queue of three places."""
+    rows = read(spark, sf_dir, "events").withColumn("batch", F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    return A.queued(rows, 3).select("event_id", "status")
+
+
+@query(f"""WITH {FOUND}, c AS (SELECT item_id, doc_id, rank FROM x WHERE rank <= 5), a AS (SELECT item_id, doc_id, round(1.0::DOUBLE / rank, 6) AS score, 'first' AS reranker FROM c WHERE item_id % 3 = 0),
+    b AS (SELECT item_id, doc_id, round(0.5::DOUBLE / rank, 6), 'second' FROM c WHERE item_id % 2 = 0 AND item_id NOT IN (SELECT item_id FROM a))
+    SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT item_id, doc_id, 0.5::DOUBLE, 'none' FROM c WHERE item_id % 3 <> 0 AND item_id % 2 <> 0""")
+def rerank_fallback(spark, sf_dir):
+    """Two rerankers that know some items only, then the order as it was."""
+    rows = found(spark, sf_dir, 5).join(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query_text")), "item_id")
+    score = lambda c: F.round(F.lit(c) / F.col("rank"), 6).alias("score")
+    known = {"first": rows.where("item_id % 3 = 0").select("item_id", "doc_id", score(1.0)), "second": rows.where("item_id % 2 = 0").select("item_id", "doc_id", score(0.5))}
+    return A.with_fallback(known, rows, "item_id", "doc_id")
+
+
+@query(f"""WITH {FOUND}, c AS (SELECT *, rank - 1 AS position FROM x WHERE rank <= 10) SELECT item_id, doc_id, position AS index, round(1.0::DOUBLE / (1 + length(content) % 7), 6) AS relevance_score FROM c WHERE position % 2 = 0""")
+def rerank_join(spark, sf_dir):
+    """A reranker's results point to their rows by position."""
+    rows = found(spark, sf_dir, 10).withColumn("position", F.col("rank") - 1)
+    reranked = rows.where("position % 2 = 0").select("item_id", F.col("position").alias("index"), F.round(1 / (1 + F.length("content") % 7), 6).alias("relevance_score"))
+    return A.by_position(reranked, rows, "item_id").select("item_id", "doc_id", "index", "relevance_score")
+
+
+@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS start FROM documents WHERE length(text) > 0)
+    SELECT doc_id, start // 1000 AS chunk_index, start AS start_char, least(start + 1000, length(text)) AS end_char, md5(substring(text, greatest(start - 200, 0) + 1, least(least(start + 1000, length(text)) + 200, length(text)) - greatest(start - 200, 0))) AS window_md5 FROM s""")
+def chunk_windows(spark, sf_dir):
+    """Stretches of 1000 characters with 200 on either side, for embeddings that know what stands around."""
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.where("length(text) > 0").select("doc_id", F.length("text").alias("n"), F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(1000))).alias("chunk_index", "start_char"))
+    places = C.boundaries(rows.withColumn("end_char", F.least(F.col("start_char") + 1000, F.col("n"))))
+    return C.windows(places, docs).withColumn("window_md5", F.md5("window")).drop("window")
+
+
+@query("SELECT u.s_suppkey, n_name, count(*) AS n_parts FROM supplier u JOIN nation ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = u.s_suppkey GROUP BY u.s_suppkey, n_name")
+def sql_join(spark, sf_dir):
+    """A declared SQL tool that joins sources."""
+    for name in ("supplier", "nation", "lineitem"):
+        read(spark, sf_dir, name).createOrReplaceTempView(f"quarry_{name}")
+    return D.run_sql(spark, "SELECT u.s_suppkey, n_name, count(*) AS n_parts FROM quarry_supplier u JOIN quarry_nation ON s_nationkey = n_nationkey JOIN quarry_lineitem ON l_suppkey = u.s_suppkey GROUP BY u.s_suppkey, n_name", None)

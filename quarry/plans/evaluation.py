@@ -41,6 +41,21 @@ def ir_metrics(spark, sf_dir):
     return M.ranking_of(judged(spark, sf_dir), "item_id", 5)
 
 
+METRICS = ("precision", "recall", "f1", "mrr", "ndcg")
+OF_ITEM = """h AS (SELECT item_id, count(*) FILTER (rank <= 5) AS n, min(rank) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS gain FROM retrieved JOIN relevant USING (item_id, doc_id) GROUP BY item_id),
+    z AS (SELECT item_id, count(*) AS r FROM relevant GROUP BY item_id),
+    m AS (SELECT item_id, coalesce(n, 0) AS n, first, coalesce(gain, 0) AS gain, r, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(r, 5) + 1) t(i)) AS best FROM z LEFT JOIN h USING (item_id)),
+    o AS (SELECT item_id, round(n / 5.0::DOUBLE, 4) AS precision, round(n / r::DOUBLE, 4) AS recall, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / 5.0::DOUBLE) * (n / r::DOUBLE) / (n / 5.0::DOUBLE + n / r::DOUBLE) END, 4) AS f1, round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr, round(gain / best, 4) AS ndcg FROM m)"""
+
+
+@query(f"WITH {RETRIEVED}, {OF_ITEM} SELECT CASE item_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, count(*) AS n_cases, {', '.join(f'round(avg({m}), 4) AS {m}' for m in METRICS)} FROM o GROUP BY ROLLUP (1)")
+def ir_report(spark, sf_dir):
+    """Mean ranking metrics of all cases and by difficulty."""
+    rows = M.ranking_of(judged(spark, sf_dir), "item_id", 5)
+    n = F.col("item_id") % 3
+    return rows.withColumn("difficulty", F.when(n == 0, "easy").when(n == 1, "medium").otherwise("hard")).rollup("difficulty").agg(F.count("*").alias("n_cases"), *(F.round(F.avg(m), 4).alias(m) for m in METRICS))
+
+
 CONTENT = f"list_filter(list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{{{3,}}}}'))), lambda w: NOT list_contains({sql_list(lists.CONTENT_STOP)}, w))".replace("{{", "{").replace("}}", "}")
 
 

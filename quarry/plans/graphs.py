@@ -49,6 +49,11 @@ def graph_retrieval(spark, sf_dir):
     return found.select(F.concat(F.lit("Relation: "), F.concat_ws(" -> ", "subject", "predicate", "object")).alias("content")).distinct()
 
 
+@query(f"WITH {TRIPLETS} SELECT DISTINCT name FROM (SELECT subject AS name FROM t UNION ALL SELECT object FROM t)")
+def triplet_entities(spark, sf_dir):
+    return B.entities(triplets(spark, sf_dir))
+
+
 @query(f"WITH {TRIPLETS} SELECT DISTINCT subject, predicate, object FROM t")
 def add_triplets(spark, sf_dir):
     t = triplets(spark, sf_dir)

@@ -26,7 +26,7 @@ def events(spark, sf_dir):
     SELECT * FROM r WHERE used <= 3000""")
 def budget_fit(spark, sf_dir):
     rows = read(spark, sf_dir, "documents")
-    return W.fit_budget(rows, "source", [F.col("n_chars").desc(), "doc_id"]).select("doc_id", "source", "used")
+    return W.fit_budget(rows, "source", "n_chars", "doc_id").select("doc_id", "source", "used")
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, CAST(floor({N_WORDS} * 1.3::DOUBLE) AS BIGINT) AS token_estimate FROM conversations),
@@ -101,9 +101,10 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), la
 def memory_recall(spark, sf_dir):
     first = talks(spark, sf_dir).where("turn = 0").select(F.col("conv_id").alias("memory_id"), F.col("text").alias("content"))
     memories = events(spark, sf_dir).select(F.col("event_id").alias("memory_id"), "user_id", F.col("ts").cast("timestamp").alias("valid_from"), (F.col("value") / 100).alias("relevance_score"), F.lit(None).cast("timestamp").alias("valid_to"))
-    names = [w for r in read(spark, sf_dir, "region").collect() for w in r.r_name.lower().split()]  # five rows
-    asked = T.strings(sorted({*names, "the", "of", "la"}))
-    return M.recalled(memories.join(first, "memory_id"), F.expr(NOW), asked).select("memory_id", "user_id", "score", "rank")
+    names = read(spark, sf_dir, "region").select(F.explode(T.split_words(F.lower("r_name"))).alias("w"))
+    asked = names.agg(F.array_distinct(F.concat(F.collect_set("w"), T.strings(["the", "of", "la"]))).alias("asked"))  # one row
+    rows = memories.join(first, "memory_id").crossJoin(F.broadcast(asked))
+    return M.recalled(rows, F.expr(NOW), F.col("asked")).select("memory_id", "user_id", "score", "rank")
 
 
 @query("""WITH f AS (SELECT user_id, event_id, ts AS a, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events WHERE event_type IN ('view', 'signup')),

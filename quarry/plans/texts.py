@@ -226,12 +226,22 @@ def html_elements(spark, sf_dir):
     return P.html(read(spark, sf_dir, "pages"))
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS rn FROM supplier),
-    l AS (SELECT rn, '| ' || s_suppkey || ' | ' || replace(s_name, '|', '\\|') || ' | ' || s_nationkey || ' |' AS line FROM n)
-    SELECT rn // 1000 AS batch, '## Rows ' || (min(rn) + 1) || '-' || (max(rn) + 1) || chr(10) || '| s_suppkey | s_name | s_nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS content
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer),
+    l AS (SELECT rn, '| ' || c_custkey || ' | ' || replace(c_name, '|', '\\|') || ' | ' || c_mktsegment || ' |' AS line FROM n)
+    SELECT rn // 1000 AS batch, '## Rows ' || (min(rn) + 1) || chr(8211) || (max(rn) + 1) || chr(10) || chr(10) || '| c_custkey | c_name | c_mktsegment |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS content
     FROM l GROUP BY rn // 1000""")
 def csv_markdown(spark, sf_dir):
-    return P.markdown_tables(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+    return P.markdown_tables(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+
+
+@query("""WITH t AS (SELECT c_nationkey AS doc_id, count(*) AS n FROM customer GROUP BY 1) SELECT doc_id, unnest([-1, 0]) AS batch, n AS n_rows, CASE doc_id % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter FROM t""")
+def csv_text(spark, sf_dir):
+    """A delimited text for each nation's customers, with one of three delimiters, parsed again."""
+    mark = F.when(F.col("c_nationkey") % 3 == 0, ",").when(F.col("c_nationkey") % 3 == 1, ";").otherwise("\t")
+    line = F.concat_ws("", "c_custkey", mark, "c_name", mark, "c_mktsegment")
+    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    files = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.concat(F.concat_ws("", F.lit("key"), F.first(mark), F.lit("name"), F.first(mark), F.lit("segment\n")), body).alias("text"))
+    return P.csv_texts(files).select("doc_id", "batch", "n_rows", "delimiter")
 
 
 INJECTED = " OR ".join(f"regexp_matches(text, {literal(p)}, 'i')" for p in lists.INJECTION)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed value: between the first and last row of a batch
+DASH = "\u2013"
+
 # fixed values: content types by file ending
 ENDINGS = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "html": "text/html", "htm": "text/html", "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "json": "application/json"}
 
@@ -108,10 +113,42 @@ def markdown_tables(df: DataFrame, order: str, batch: int = 1000) -> DataFrame:
     header = "| " + " | ".join(df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |"
     body = F.array_sort(F.collect_list(F.struct("_n", "_line")))
     parts = numbered.groupBy(F.floor(F.col("_n") / batch).alias("batch")).agg(body.alias("body"), (F.min("_n") + 1).alias("a"), (F.max("_n") + 1).alias("b"))
-    content = F.concat(F.lit("## Rows "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit("\n" + header + "\n"), F.array_join(F.transform("body", lambda x: x["_line"]), "\n"))
+    content = F.concat(F.lit("## Rows "), F.col("a").cast("string"), F.lit(DASH), F.col("b").cast("string"), F.lit("\n\n" + header + "\n"), F.array_join(F.transform("body", lambda x: x["_line"]), "\n"))
     return parts.select("batch", content.alias("content"))
 
 
+def csv_texts(files: DataFrame, batch: int = 1000) -> DataFrame:
+    """doc_id, batch, n_rows, delimiter, content of delimited texts as markdown tables: the delimiter is guessed from the first 2000 characters, short rows are padded, and batch -1 is the summary."""
+
+    def table(header: list[str], rows: list[list[str]]) -> str:
+        lines = [[c.replace("|", "\\|") for c in (r + [""] * len(header))[: len(header)]] for r in rows]
+        return "\n".join("| " + " | ".join(x) + " |" for x in [header, ["---"] * len(header), *lines])
+
+    def read(text: str) -> list[tuple]:
+        try:
+            mark = csv.Sniffer().sniff(text[:2000], delimiters=",\t;|").delimiter
+        except csv.Error:
+            mark = ","
+        rows = list(csv.reader(io.StringIO(text), delimiter=mark))
+        if not rows:
+            return []
+        header, rest = rows[0], rows[1:]
+        starts = range(0, len(rest), batch)
+        summary = f"# CSV Data Summary\n\n- **Total Rows:** {len(rest)}\n- **Columns ({len(header)}):** {', '.join(header)}\n- **Chunks:** {len(starts)} (batch size: {batch})\n\n"
+        parts = [(i // batch, f"## Rows {i + 1}{DASH}{min(i + batch, len(rest))}\n\n{table(header, rest[i : i + batch])}") for i in starts]
+        return [(k, len(rest), mark, content) for k, content in [(-1, summary), *parts]]
+
+    def run(batches):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
+        for whole in batches:
+            for i in range(whole.num_rows):
+                one = whole.slice(i, 1)
+                found = [(one.column(0)[0].as_py(), *r) for r in read(one.column(1)[0].as_py() or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["doc_id", "batch", "n_rows", "delimiter", "content"])
+
+    return files.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, batch int, n_rows long, delimiter string, content string")
+
+
 #: Parser of each content type; the last registration wins.
 PARSERS = {"text/plain": paragraphs, "text/markdown": markdown, "text/html": html}
 

@@ -27,7 +27,7 @@ def limited(stream: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # a user's rows of one micro-batch
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # of one micro-batch
         out = []
         for event_id, ts in zip(rows.event_id, rows.ts, strict=True):
             now = ts.timestamp()

@@ -283,3 +283,45 @@ def test_ingest_tries_again_and_sets_aside(spark, tmp_path):
     assert [(r.event_type, r.attempt) for r in failed] == [("never", 4)]
     assert sorted(r.delay for r in spark.read.parquet(f"{table}/waiting").where("event_type = 'never'").collect()) == [2.0, 4.0, 8.0]
     assert max(a for s in seen for _, a in s) == 4
+
+
+def test_delimited_texts(spark):
+    texts = ["a;b;c\n" + "7;8;9\n" * 20 + "1;2\n3;4|x;5;6", "one\ntwo", "", "a,b\n" + "\n".join(f"{i},\"x, y\"" for i in range(5))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.batch): r for r in P.csv_texts(docs, 20).collect()}
+    assert got[0, 1].content == "## Rows 21\u201322\n\n| a | b | c |\n| --- | --- | --- |\n| 1 | 2 |  |\n| 3 | 4\\|x | 5 |" and got[0, 0].delimiter == ";"
+    assert got[0, -1].content == "# CSV Data Summary\n\n- **Total Rows:** 22\n- **Columns (3):** a, b, c\n- **Chunks:** 2 (batch size: 20)\n\n"
+    assert got[3, 0].n_rows == 5 and got[3, 0].content.endswith("| 4 | x, y |") and got[3, 0].delimiter == ","
+    assert not any(d == 2 for d, _ in got) and got[1, 0].content.endswith("| two |")
+
+
+def test_html_elements(spark):
+    pages = ["<title>T</title><script>x()</script><h1>A  b</h1><p>one <b>two</b></p><ul><li>i<li>j</ul><table><tr><td>c</td><th>d</th></tr></table>tail", "", None, "<p>unclosed", "<style>p{}</style>plain<br>next"]
+    got = [(r.page_id, r.position, r.element_type, r.content) for r in P.html(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id", "position").collect()]
+    assert got == [
+        (0, 0, "header", "T"), (0, 1, "header", "A b"), (0, 2, "paragraph", "one two"), (0, 3, "list_item", "i"), (0, 4, "list_item", "j"), (0, 5, "table", "c"), (0, 6, "table", "d"), (0, 7, "paragraph", "tail"),
+        (3, 0, "paragraph", "unclosed"), (4, 0, "paragraph", "plain"), (4, 1, "paragraph", "next"),
+    ]
+
+
+def test_hot_groups_in_cells(spark):
+    """Percentiles, sliding percentiles and budgets of one group against plain loops, over stretches, ties and nulls."""
+    rows = [(i, at(i * 7 % 50_000), "g", float(i * i % 97) if i % 11 else None) for i in range(9000)] + [(9000, at(1), "one", 5.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, kind string, value double")
+    values = sorted(r[3] for r in rows if r[2] == "g" and r[3] is not None)
+    got = {r.kind: r for r in W.histogram(df, "kind").collect()}
+    assert got["g"].p99 == values[min(int(len(values) * 0.99), len(values) - 1)] and (got["one"].p99, got["one"].n_values) == (5.0, 1)
+    order = sorted((r for r in rows if r[2] == "g"), key=lambda r: (r[1], r[0]))
+    want = {}
+    for k, r in enumerate(order):
+        last = sorted(x[3] for x in order[max(0, k - 99) : k + 1] if x[3] is not None)
+        want[r[0]] = last[min(int(len(last) * 95 / 100), len(last) - 1)] if last else None
+    assert {r.event_id: r.p95 for r in W.sliding_percentile(df, "kind").where("kind = 'g'").collect()} == want
+    docs = spark.createDataFrame([(i, "s", "w " * (i % 5), i % 40) for i in range(3000)], "doc_id long, source string, text string, n long")
+    kept, used = [], 0.0
+    for i in sorted(range(3000), key=lambda i: (-(i % 40), i)):
+        used += 1.3 * (i % 5)
+        if used > 100 + 1e-9:
+            break
+        kept.append(i)
+    assert sorted(r.doc_id for r in W.fit_budget(docs, "source", "n", "doc_id", 100.0).collect()) == sorted(kept)
