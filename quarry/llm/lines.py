@@ -14,7 +14,8 @@ and position); all but the first are cut out. The texts are dealt once, to bring
 digests and the repeated chunks travel alone.
 
 Defined cases: null and empty texts, and texts of one short line, have no chunks; a null doc_id sorts last; rows that are equal
-in doc_id and text are one document and are rewritten alike; a document that loses all lines keeps its row with an empty text;
+in doc_id and text are one document and are rewritten alike; a document that loses all lines keeps its row with an empty text, or
+the whole text where copies are spared;
 an empty table gives no rows; other columns pass, whatever their names.
 """
 
@@ -88,8 +89,8 @@ def digests(docs: DataFrame, long: int) -> DataFrame:
     return docs.select("doc", "key", "text").mapInArrow(run, "doc long, key long, chunk int, digest binary")
 
 
-def cut(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """row (all columns of docs), text without its repeated chunks, and the numbers lines, stretches, removed and kept."""
+def cut(docs: DataFrame, long: int = LONG, spare: int | None = None) -> DataFrame:
+    """row (all columns of docs), text without its repeated chunks, and the numbers lines, stretches, removed and kept. A document that would lose spare percent of its words and more stays whole."""
     text = F.col("row.text").cast("string")
     docs = carried(docs).withColumns({"doc": F.col("row.doc_id").cast("long"), "key": F.xxhash64(text), "text": text})
     found = stored(digests(docs, long), "line-chunks")
@@ -131,6 +132,10 @@ def cut(docs: DataFrame, long: int = LONG) -> DataFrame:
                         table.append((None, 0, 0, 0, 0))
                         continue
                     kept, stretches, removed = lines_left(text, set(out_ or ()))
+                    if spare is not None and out_:
+                        words = len(text.split())
+                        if 100 * (words - sum(len(x.split()) for x in kept)) >= spare * words:
+                            kept, stretches, removed = text.split("\n"), 1, 0
                     table.append(("\n".join(kept) if out_ else text, text.count("\n") + 1, stretches, removed, len(kept)))
                 done = [pa.array([t[i] for t in table], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *done], names=["row", "text", "lines", "stretches", "removed", "kept"])
@@ -141,9 +146,9 @@ def cut(docs: DataFrame, long: int = LONG) -> DataFrame:
     return out.mapInArrow(rewritten, schema)
 
 
-def without_repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """docs with their repeated chunks of lines cut out."""
-    return cut(docs, long).select(*with_text(F.col("text"), docs))
+def without_repeats(docs: DataFrame, long: int = LONG, spare: int | None = None) -> DataFrame:
+    """docs with their repeated chunks of lines cut out. With spare, a document that would lose so many percent of its words is a copy as a whole and stays for a near-duplicate stage to decide on."""
+    return cut(docs, long, spare).select(*with_text(F.col("text"), docs))
 
 
 def told(docs: DataFrame, long: int = LONG) -> DataFrame:
