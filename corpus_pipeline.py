@@ -3,7 +3,7 @@ near duplicates stays, sources are mixed to target weights, and the result is to
 
 Defined cases, at each stage: a null or empty text is a document without words, which is kept as it is up to the mix, where it
 is never drawn; a null doc_id is a document of its own, the last in order; rows equal in doc_id and text are kept up to the
-near-duplicate stage, which leaves one; a document that loses all its lines keeps its row with an empty text; an empty table
+near-duplicate stage, which leaves one; a document that line dedup would leave with 15 percent of its words or fewer stays whole; an empty table
 gives no rows; very long texts are taken whole, and packing cuts them into sequences; columns besides doc_id, text and source
 pass unchanged up to packing, whatever their names."""
 
@@ -26,7 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs)
+    # what would lose nearly all its words is a copy as a whole, for the next stage to decide on
+    return without_repeats(docs, spare=85)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
