@@ -18,13 +18,20 @@ from pyspark.sql import functions as F
 from .text import split_words
 
 
+# fixed value: seeds of stand-in vectors
+SEEDS = 2**32
+# fixed values: how replies hold an object, a list and the parts of a navigation
+OBJECT, LIST = r"(?s)(\{.*\})", r"(?s)(\[.*\])"
+PART, NEXT_PART = r"(?is){name}:\s*{pattern}", r"(.*?)(?=\n\s*(?:PAGES|CONFIDENCE):|\z)"
+
+
 def hashed_vectors(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """Unit vectors drawn from the text's digest: equal texts, equal vectors."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            rng = random.Random(int(hashlib.sha256((t or "").encode()).hexdigest(), 16) % 2**32)
+            rng = random.Random(int(hashlib.sha256((t or "").encode()).hexdigest(), 16) % SEEDS)
             v = [rng.gauss(0, 1) for _ in range(size)]
             n = sum(x * x for x in v) ** 0.5
             out.append([x / n for x in v])
@@ -60,13 +67,13 @@ def generator(make=lambda: quoted_sources):
 
 def from_reply(reply: Column, schema: str) -> Column:
     """The JSON object within a model's reply, or null."""
-    found = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    found = F.regexp_extract(reply, OBJECT, 1)
     return F.from_json(F.when(found != "", found), schema)
 
 
 def triplets_from(reply: Column) -> Column:
     """The JSON array of subject, predicate and object within a model's reply, or an empty one."""
-    found = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
+    found = F.regexp_extract(reply, LIST, 1)
     return F.coalesce(F.from_json(F.when(found != "", found), "array<struct<subject:string,predicate:string,object:string>>"), F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))
 
 
@@ -91,9 +98,9 @@ def compressed(chunks: DataFrame, shorten) -> DataFrame:
 
 def navigation(reply: Column) -> Column:
     """reasoning, pages and confidence of a navigation reply; confidence defaults to a half and stays within 0 and 1."""
-    part = lambda name, pattern: F.regexp_extract(reply, rf"(?is){name}:\s*{pattern}", 1)
+    part = lambda name, pattern: F.regexp_extract(reply, PART.format(name=name, pattern=pattern), 1)
     confidence = F.coalesce(part("CONFIDENCE", r"([0-9.]+)").try_cast("double"), F.lit(0.5))
-    return F.struct(F.trim(part("REASONING", r"(.*?)(?=\n\s*(?:PAGES|CONFIDENCE):|\z)")).alias("reasoning"), F.trim(part("PAGES", r"([^\n]*)")).alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"))
+    return F.struct(F.trim(part("REASONING", NEXT_PART)).alias("reasoning"), F.trim(part("PAGES", r"([^\n]*)")).alias("pages"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"))
 
 
 def streamed_words(answers: DataFrame, key: str) -> DataFrame:
@@ -128,3 +135,10 @@ def tool_lines(payload: str) -> str:
     except ValueError:
         return payload
     return "\n".join(f"{k}: {v}" for k, v in data.items() if not k.startswith("_")) if isinstance(data, dict) else payload
+
+
+def tool_context(payload: Column) -> Column:
+    """The same as a column: a JSON object's lines of key and value without private keys; a text that is none as it is, and nothing for null."""
+    pairs = F.map_filter(F.from_json(payload, "map<string,string>", {"mode": "PERMISSIVE"}), lambda k, v: ~k.startswith("_"))
+    lines = F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "\n")
+    return F.when(F.trim(payload).startswith("{") & pairs.isNotNull(), lines).otherwise(payload)

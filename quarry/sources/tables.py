@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.tables import query_table
 
 VARIABLE = re.compile(r"\$\{(\w+)(?::([^}]*))?\}")
 
@@ -75,10 +76,14 @@ def read_failures(spark: SparkSession, path: str, category: str | None = None) -
     return rows if category is None else rows.where(F.col("category") == category)
 
 
+# fixed value: what stands behind a text that was cut
+TRUNCATED = "\n\n[TRUNCATED: Result exceeded {most} bytes]"
+
+
 def capped(column, most: int = 5 * 1024 * 1024):
     """A text of at most so many bytes, with a mark where it was cut."""
     cut = F.decode(F.substring(F.encode(column, "utf-8"), 1, most), "utf-8")
-    return F.when(F.octet_length(column) > most, F.concat(cut, F.lit(f"\n\n[TRUNCATED: Result exceeded {most} bytes]"))).otherwise(column)
+    return F.when(F.octet_length(column) > most, F.concat(cut, F.lit(TRUNCATED.format(most=most)))).otherwise(column)
 
 
 def store(df: DataFrame, path: str, tenant: str = "team_id") -> None:
@@ -104,7 +109,46 @@ def feedback(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.where("document_id IS NULL").unionByName(rows.join(owned, (rows.document_id == owned.doc_id) & (rows.team_id == owned.team_id), "left_semi"))
 
 
-def objects(spark: SparkSession, path: str, pattern: str = "*", most: int = 5 * 1024 * 1024) -> DataFrame:
-    """Files below a path that fit a pattern and a size, as text with replacement of what isn't UTF-8."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= most).select("path", "length", F.decode("content", "utf-8").alias("text"))
+def listed(spark: SparkSession, path: str, tenant: str, namespace: str | None = None, schema: str = "doc_id string, team_id string, namespace string, status string") -> DataFrame:
+    """A tenant's document records, JSON lines, in one namespace or all; what isn't a record is skipped."""
+    if not tenant:
+        raise ValueError("a tenant is required")
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col("team_id") == tenant)
+    return rows if namespace is None else rows.where(F.col("namespace") == namespace)
+
+
+# fixed values: endings of files that are never opened
+BLOCKED = (".exe", ".dll", ".so")
+
+
+def objects(spark: SparkSession, path: str, pattern: str = "*", most: int = 5 * 1024 * 1024, prefixes: tuple[str, ...] = (), blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
+    """Files below a path that fit a pattern, a size and, if there are any, one of the prefixes below it, as text with replacement of what isn't UTF-8; files with a blocked ending are never opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load([f"{path.rstrip('/')}/{p}" for p in prefixes] if prefixes else path)
+    files = files.where(F.col("length") <= most)
+    for ending in blocked:
+        files = files.where(~F.lower("path").endswith(ending))
+    return files.select("path", "length", F.decode("content", "utf-8").alias("text"))
+
+
+class Tools:
+    """Tools over tables by name, each a function of its arguments that gives a DataFrame; every table gets one to query it."""
+
+    def __init__(self):
+        self.tools: dict = {}
+
+    def register(self, name: str, handler) -> None:
+        if not re.fullmatch(r"[A-Za-z_][\w.]*", name):
+            raise ValueError(f"bad tool name {name}")
+        self.tools[name] = handler
+
+    def register_table(self, name: str, df: DataFrame) -> None:
+        self.register(f"query_{name}", lambda columns=None, where=None, value=None, limit=50: query_table(df, columns or df.columns, where, value, limit))
+
+    def toolset(self, names: list[str]) -> dict:
+        """The named tools; names without one are skipped."""
+        return {n: self.tools[n] for n in names if n in self.tools}
+
+    def call(self, name: str, **arguments) -> DataFrame:
+        if name not in self.tools:
+            raise ValueError(f"no tool {name}")
+        return self.tools[name](**arguments)

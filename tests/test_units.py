@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import judge as J
+from quarry.functions import models as N
 from quarry.functions import text as T
 from quarry.functions import vector as V
 from quarry.operators import chunks as C
@@ -325,3 +326,30 @@ def test_hot_groups_in_cells(spark):
             break
         kept.append(i)
     assert sorted(r.doc_id for r in W.fit_budget(docs, "source", "n", "doc_id", 100.0).collect()) == sorted(kept)
+
+
+def test_tools(spark):
+    tools = D.Tools()
+    tools.register_table("users", spark.createDataFrame([(1, "Alice"), (2, "Bob")], "id int, name string"))
+    assert [r.name for r in tools.call("query_users", columns=["name"], where="id", value=2).collect()] == ["Bob"]
+    assert list(tools.toolset(["nothing", "query_users"])) == ["query_users"]
+    for bad in (lambda: tools.call("nothing"), lambda: tools.register("a b", None), lambda: tools.call("query_users", columns=["password"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_records_and_objects(spark, tmp_path):
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta/a.json").write_text('{"doc_id": "1", "team_id": "t", "namespace": "n"}\n{broken\n{"doc_id": "2", "team_id": "t", "namespace": "m"}\n{"doc_id": "3", "team_id": "u"}\n')
+    assert sorted(r.doc_id for r in D.listed(spark, str(tmp_path / "meta"), "t").collect()) == ["1", "2"]
+    assert [r.doc_id for r in D.listed(spark, str(tmp_path / "meta"), "t", "m").collect()] == ["2"]
+    for name in ("in/a.txt", "in/b.DLL", "out/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert sorted(r.text for r in D.objects(spark, str(tmp_path), prefixes=("in", "out")).collect()) == ["in/a.txt", "out/c.txt"]
+    assert [r.text for r in D.objects(spark, str(tmp_path), prefixes=("out",)).collect()] == ["out/c.txt"]
+
+
+@pytest.mark.parametrize("payload, lines", [('{"a": 1, "_b": 2, "c": "x"}', "a: 1\nc: x"), ("plain", "plain"), (None, None), ("[1]", "[1]"), ("{bad", "{bad")])
+def test_tool_context(spark, payload, lines):
+    assert one(spark, payload, N.tool_context(F.col("text"))) == lines
