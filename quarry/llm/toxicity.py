@@ -123,48 +123,49 @@ class Model:
                 known = tuple(self.terms[t] for t in (w, *("^" + h for h in heads)) if t in self.terms), tuple(self.terms["2^" + h] for h in heads if "2^" + h in self.terms)
                 if len(memo) > 50_000:
                     memo.clear()
-                memo[w] = known
-            if known[0]:
+                memo[w] = known = known if known[0] or known[1] else ()
+            if known:
                 found.update(known[0])
-            for t in known[1]:
-                (found if t in once else once).add(t)
+                for t in known[1]:
+                    (found if t in once else once).add(t)
         return sorted(found)
 
-    def votes(self, text: str, found: list[int], fold: int) -> list[int]:
-        """1 toxic, -1 clean, 0 no opinion, with the lists for rows of a fold."""
+    def list_votes(self, found: list[int], fold: int) -> list[int]:
+        """1 toxic, -1 clean, 0 no opinion, of the lists for rows of a fold and of the absence of their terms."""
         hits, of = [0] * LISTS, self.lists[fold]
         for t in found:
             if t in of:
                 hits[of[t]] += 1
         even, odd = sum(hits[::2]), sum(hits[1::2])
+        return [*(int(h > 0) for h in hits), int(even > 1), int(odd > 1), -int(even == 0), -int(odd == 0)]
+
+    def text_votes(self, text: str, found: list[int]) -> list[int]:
+        """The same of the fixed list and of patterns of tone."""
         fixed = any(t in self.insults for t in found)
-        return [
-            *(int(h > 0) for h in hits),
-            int(even > 1),
-            int(odd > 1),
-            -int(even == 0),
-            -int(odd == 0),
-            int(fixed),
-            int(len(SHOUT.findall(text)) > 2),
-            int(BANGS.search(text) is not None),
-            int(fixed and NAMED.search(text) is not None),
-        ]
+        return [int(fixed), int(len(SHOUT.findall(text)) > 2), int(BANGS.search(text) is not None), int(fixed and NAMED.search(text) is not None)]
+
+    def votes(self, text: str, found: list[int], fold: int) -> list[int]:
+        return self.list_votes(found, fold) + self.text_votes(text, found)
 
     def score(self, text: str | None, memo: dict) -> float:
         if self.weights is None:
             return 0.0
         text = text or ""
         found = self.terms_of(text, memo)
-        # the lists of all folds, equally; without terms they agree
-        votes = np.mean([self.votes(text, found, f) for f in range(FOLDS if found else 1)], 0)
-        z = self.bias + float(self.weights[found].sum()) + float(self.weights[len(self.terms) :] @ votes)
+        own = self.weights[len(self.terms) :]
+        z = self.bias + float(self.weights[found].sum()) + float(own[-4:] @ self.text_votes(text, found))
+        # the lists of all folds, equally; where none has a term of the text they agree
+        listed = any(t in of for of in self.lists for t in found)
+        folds = range(FOLDS if listed else 1)
+        z += sum(float(own[:-4] @ self.list_votes(found, f)) for f in folds) / len(folds)
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, list[float], np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 4) -> tuple[np.ndarray, list[float], np.ndarray]:
     """Posterior labels, accuracies and correlations of voters: EM for two classes of votes with one covariance.
 
-    It starts from a vote in which voters that say the same share one voice.
+    It starts from a vote in which voters that say the same share one voice, and takes few rounds, so that a clique of
+    voters doesn't become the class.
     """
     v = votes.astype(float)
     alike = np.nan_to_num(np.cov(v.T) / np.sqrt(np.outer(v.var(0) + 1e-9, v.var(0) + 1e-9)))
