@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     table = sample.orderBy("doc_id").select("text", "toxic", "fold").mapInArrow(run, "terms array<int>, votes array<byte>, toxic int").toArrow()  # numbers of a bounded sample
     if not table.num_rows:
         return model
-    prior = float((table.column("toxic").to_numpy() > 0).mean())
+    prior = float(((table.column("toxic").to_numpy() > 0).sum() + 0.5) / (table.num_rows + 2))  # a few labels alone reject nothing
     votes = np.array(table.column("votes").to_pylist(), np.int8)
     posterior, model.accuracies, model.correlations = label_model(votes, prior)
     found = table.column("terms").combine_chunks()
