@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .clusters import clustered
 from .lines import told
 from .media import stored_media
 from .mixing import taken
 from .nearness import near_groups
 from .packing import pack
+from .quality import judged as quality_judged
 from .secrets import scan_secrets
 from .sharding import minimax_shards
 from .topk import nearest
 from .toxicity import judged
 from .wavelet import read_shards, write_shards
+from .whitening import whitened
 
 
 def vocabulary() -> str:
@@ -67,7 +70,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), vocabulary(), end=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op5_media_columns, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_exact_top_k, op10_token_files)}
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000, weight="one")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(read(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, scale=256, seed=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op5_media_columns, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_exact_top_k, op10_token_files, op11_quality_classifier, op12_embedding_whitening, op13_centroid_clustering)}
 ORACLES = {
     "op9_exact_top_k": """
         WITH fine AS (

@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder_ in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if folder_.startswith(folder(spark)) or folder_.startswith(folder(spark).replace("file://", "file:")):
+            at = jvm.org.apache.hadoop.fs.Path(folder_)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """docs as one column, row, of all their columns: no name of theirs can clash with one that an operator adds."""
     return docs.select(F.struct("*").alias("row"))
