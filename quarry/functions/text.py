@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -26,9 +26,14 @@ def split_words(text: C) -> Column:
 
 def sparse_tokens(text: C, stop=None) -> Column:
     """Lower-case alphanumeric runs of the whole text, without stop words and numbers."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
     stop = strings(lists.SPARSE_STOP) if stop is None else stop
-    return F.filter(found, lambda t: ~F.array_contains(stop, t) & ~t.rlike(r"^\d+$"))
+    return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda t: (t != "") & ~F.array_contains(stop, t) & ~t.rlike(r"^\d+$"))
+
+
+def sparse_words(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys and each sparse token of the whole text, in a row of its own; stop words go row by row, by a hash lookup."""
+    words = docs.select(*keys, F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("token"))
+    return words.where(~F.col("token").isin("", *lists.SPARSE_STOP) & ~F.col("token").rlike(r"^\d+$"))
 
 
 def stop_words(lang: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import place, stored
+
 
 def grams(text, n: int = 3):
     """Distinct stretches of n characters, or the text itself if it is shorter."""
@@ -33,16 +35,27 @@ def both_ways(triplets: DataFrame) -> DataFrame:
     return triplets.select(F.col("subject").alias("node"), F.col("object").alias("other"), t.alias("triplet")).union(triplets.select("object", "subject", t))
 
 
+#: Edges of a node that meet the frontier in one task, about.
+HUB = 50_000
+
+
 def k_hop(seeds: DataFrame, triplets: DataFrame, hops: int) -> DataFrame:
-    """node and the fewest hops from a seed. Each hop joins the frontier alone with the edges and drops what has been reached."""
+    """node and the fewest hops from a seed. Each hop joins the frontier alone with the edges, drops what has been reached, and is stored in a folder of its own below one table: a hop's plan is the same whatever has gone before. Edges of hubs are dealt into parts by their other end, and the frontier's hubs go to all of them."""
+    spark, at = seeds.sparkSession, place(seeds.sparkSession, "hops")
     edges = both_ways(triplets).select("node", "other").distinct()
-    reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = reached
+    degree = edges.groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+    edges = edges.join(degree, "node", "left").na.fill(1, ["parts"])
+    edges = stored(edges.select("node", "other", "parts", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part")), "edges")
+    hubs = stored(edges.where("parts > 1").select("node", "parts").distinct(), "hubs")
+    seeds.select("node").distinct().write.parquet(f"{at}/depth=0")
+    kind = seeds.select("node", F.lit(0).alias("depth")).schema
+    reached = lambda: spark.read.schema(kind).option("basePath", at).parquet(f"{at}/depth=*")
     for hop in range(1, hops + 1):
-        step = frontier.join(edges, "node").select(F.col("other").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
-        frontier = step.withColumn("depth", F.lit(hop))
-        reached = reached.union(frontier)
-    return reached
+        frontier = reached().where(F.col("depth") == hop - 1).join(hubs, "node", "left").na.fill(1, ["parts"])
+        frontier = frontier.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        step = frontier.join(edges, ["node", "part"]).select(F.col("other").alias("node")).distinct()
+        step.join(reached().select("node"), "node", "left_anti").write.parquet(f"{at}/depth={hop}")
+    return reached()
 
 
 def within(nodes: DataFrame, triplets: DataFrame) -> DataFrame:
@@ -98,16 +111,17 @@ def neighbours(seeds: DataFrame, triplets: DataFrame, hops: int, siblings: int =
     low = triplets.select(F.lower("subject").alias("s"), "predicate", F.lower("object").alias("o"), "subject", "object")
     ends = low.select(F.col("s").alias("node"), "*").unionByName(low.where("s != o").select(F.col("o").alias("node"), "*"))
     shown = ends.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("s", "predicate", "o", "subject", "object"))).where(F.col("n") <= siblings).drop("n")
-    seen = seeds.select("seed", F.lower("seed").alias("node")).distinct()
-    frontier, met = seen, None
+    shown = stored(shown.select("node", "s", "predicate", "o", "subject", "object"), "shown")
+    seen = stored(seeds.select("seed", F.lower("seed").alias("node")).distinct(), "seen")
+    frontier, met = seen, []
     for _ in range(hops):
-        found = frontier.join(shown, "node").select("seed", "s", "predicate", "o", "subject", "object")
-        met = found if met is None else met.unionByName(found)
-        step = found.select("seed", F.explode(F.array("s", "o")).alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
-        seen = seen.unionByName(step)
+        found = stored(frontier.join(shown, "node").select("seed", "s", "predicate", "o", "subject", "object"), "met")
+        met.append(found)
+        step = stored(found.select("seed", F.explode(F.array("s", "o")).alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"), "step")
+        seen = stored(seen.unionByName(step), "seen")
         frontier = step.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("n") <= 2 * siblings).drop("n")
     first = F.min_by(F.struct("subject", "object"), F.struct("subject", "object"))
-    return met.groupBy("seed", "s", "predicate", "o").agg(first.alias("t")).select("seed", "t.subject", "predicate", "t.object")
+    return reduce(DataFrame.unionByName, met).groupBy("seed", "s", "predicate", "o").agg(first.alias("t")).select("seed", "t.subject", "predicate", "t.object")
 
 
 def first_seen(rows: DataFrame, by: list[str], key: list[str], order: list) -> DataFrame:

@@ -61,8 +61,8 @@ def fuse_scores(lists: dict[str, tuple[DataFrame, float]], query: str, item: str
 
 def term_frequencies(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc, token_id, tf of the sparse vectors."""
-    tokens = docs.select(doc, F.explode(T.sparse_tokens("text")).alias("token"))
-    return tokens.groupBy(doc, T.token_id(F.col("token")).alias("token_id")).agg(F.count("*").alias("tf"))
+    counts = T.sparse_words(docs, doc).groupBy(doc, "token").agg(F.count("*").alias("tf"))
+    return counts.groupBy(doc, T.token_id(F.col("token")).alias("token_id")).agg(F.sum("tf").alias("tf"))
 
 
 #: Query terms up to so many rows are broadcast; more are joined by shuffle.
@@ -71,7 +71,7 @@ FEW = 200_000
 
 def postings(queries: DataFrame, query: str) -> DataFrame:
     """token, query and its tf there."""
-    return queries.select(query, F.explode(T.sparse_tokens("text")).alias("token")).groupBy(query, "token").agg(F.count("*").alias("q_tf"))
+    return T.sparse_words(queries, query).groupBy(query, "token").agg(F.count("*").alias("q_tf"))
 
 
 def near(df: DataFrame) -> DataFrame:
@@ -79,21 +79,6 @@ def near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def sparse_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    """Dot products of term frequencies, top k of each query. Every occurrence of a term adds the query's frequency of it, so documents need no table of terms: where the query terms are few, one pass over the texts gives partial scores before the shuffle."""
-    words = docs.select(doc, F.explode(T.sparse_tokens("text")).alias("token"))
-    scored = words.join(near(postings(queries, query)), "token").groupBy(query, doc).agg(F.sum("q_tf").alias("score"))
-    return top(scored, [query], [F.col("score").desc(), doc], k)
-
-
-def shared_terms(queries: DataFrame, docs: DataFrame, query: str, doc: str) -> DataFrame:
-    """query, doc, n and score of all pairs that share terms: how many they share, and their dot product. Terms that no query has go before the first shuffle."""
-    q = postings(queries, query)
-    words = docs.select(doc, F.explode(T.sparse_tokens("text")).alias("token")).join(near(q.select("token").distinct()), "token", "left_semi")
-    counted = words.groupBy(doc, "token").agg(F.count("*").alias("tf"))
-    return counted.join(near(q), "token").groupBy(query, doc).agg(F.count("*").alias("n"), F.sum(F.col("tf") * F.col("q_tf")).alias("score"))
-
-
 def fuse_results(lists: dict[str, DataFrame], query: str, doc: str, content: str = "content", k: int = 60, limit: int = 10) -> DataFrame:
     """Reciprocal rank fusion of rows: equal documents with equal first 100 characters are one result, which keeps the row that was seen first (lists in their order, then rank)."""
     rows = [df.select(query, doc, F.left(content, F.lit(100)).alias("head"), "rank", F.lit(i).alias("place"), F.lit(n).alias("source"), F.struct(*(c for c in df.columns if c not in (query, doc, "rank"))).alias("row")) for i, (n, df) in enumerate(lists.items())]

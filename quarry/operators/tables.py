@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list) -> DataFrame:
     """Rows of new in place of old ones with their key. Of several new rows with a key the last one in order wins."""
-    if order:
-        new = latest(new, key, [o.desc() if isinstance(o, Column) else F.col(o).desc() for o in order])
+    new = latest(new, key, [o.desc() if isinstance(o, Column) else F.col(o).desc() for o in order])
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 

@@ -14,6 +14,7 @@ from ..operators import answers as A
 from ..operators import chunks as C
 from ..operators import measure as M
 from ..operators import search as S
+from ..operators.postings import index_of
 from ..sources import tables as D
 from .base import query, read, sql_list
 from .evaluation import CASES, judge_scores
@@ -29,7 +30,7 @@ FOUND = f"""q AS {frequencies('benchmark', 'item_id')}, d AS {frequencies('docum
 
 def found(spark, sf_dir, k: int = 30):
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    rows = S.sparse_scores(items, docs, "item_id", "doc_id", k)
+    rows = index_of(docs).best(items, "item_id", k)
     score = F.col("score") / (F.lit(1.0) + F.col("score"))
     return rows.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select("item_id", "doc_id", "rank", "content", score.alias("relevance_score"))
 

@@ -8,6 +8,8 @@ from ..functions import lists
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import search as S
+from ..operators.cells import Cells
+from ..operators.postings import index_of
 from .base import query, read, sql_list
 
 CENTROIDS = """
@@ -34,6 +36,13 @@ def vec_topk_tenant(spark, sf_dir):
     return S.similar(*both(spark, sf_dir), "label", 10)
 
 
+@query(f"WITH {CENTROIDS}, {ranked(COSINE, 'DESC', 10, 'r')} SELECT * FROM r")
+def vec_cells_topk(spark, sf_dir):
+    """The same from an index in cells, which reads the cells that can still hold one of the best."""
+    queries, vectors = both(spark, sf_dir)
+    return Cells(vectors, "label", cells=32).similar(queries, 10)
+
+
 @query(f"WITH {CENTROIDS} SELECT label, vec_id, {COSINE} AS score FROM pairs WHERE {COSINE} >= 0.2")
 def vec_threshold(spark, sf_dir):
     queries, vectors = both(spark, sf_dir)
@@ -94,7 +103,7 @@ def tf_sparse(spark, sf_dir):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """)
 def sparse_score(spark, sf_dir):
-    return S.sparse_scores(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", 10)
+    return index_of(read(spark, sf_dir, "documents")).best(read(spark, sf_dir, "benchmark"), "item_id", 10)
 
 
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
@@ -113,7 +122,7 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), la
 """)
 def overfetch_rerank(spark, sf_dir):
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    candidates = S.sparse_scores(items, docs, "item_id", "doc_id", 15).select("item_id", "doc_id", "rank")
+    candidates = index_of(docs).best(items, "item_id", 15).select("item_id", "doc_id", "rank")
     texts = candidates.join(items.select("item_id", F.col("text").alias("query_text")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
     return S.rerank(texts, "item_id", 5).select("item_id", "doc_id", "score", "position", "is_confident")
 

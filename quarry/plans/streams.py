@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.stored import place
 from ..streaming import jobs
 from .base import query
 
 
 def folder(spark) -> str:
-    """A new folder below the shared one. Where the session names none, a local session gets a temporary one; a cluster must name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return place(spark, "stream")
 
 
-def run(spark, stream, mode="append"):
+def run(spark, stream, mode="append", expires=False):
     path = folder(spark)
-    jobs.finished(stream, f"{path}/rows", f"{path}/checkpoint", mode)
+    jobs.finished(stream, f"{path}/rows", f"{path}/checkpoint", mode, expires)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -39,7 +31,7 @@ RATE = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_
 
 @query(RATE)
 def rate_limit_exact(spark, sf_dir):
-    return run(spark, jobs.limited(jobs.event_stream(spark, sf_dir), most=2, seconds=4 * 3600))
+    return run(spark, jobs.limited(jobs.event_stream(spark, sf_dir), most=2, seconds=4 * 3600), expires=True)
 
 
 BREAKER = """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type = 'error' AS bad, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -59,7 +51,7 @@ BREAKER = """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type = 'error'
 
 @query(BREAKER)
 def circuit_breaker(spark, sf_dir):
-    return run(spark, jobs.breakers(jobs.event_stream(spark, sf_dir), failures=2, rest=7200, successes=2))
+    return run(spark, jobs.breakers(jobs.event_stream(spark, sf_dir), failures=2, rest=7200, successes=2), expires=True)
 
 
 TRIED = "CASE WHEN event_type <> 'error' THEN 1 WHEN value < 20 THEN 4 ELSE 1 + event_id % 4 END"
@@ -77,3 +69,29 @@ def stream_ingest(spark, sf_dir):
     jobs.ingest(jobs.event_stream(spark, sf_dir), table, f"{table}-checkpoint", work=work)
     out = [spark.read.parquet(f"{table}/{name}").select("user_id", "event_id", "event_type", F.lit(name).alias("outcome"), F.col("attempt").alias("attempts")) for name in ("rows", "failed")]
     return out[0].unionByName(out[1])
+
+
+SPANS = """o AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_id, ts FROM events),
+    g AS (SELECT user_id, t, sum(CASE WHEN before IS NULL OR t - before > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM o)"""
+
+
+@query(f"""WITH {SPANS} SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS n_events FROM g GROUP BY user_id, session
+    HAVING (max(t) + 3600000000) // 1000 + 1 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 86400000""")
+def timed_sessions(spark, sf_dir):
+    """Sessions that timers have closed when the stream has ended: all but those whose gap reaches into the last day."""
+    return run(spark, jobs.timed_sessions(jobs.event_stream(spark, sf_dir), gap=3600, late="1 day"))
+
+
+RESPONSES = "r AS (SELECT user_id, event_id AS response_id, ts FROM events WHERE event_type = 'purchase'), s AS (SELECT user_id, event_id AS score_id, ts, value AS score FROM events WHERE event_type = 'click')"
+
+
+@query(f"""WITH {RESPONSES}, w AS (SELECT least((SELECT max(ts) FROM r), (SELECT max(ts) FROM s)) - INTERVAL 1 DAY AS mark),
+    j AS (SELECT r.user_id, response_id, r.ts, score_id, score FROM r LEFT JOIN s ON s.user_id = r.user_id AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 6 HOUR)
+    SELECT user_id, response_id, score_id, score FROM j, w WHERE score_id IS NOT NULL OR ts + INTERVAL 6 HOUR < mark""")
+def stream_evaluation(spark, sf_dir):
+    """Purchases stand for responses and clicks for the scores that a judge gives them within six hours: two streams, joined behind two watermarks."""
+    events = lambda: jobs.event_stream(spark, sf_dir)
+    responses = events().where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("response_id"), "ts")
+    scores = events().where("event_type = 'click'").select("user_id", F.col("event_id").alias("score_id"), "ts", F.col("value").alias("score"))
+    rows = run(spark, jobs.evaluated(responses, scores, within="6 hours", late="1 day"))
+    return rows.select("user_id", "response_id", "score_id", "score")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -17,59 +20,167 @@ def event_stream(spark: SparkSession, path: str, glob: str = "events.parque[t]",
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all there is into Parquet files."""
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def finished(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", expires: bool = False) -> None:
+    """Runs a stream over all there is into Parquet files, with its state in RocksDB. State that expires by the clock asks for batches without rows for ever: there, the run ends with the last row."""
+    spark = stream.sparkSession
+    settings = ROCKS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(not expires).lower()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def limited(stream: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
-    """Exact sliding-window rate limiter per user: a request counts only if it was let through. State: the times let through within the window, at most `most` of them."""
+#: State with lists, maps, timers and expiry is kept in RocksDB.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # of one micro-batch
-        out = []
-        for event_id, ts in zip(rows.event_id, rows.ts, strict=True):
-            now = ts.timestamp()
-            times = [t for t in times if t > now - seconds]
-            ok = len(times) < most
+
+def in_order(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """Rows of one key and micro-batch by time and id, as tuples of microseconds, id and the other columns; only these columns are held, as arrays."""
+    parts = [(b["ts"].to_numpy().astype("datetime64[us]").astype("int64"), b["event_id"].to_numpy(), *(b[c].to_numpy() for c in columns)) for b in batches]
+    held = [np.concatenate(p) for p in zip(*parts, strict=True)]
+    order = np.lexsort((held[1], held[0]))
+    return zip(*(h[order].tolist() for h in held), strict=True)
+
+
+class Limiter(StatefulProcessor):
+    """Which requests of a user are let through. State: a list of the times let through within the window, which is gone when the user has been idle for as long."""
+
+    def __init__(self, most: int, seconds: int, idle: int | None = None):
+        self.most, self.span, self.idle = most, seconds * 1_000_000, (idle or seconds) * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getListState("times", "at long", self.idle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times, out = deque(t[0] for t in self.times.get()), []
+        for now, event_id in in_order(rows):
+            while times and times[0] <= now - self.span:
+                times.popleft()
+            ok = len(times) < self.most
             if ok:
                 times.append(now)
             out.append((key[0], event_id, ok))
-        state.update((times,))
+        self.times.put([(t,) for t in times])
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
 
-    return stream.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "times array<double>", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def limited(stream: DataFrame, most: int = 100, seconds: int = 60, idle: int | None = None) -> DataFrame:
+    """Exact sliding-window rate limiter per user: a request counts only if it was let through. A user who sends nothing for so long (the window, or idle seconds) has no state."""
+    rows = stream.select("user_id", "event_id", "ts").groupBy("user_id")
+    return rows.transformWithStateInPandas(Limiter(most, seconds, idle), "user_id long, event_id long, allowed boolean", "Append", "ProcessingTime")
+
+
+class Breaker(StatefulProcessor):
+    """Condition of a user's circuit breaker after each request. State: condition, failures and successes counted, and when it opened."""
 
+    def __init__(self, failures: int, rest: int, successes: int, idle: int):
+        self.failures, self.rest, self.successes, self.idle = failures, rest * 1_000_000, successes, idle * 1000
 
-def breakers(stream: DataFrame, failures: int = 5, rest: int = 30, successes: int = 2) -> DataFrame:
-    """Circuit breaker per user: so many failures open it, after a rest it is half open, and successes in a row close it. State: its condition, counts and when it opened."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", "condition string, failed int, passed int, opened long", self.idle)
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        condition, failed, passed, opened = state.get if state.exists else ("closed", 0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        condition, failed, passed, opened = self.state.get() if self.state.exists() else ("closed", 0, 0, 0)
         out = []
-        for event_id, ts, kind in zip(rows.event_id, rows.ts, rows.event_type, strict=True):
-            now = ts.timestamp()
-            if condition == "open" and now - opened >= rest:
+        for now, event_id, kind in in_order(rows, "event_type"):
+            if condition == "open" and now - opened >= self.rest:
                 condition, passed = "half_open", 0
             if condition != "open":
                 if kind == "error":
                     failed += 1
-                    if condition == "half_open" or failed >= failures:
+                    if condition == "half_open" or failed >= self.failures:
                         condition, opened, failed = "open", now, 0
                 elif condition == "half_open":
                     passed += 1
-                    if passed >= successes:
+                    if passed >= self.successes:
                         condition, failed = "closed", 0
                 else:
                     failed = 0
             out.append((key[0], event_id, condition))
-        state.update((condition, failed, passed, opened))
+        self.state.update((condition, failed, passed, opened))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "condition"])
 
-    schema = "condition string, failed int, passed int, opened double"
-    return stream.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, condition string", schema, "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def breakers(stream: DataFrame, failures: int = 5, rest: int = 30, successes: int = 2, idle: int = 86_400) -> DataFrame:
+    """Circuit breaker per user: so many failures open it, after a rest it is half open, and successes in a row close it. It is forgotten after idle seconds without a request."""
+    rows = stream.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
+    return rows.transformWithStateInPandas(Breaker(failures, rest, successes, idle), "user_id long, event_id long, condition string", "Append", "ProcessingTime")
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of a user, given when they are over. State: a map of the open ones by their start. A timer at the time from which no row can prolong a session closes it, whether or not the user comes back."""
+
+    def __init__(self, gap: int):
+        self.gap = gap * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "started long", "ended long, n long")
+
+    def _over(self, ended: int) -> int:
+        """Milliseconds from which on rows lie behind the session and its gap."""
+        return (ended + self.gap) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {k[0]: (v[0], v[1]) for k, v in self.open.iterator()}
+        spans = [(a, b, n) for a, (b, n) in held.items()]
+        for batch in rows:  # a batch becomes few spans, so its rows aren't kept
+            at = np.sort(batch["ts"].to_numpy().astype("datetime64[us]").astype("int64"))
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(at) > self.gap) + 1, [len(at)]))
+            spans = self._merged(spans + [(int(at[i]), int(at[j - 1]), int(j - i)) for i, j in zip(edges, edges[1:], strict=False)])
+        now = {a: (b, n) for a, b, n in spans}
+        for a, (b, _) in held.items():
+            if now.get(a, (None,))[0] != b:
+                self.handle.deleteTimer(self._over(b))
+            if a not in now:
+                self.open.removeKey((a,))
+        for a, v in now.items():
+            if held.get(a) != v:
+                self.open.updateValue((a,), v)
+            self.handle.registerTimer(self._over(v[0]))
+        return iter(())
+
+    def _merged(self, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for a, b, n in sorted(spans):
+            if out and a - out[-1][1] <= self.gap:
+                out[-1] = out[-1][0], max(out[-1][1], b), out[-1][2] + n
+            else:
+                out.append((a, b, n))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if self._over(v[0]) <= expiredTimerInfo.getExpiryTimeInMs()]
+        for started, _, _ in over:
+            self.open.removeKey((started,))
+        yield pd.DataFrame([(key[0], a, b, n) for a, b, n in sorted(over)], columns=["user_id", "started", "ended", "n_events"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(stream: DataFrame, gap: int = 3600, late: str = "1 day") -> DataFrame:
+    """user_id, started, ended (microseconds), n_events of sessions, each as soon as the watermark has passed its end and the gap: a gap of exactly that length doesn't end it."""
+    rows = stream.withWatermark("ts", late).select("user_id", "ts").groupBy("user_id")
+    return rows.transformWithStateInPandas(Sessions(gap), "user_id long, started long, ended long, n_events long", "Append", "EventTime")
+
+
+def evaluated(responses: DataFrame, scores: DataFrame, within: str = "1 hour", late: str = "1 day", late_scores: str | None = None) -> DataFrame:
+    """Responses (user_id, response_id, ts) with the scores (user_id, score_id, ts, score) that come for them within a time; a response without any is given once the watermarks of both streams have passed that time."""
+    left = responses.select("user_id", "response_id", F.col("ts").alias("response_ts")).withWatermark("response_ts", late)
+    right = scores.select(F.col("user_id").alias("of_user"), "score_id", F.col("ts").alias("score_ts"), "score").withWatermark("score_ts", late_scores or late)
+    soon = F.expr(f"of_user = user_id AND score_ts >= response_ts AND score_ts <= response_ts + INTERVAL {within}")
+    return left.join(right, soon, "left_outer").drop("of_user")
 
 
 def session_counts(stream: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -214,7 +214,7 @@ def test_sessions_keep_the_newest(spark):
 def test_upserts_and_history(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
-    assert sorted(map(tuple, B.upsert(old, new, ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, B.upsert(old, new, ["id"], ["v"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     d = {r.digest: r.action for r in B.difference(old.withColumnRenamed("v", "digest"), new.withColumnRenamed("v", "digest"), "id", "digest").collect()}
     assert d == {"a": "orphan", "b": "orphan", "c": "insert", "d": "insert"}
     with pytest.raises(ValueError):

@@ -4,6 +4,7 @@ import hashlib
 
 from quarry.functions import text as T
 from quarry.operators import search as S
+from quarry.operators.postings import Index
 from quarry.plans.registry import QUERIES
 
 
@@ -14,7 +15,7 @@ def test_terms_after_100000_characters(spark):
     got = {(r.doc_id, r.token_id): r.tf for r in S.term_frequencies(docs).collect()}
     assert got == {(1, ids["early"]): 20_000, (1, ids["tail"]): 2, (2, ids["tail"]): 1}
     queries = spark.createDataFrame([(7, "tail")], "item_id long, text string")
-    assert [(r.doc_id, r.score) for r in S.sparse_scores(queries, docs, "item_id", "doc_id", 10).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+    assert [(r.doc_id, r.score) for r in Index(docs).best(queries, "item_id", 10).orderBy("rank").collect()] == [(1, 2), (2, 1)]
 
 
 MARKED = "﻿The oﬃce  of “A”—it’s​ here…  \n１２\nmail bob＠example.com now."
