@@ -27,7 +27,9 @@ def vocabulary() -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. Documents that lie in fewer files than there are cores are dealt to all of them; larger tables have more files, and nothing is moved."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table == "documents" and len(df.inputFiles()) < cores else df
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,29 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(read(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, scale=256, seed=2)
+    return clustered(read(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, scale=256, seed=2).drop("evaluated")
+
+
+def _rounds(clusters: int, rounds: int, width: int, scale: int, seed: int) -> str:
+    """All distances in every round, in SQL."""
+    assigned = """
+        d{r} AS MATERIALIZED (SELECT k.line, c.number, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept k, c{r} c),
+        a{r} AS MATERIALIZED (SELECT line, arg_min(number, (d, number)) AS number, min(d) AS d FROM d{r} GROUP BY line),"""
+    moved = """
+        s{r} AS (SELECT number, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.number, unnest(k.v) AS x, generate_subscripts(k.v, 1) AS pos FROM a{r} a JOIN kept k USING (line)) GROUP BY number, pos),
+        m{r} AS (SELECT number, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s{r} GROUP BY number),
+        c{n} AS MATERIALIZED (SELECT c.number, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (number)),"""
+    steps = "".join(assigned.format(r=r) + (moved.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS line, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, vec_id, v) - 1 AS number, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, vec_id, v FROM kept ORDER BY h NULLS LAST, vec_id, v LIMIT {clusters})),{steps}
+        i AS (SELECT number, CAST(sum(d) AS BIGINT) AS inertia FROM a{rounds} GROUP BY number)
+        SELECT k.vec_id, CAST(a.number AS INTEGER) AS cluster, a.d AS distance, i.inertia AS cluster_inertia, (SELECT CAST(sum(inertia) AS BIGINT) FROM i) AS inertia,
+            sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN kept k USING (line) JOIN i USING (number) JOIN c{rounds} c USING (number)"""
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scans, op3_best_fit_packing, op4_source_mixing, op5_media_columns, op6_minhash_near_dedup, op7_toxicity, op8_line_dedup, op9_exact_top_k, op10_token_files, op11_quality_classifier, op12_embedding_whitening, op13_centroid_clustering)}
@@ -98,4 +122,5 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op13_centroid_clustering": _rounds(clusters=40, rounds=5, width=64, scale=256, seed=2),
 }
