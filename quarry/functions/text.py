@@ -59,6 +59,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def composed(text: C) -> Column:
+    """The same as nfkc, where only texts with characters beyond ASCII leave the JVM: all others are composed as they are."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def plain_marks(text: Column) -> Column:
     """Quotes, dashes, ellipsis and invisible characters in ASCII."""
     return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), lists.QUOTES.items(), text)

@@ -77,12 +77,13 @@ def cascade(requests: DataFrame, tiers: dict[str, DataFrame], key: str) -> DataF
     return out.withColumns({"cache_tier": tier, "value": F.coalesce(*values)}).drop(*(f"value_{n}" for n in tiers))
 
 
-def query_table(df: DataFrame, columns: list[str], where: str | None = None, value=None, limit: int | None = 50) -> DataFrame:
-    """Projection with one equality of a table tool; names are checked against the schema."""
-    unknown = [c for c in [*columns, *([where] if where else [])] if c not in df.columns]
+def query_table(df: DataFrame, columns: list[str], where: str | None = None, value=None, limit: int | None = 50, order: str | None = None) -> DataFrame:
+    """Projection with one equality of a table tool, its first rows in an order if one is given; names are checked against the schema."""
+    unknown = [c for c in [*columns, *(c for c in (where, order) if c)] if c not in df.columns]
     if unknown:
         raise ValueError(f"unknown columns {unknown}")
-    out = df.select(*columns) if where is None or value in (None, "") else df.where(F.col(where) == value).select(*columns)
+    rows = df if where is None or value in (None, "") else df.where(F.col(where) == value)
+    out = (rows.orderBy(order) if order else rows).select(*columns)
     return out if limit is None else out.limit(limit)
 
 

@@ -74,10 +74,11 @@ def hybrid_search(spark, sf_dir):
     return S.hybrid(S.similar(queries, vectors, "label", 20), S.top(overlap, ["label"], [F.col("score").desc(), "vec_id"], 20), "label", "vec_id")
 
 
-@query("""WITH p AS (SELECT doc_id, source AS team, lang, n_chars FROM documents) SELECT doc_id, team FROM p WHERE team = 'src1' AND lang = 'en'""")
+@query("""SELECT doc_id, source AS team FROM documents WHERE source = 'src1' AND n_chars > 1000 AND doc_id % 3 <> 0 AND lang = 'en'""")
 def filter_merge(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("team"), F.col("lang").alias("namespace"))
-    return rows.where(S.merged_filter({"team": "src1"}, None, {}, "en")).select("doc_id", "team")
+    """Conditions of the team, of the question, of the request and of the namespace at once."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("team"), F.col("lang").alias("namespace"), F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("size"), (F.col("doc_id") % 3 != 0).alias("public"))
+    return rows.where(S.merged_filter({"team": "src1"}, {"size": "long"}, {"public": True}, "en")).select("doc_id", "team")
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN length(text) < 50 THEN 'simple' WHEN length(text) < 200 THEN 'moderate' ELSE 'complex' END AS complexity, sha256('team' || conv_id % 5 || ':' || role || ':' || text) AS cache_key, left(sha256(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))), 16) AS query_key FROM conversations")

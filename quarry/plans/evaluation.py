@@ -68,15 +68,15 @@ def content(c: str) -> str:
 SHARE = "len(list_intersect({whole}, {part}))::DOUBLE / nullif(len({whole}), 0)"
 CASES = f"""t AS (SELECT c.conv_id, c.turn, {content('c.text')} AS a, {content('p.text')} AS q, {content('d.text')} AS s, e.value * 200 AS latency_ms, trim(c.text) = '' AS no_answer, trim(d.text) = '' AS none_expected
         FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 JOIN documents d ON d.doc_id = c.conv_id JOIN events e ON e.event_id = c.conv_id WHERE c.role = 'assistant'),
-    c AS (SELECT *, {SHARE.format(whole='a', part='s')} AS c, {SHARE.format(whole='q', part='a')} AS qc, {SHARE.format(whole='s', part='a')} AS ec FROM t),
+    c AS (SELECT *, {SHARE.format(whole='a', part='s')} AS c, {SHARE.format(whole='q', part='a')} AS qc, {SHARE.format(whole='s', part='a')} AS ec, {SHARE.format(whole='q', part='s')} AS sq FROM t),
     j AS (SELECT conv_id, turn, latency_ms,
         round(CASE WHEN len(s) = 0 THEN 0 ELSE coalesce(CASE WHEN c >= 0.6 THEN least(1.0, 0.5 + c * 0.5) WHEN c >= 0.3 THEN 0.3 + c * 0.4 ELSE c * 0.5 END, 0) END, 4) AS faithfulness,
         round(CASE WHEN len(q) = 0 THEN 0.5 ELSE least(1.0, 0.4 * qc + 0.6 * coalesce(ec, 0)) END, 4) AS relevance,
-        round(CASE WHEN no_answer THEN 0 WHEN none_expected THEN 1 ELSE coalesce(ec, 0.5) END, 4) AS coverage FROM c)"""
+        round(CASE WHEN no_answer THEN 0 WHEN none_expected THEN 1 ELSE coalesce(ec, 0.5) END, 4) AS coverage, round(sq, 4) AS recall FROM c)"""
 
 
 def judge_scores(spark, sf_dir):
-    """Answers of conversations against the document of the same number as source and expectation, and the turn before as question."""
+    """Answers of conversations against the document of the same number as source and expectation, and the turn before as question; recall is the share of the question's words that the source has."""
     talks = read(spark, sf_dir, "conversations")
     words = T.content_words
     answers = talks.where("role = 'assistant'").select("conv_id", "turn", words("text").alias("a"), F.col("text").alias("answer"))
@@ -85,7 +85,7 @@ def judge_scores(spark, sf_dir):
     times = read(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"), (F.col("value") * 200).alias("latency_ms"))
     rows = answers.join(asked, ["conv_id", "turn"]).join(docs, "conv_id").join(times, "conv_id")
     a, q, s = F.col("a"), F.col("q"), F.col("s")
-    return rows.select("conv_id", "turn", "latency_ms", F.round(J.faithfulness(a, s), 4).alias("faithfulness"), F.round(J.relevance(a, q, s), 4).alias("relevance"), F.round(J.coverage(a, s, F.col("answer"), F.col("expected")), 4).alias("coverage"))
+    return rows.select("conv_id", "turn", "latency_ms", F.round(J.faithfulness(a, s), 4).alias("faithfulness"), F.round(J.relevance(a, q, s), 4).alias("relevance"), F.round(J.coverage(a, s, F.col("answer"), F.col("expected")), 4).alias("coverage"), F.round(F.size(F.array_intersect(q, s)) / F.nullif(F.size(q), F.lit(0)), 4).alias("recall"))
 
 
 @query(f"WITH {CASES} SELECT * FROM j")
@@ -103,14 +103,14 @@ def eval_report(spark, sf_dir):
     return M.report(scores.withColumn("difficulty", F.when(F.col("turn") % 3 == 0, "easy").when(F.col("turn") % 3 == 1, "medium").otherwise("hard")))
 
 
-CATEGORY = "CASE WHEN faithfulness < 0.3 THEN 'hallucination' WHEN relevance < 0.3 THEN 'off_topic' WHEN latency_ms > 10000 THEN 'latency_exceeded' WHEN coverage < 0.3 THEN 'low_coverage' ELSE 'unknown' END"
+CATEGORY = "CASE WHEN faithfulness < 0.3 THEN 'hallucination' WHEN relevance < 0.3 THEN 'off_topic' WHEN latency_ms > 10000 THEN 'latency_exceeded' WHEN recall < 0.2 THEN 'retrieval_miss' WHEN coverage < 0.3 THEN 'low_coverage' ELSE 'unknown' END"
 
 
 @query(f"""WITH {CASES}, f AS (SELECT conv_id * 1000 + turn AS case_id, {CATEGORY} AS category, round((faithfulness + relevance + coverage) / 3, 4) AS score FROM j)
     SELECT category, count(*) AS n_cases, round(avg(score), 4) AS mean_score, arg_min(case_id, (score, case_id)) AS worst_case FROM f WHERE score < 0.5 GROUP BY category""")
 def failure_categories(spark, sf_dir):
     rows = judge_scores(spark, sf_dir)
-    category = J.failure(F.col("faithfulness"), F.col("relevance"), F.col("coverage"), F.col("latency_ms"), F.lit(None).cast("double"))
+    category = J.failure(F.col("faithfulness"), F.col("relevance"), F.col("coverage"), F.col("latency_ms"), F.col("recall"))
     score = F.round((F.col("faithfulness") + F.col("relevance") + F.col("coverage")) / 3, 4)
     return M.failures(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), category.alias("category"), score.alias("score")))
 
@@ -188,11 +188,11 @@ def latest_status(spark, sf_dir):
     return rows.select("user_id", F.col("event_type").alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50")
 def table_tool(spark, sf_dir):
-    """The table tool's projection and equality without its row cap."""
+    """The table tool's projection, equality and row cap."""
     rows = read(spark, sf_dir, "orders")
-    return B.query_table(rows, ["o_orderkey", "o_totalprice"], "o_orderstatus", "F", limit=None)
+    return B.query_table(rows, ["o_orderkey", "o_totalprice"], "o_orderstatus", "F", order="o_orderkey")
 
 
 @query("SELECT vec_id, label, CASE WHEN label = 2 THEN 'archived' ELSE 'live' END AS status, 'team' || label AS team_id FROM embeddings")

@@ -54,10 +54,14 @@ def triplet_entities(spark, sf_dir):
     return B.entities(triplets(spark, sf_dir))
 
 
-@query(f"WITH {TRIPLETS} SELECT DISTINCT subject, predicate, object FROM t")
+@query(f"""WITH {TRIPLETS}, old AS (SELECT DISTINCT subject, predicate, object FROM t WHERE predicate = 'in' OR subject LIKE '%1'),
+    new AS (SELECT DISTINCT lower(subject) AS subject, predicate, object FROM t)
+    SELECT * FROM old UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE lower(o.subject) = n.subject AND o.predicate = n.predicate AND lower(o.object) = lower(n.object))""")
 def add_triplets(spark, sf_dir):
+    """A load brings all triplets, its subjects in small letters, to some that are known."""
     t = triplets(spark, sf_dir)
-    return B.add_triplets(t, t.where("predicate = 'in'")).select("subject", "predicate", "object")
+    new = t.withColumn("subject", F.lower("subject"))
+    return B.add_triplets(t.where("predicate = 'in' OR subject LIKE '%1'"), new.unionByName(new)).select("subject", "predicate", "object")
 
 
 RANGES = "CAST(p_size AS VARCHAR) || '-' || CAST(p_size + p_partkey % 4 AS VARCHAR) || ', ' || CAST(p_size + 2 AS VARCHAR) || CASE WHEN p_partkey % 5 = 0 THEN ', 9-7' ELSE '' END"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, evaluation, graphs, retrieval, sessions, streams, texts  # noqa: F401
+from . import answers, evaluation, graphs, retrieval, sessions, streams, structure, texts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -66,7 +66,7 @@ def stream_ingest(spark, sf_dir):
         needed = F.when(F.col("event_type") != "error", 1).when(F.col("value") < 20, 99).otherwise(1 + F.col("event_id") % 4)
         return rows.withColumn("ok", F.col("attempt") >= needed)
 
-    jobs.ingest(jobs.event_stream(spark, sf_dir), table, f"{table}-checkpoint", work=work)
+    jobs.ingest(jobs.event_stream(spark, sf_dir), table, f"{table}-checkpoint", work=work, unit=0.2)
     out = [spark.read.parquet(f"{table}/{name}").select("user_id", "event_id", "event_type", F.lit(name).alias("outcome"), F.col("attempt").alias("attempts")) for name in ("rows", "failed")]
     return out[0].unionByName(out[1])
 
@@ -95,3 +95,10 @@ def stream_evaluation(spark, sf_dir):
     scores = events().where("event_type = 'click'").select("user_id", F.col("event_id").alias("score_id"), "ts", F.col("value").alias("score"))
     rows = run(spark, jobs.evaluated(responses, scores, within="6 hours", late="1 day"))
     return rows.select("user_id", "response_id", "score_id", "score")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_once(spark, sf_dir):
+    """Every event is delivered twice, by two sources of one stream, and counts once."""
+    events = jobs.event_stream(spark, sf_dir).unionByName(jobs.event_stream(spark, sf_dir))
+    return run(spark, jobs.once(events, "event_id", late="40 days")).select("event_id", "user_id", "event_type")

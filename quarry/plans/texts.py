@@ -98,7 +98,7 @@ CLEANED = f"""a AS (SELECT doc_id, text AS original, {WHITE} AS white FROM docum
 @query(f"WITH {CLEANED} SELECT doc_id, length(original) AS n_original, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM b")
 def clean_pipeline(spark, sf_dir):
     """cleaned() over documents; SQL has neither NFKC nor marks, which no document of the test tables needs."""
-    rows = cleaned(docs(spark, sf_dir), T.nfkc("text"))
+    rows = cleaned(docs(spark, sf_dir), T.composed("text"))
     return rows.select("doc_id", F.length("text").alias("n_original"), F.length("clean").alias("n_clean"), F.md5("clean").alias("clean_md5"))
 
 
@@ -106,7 +106,7 @@ def clean_pipeline(spark, sf_dir):
     'unicode_normalization,whitespace_normalization,header_footer_strip,pii_redaction' AS stages, CASE WHEN stripped > 0 THEN 'Stripped ' || stripped || ' header/footer lines' ELSE '' END AS warnings FROM b""")
 def clean_audit(spark, sf_dir):
     """What the cleaning found and did: personal data before it was redacted, stages and warnings."""
-    rows = cleaned(docs(spark, sf_dir), T.nfkc("text"))
+    rows = cleaned(docs(spark, sf_dir), T.composed("text"))
     counts = [T.pii_count("before", k) for k in lists.PII]
     kinds = F.array_join(F.array_compact(F.array(*(F.when(c > 0, k) for k, c in zip(lists.PII, counts, strict=True)))), ",")
     warning = F.when(F.col("stripped") > 0, F.concat(F.lit("Stripped "), F.col("stripped").cast("string"), F.lit(" header/footer lines"))).otherwise("")
@@ -116,7 +116,7 @@ def clean_audit(spark, sf_dir):
 
 @query()
 def clean_nfkc(spark, sf_dir):
-    plain = T.plain_marks(T.nfkc("text"))
+    plain = T.plain_marks(T.composed("text"))
     return docs(spark, sf_dir).select("doc_id", F.length(plain).alias("n_plain"), F.md5(plain).alias("plain_md5"))
 
 
@@ -234,14 +234,22 @@ def csv_markdown(spark, sf_dir):
     return P.markdown_tables(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
 
 
-@query("""WITH t AS (SELECT c_nationkey AS doc_id, count(*) AS n FROM customer GROUP BY 1) SELECT doc_id, unnest([-1, 0]) AS batch, n AS n_rows, CASE doc_id % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter FROM t""")
+MARK = "CASE c_nationkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END"
+BATCH = 25
+
+
+@query(f"""WITH t AS (SELECT c_nationkey AS doc_id, {MARK} AS delimiter, '| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |' AS row, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey || {MARK} || c_name || {MARK} || c_mktsegment) - 1 AS i FROM customer),
+    n AS (SELECT doc_id, delimiter, count(*) AS n_rows FROM t GROUP BY ALL)
+    SELECT doc_id, -1 AS batch, n_rows, delimiter, '# CSV Data Summary' || chr(10) || chr(10) || '- **Total Rows:** ' || n_rows || chr(10) || '- **Columns (3):** key, name, segment' || chr(10) || '- **Chunks:** ' || ((n_rows + {BATCH - 1}) // {BATCH}) || ' (batch size: {BATCH})' || chr(10) || chr(10) AS content FROM n
+    UNION ALL SELECT doc_id, i // {BATCH}, n_rows, delimiter, '## Rows ' || (min(i) + 1) || chr(8211) || (max(i) + 1) || chr(10) || chr(10) || '| key | name | segment |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY i)
+    FROM t JOIN n USING (doc_id, delimiter) GROUP BY doc_id, i // {BATCH}, n_rows, delimiter""")
 def csv_text(spark, sf_dir):
     """A delimited text for each nation's customers, with one of three delimiters, parsed again."""
     mark = F.when(F.col("c_nationkey") % 3 == 0, ",").when(F.col("c_nationkey") % 3 == 1, ";").otherwise("\t")
     line = F.concat_ws("", "c_custkey", mark, "c_name", mark, "c_mktsegment")
     body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
     files = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.concat(F.concat_ws("", F.lit("key"), F.first(mark), F.lit("name"), F.first(mark), F.lit("segment\n")), body).alias("text"))
-    return P.csv_texts(files).select("doc_id", "batch", "n_rows", "delimiter")
+    return P.csv_texts(files, batch=BATCH)
 
 
 INJECTED = " OR ".join(f"regexp_matches(text, {literal(p)}, 'i')" for p in lists.INJECTION)

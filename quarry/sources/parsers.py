@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunks import by_bytes
+
 # fixed value: between the first and last row of a batch
 DASH = "\u2013"
 
@@ -76,7 +78,7 @@ def html(pages: DataFrame) -> DataFrame:
     """page_id, position, element_type, content of raw pages."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parser = _Elements()
@@ -91,10 +93,10 @@ def html(pages: DataFrame) -> DataFrame:
 
 
 def element_class(text: Column) -> Column:
-    """Class of a text block: short upper-case or title-case text is a header."""
-    title = F.length(text) > 0
-    title = title & (F.initcap(F.lower(text)) == text) & text.rlike("[A-Za-z]")
-    return F.when((F.length(text) < 100) & (((F.upper(text) == text) & text.rlike("[A-Za-z]")) | title), "header").when(text.contains("\t") | text.contains("   "), "table").otherwise("paragraph")
+    """Class of a text block: short text in capitals, or whose words all begin with one and go on without, is a header."""
+    title = text.rlike(r"\p{Lu}") & ~text.rlike(r"(^|[^\p{L}])\p{Ll}|\p{L}\p{Lu}")
+    capitals = text.rlike(r"\p{Lu}") & ~text.rlike(r"\p{Ll}")
+    return F.when((F.length(text) < 100) & (capitals | title), "header").when(text.contains("\t") | text.contains("   "), "table").otherwise("paragraph")
 
 
 def repeated_blocks(blocks: DataFrame) -> DataFrame:

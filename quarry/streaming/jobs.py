@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Iterator
 
@@ -195,41 +196,53 @@ def once(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def attempt(rows: DataFrame, table: str, number: int, work, retries: int) -> None:
-    """One round over rows with their attempt: those that succeed are stored, those that fail wait for the next round with the delay until then, or are set aside after the last. work adds ok, which may depend on the attempt. A round overwrites its own folders alone, so a repeated one changes nothing."""
+def attempt(rows: DataFrame, table: str, number: int, work, retries: int, unit: float = 2.0, held: DataFrame | None = None) -> None:
+    """One round over rows with their attempt: those that succeed are stored, those that fail wait until they are due, which is twice as long after each attempt, or are set aside after the last. work adds ok, which may depend on the attempt; held are rows that wait on. A round overwrites its own folders alone, so a repeated one changes nothing."""
     spark = rows.sparkSession
     done = work(rows).withColumn("ok", F.coalesce("ok", F.lit(False)))
     last = F.col("attempt") > retries
-    delay = F.least(F.lit(2.0) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(60.0))
+    delay = F.least(F.lit(unit) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(30 * unit))
     place = {"rows": F.col("ok"), "waiting": ~F.col("ok") & ~last, "failed": ~F.col("ok") & last}
     tried = f"{table}/tried/round={number}"
     kinds = F.when(place["rows"], "rows").when(place["waiting"], "waiting").otherwise("failed")
-    done.withColumns({"outcome": kinds, "delay": F.when(place["waiting"], delay)}).drop("ok").write.mode("overwrite").parquet(tried)
+    due = F.unix_micros(F.current_timestamp()) + F.round(delay * 1_000_000).cast("long")
+    done.withColumns({"outcome": kinds, "due": F.when(place["waiting"], due)}).drop("ok").write.mode("overwrite").parquet(tried)
     told = spark.read.parquet(tried)
     for name in place:
-        told.where(F.col("outcome") == name).drop("outcome", *(() if name == "waiting" else ("delay",))).write.mode("overwrite").parquet(f"{table}/{name}/round={number}")
+        out = told.where(F.col("outcome") == name).drop("outcome", *(() if name == "waiting" else ("due",)))
+        if name == "waiting" and held is not None:
+            out = out.unionByName(held)
+        out.write.mode("overwrite").parquet(f"{table}/{name}/round={number}")
 
 
-def waiting(spark: SparkSession, table: str, number: int) -> DataFrame:
-    """Rows of a round that wait, for their next attempt."""
-    return spark.read.parquet(f"{table}/waiting/round={number}").drop("delay").withColumn("attempt", F.col("attempt") + 1)
+def waiting(spark: SparkSession, table: str, number: int, now: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a round that wait: those that are due now (microseconds), for their next attempt, and those that wait on."""
+    rows = spark.read.parquet(f"{table}/waiting/round={number}")
+    is_due = F.col("due") <= (time.time_ns() // 1000 if now is None else now)
+    return rows.where(is_due).drop("due").withColumn("attempt", F.col("attempt") + 1), rows.where(~is_due)
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, retries: int = 3, work=lambda rows: rows.withColumn("ok", F.lit(True)), late: str = "1 day") -> int:
-    """Stores a stream's rows, each content once within the time that a row may be late; what fails is tried again with the next batch and, behind the last one, until nothing waits. Returns the number of rounds."""
+def ingest(stream: DataFrame, table: str, checkpoint: str, retries: int = 3, work=lambda rows: rows.withColumn("ok", F.lit(True)), late: str = "1 day", unit: float = 2.0) -> int:
+    """Stores a stream's rows, each content once within the time that a row may be late; what fails is tried again when it is due, with a later batch or behind the last one, until nothing waits. Returns the number of rounds."""
     spark, rounds = stream.sparkSession, []
     fresh = stream.withColumn("digest", F.md5(F.to_json(F.struct(*stream.columns)))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["digest"])
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = df.withColumn("attempt", F.lit(1))
+        rows, held = df.withColumn("attempt", F.lit(1)), None
         if number:  # the batch before has left its folder
-            rows = rows.unionByName(waiting(spark, table, number - 1))
-        attempt(rows, table, number, work, retries)
+            due, held = waiting(spark, table, number - 1)
+            rows = rows.unionByName(due)
+        attempt(rows, table, number, work, retries, unit, held)
         rounds.append(number)
 
     fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     number = max(rounds, default=-1)
-    while number >= 0 and not (left := waiting(spark, table, number)).isEmpty():
+    while number >= 0:
+        first = spark.read.parquet(f"{table}/waiting/round={number}").agg(F.min("due")).head()[0]
+        if first is None:
+            break
+        time.sleep(max(0.0, first / 1e6 - time.time()))
+        due, held = waiting(spark, table, number)
         number += 1
-        attempt(left, table, number, work, retries)
+        attempt(due, table, number, work, retries, unit, held)
     return number + 1

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,16 +275,21 @@ def test_ingest_tries_again_and_sets_aside(spark, tmp_path):
     table = str(tmp_path / "t")
     seen = []
 
+    at = []
+
     def work(rows):
         seen.append({(r.event_id, r.attempt) for r in rows.collect()})
+        at.append(time.time())
         return rows.withColumn("ok", (F.col("event_type") == "v") | (F.col("event_type") == "error") & (F.col("attempt") == 3))
 
-    rounds = jobs.ingest(jobs.event_stream(spark, path), table, str(tmp_path / "cp"), work=work)
+    rounds = jobs.ingest(jobs.event_stream(spark, path), table, str(tmp_path / "cp"), work=work, unit=0.5)
     stored = {r.event_type: r.attempt for r in spark.read.parquet(f"{table}/rows").collect()}
     assert rounds == 4 and stored == {"v": 1, "error": 3}
     failed = spark.read.parquet(f"{table}/failed").collect()
     assert [(r.event_type, r.attempt) for r in failed] == [("never", 4)]
-    assert sorted(r.delay for r in spark.read.parquet(f"{table}/waiting").where("event_type = 'never'").collect()) == [2.0, 4.0, 8.0]
+    due = sorted(r.due for r in spark.read.parquet(f"{table}/waiting").where("event_type = 'never'").collect())
+    assert len(due) == 3 and all(t * 1e6 >= d for t, d in zip(at[1:], due, strict=True))  # nothing is tried before its time
+    assert [round((b - a) / 1e6 - d, 1) >= 0 for a, b, d in zip(due, due[1:], (1.0, 2.0), strict=False)] == [True, True]
     assert max(a for s in seen for _, a in s) == 4
 
 
