@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stored
+from .tokens import pieces
 
 #: Bytes of a frame, and what fills the last one.
 FRAME, FILL = 576, b"\xff"
@@ -37,6 +38,8 @@ LEAST, MOST, MASK = 512, 8_192, np.uint32(0x7FF << 21)
 GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, np.uint32)
 #: Bits of the map that tells which objects may have copies or borrowed chunks; when it fills, more objects travel.
 BITS = 1 << 25
+#: Bytes of texts or chunks that are held at once.
+AT_ONCE = 4_000_000
 #: Bytes that the gear hash remembers.
 WINDOW = 32
 
@@ -91,7 +94,7 @@ def listed(texts: DataFrame) -> DataFrame:
     """media, number, digest of the chunks of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             media_, number, digests = [], [], []
             for text in batch.column(0).to_pylist():
                 name = key(text)
@@ -120,11 +123,10 @@ def stored_row(text: str | None, absent: set[int]) -> tuple:
     return key(text), hashlib.sha256(data).hexdigest(), [digest(p) for p in parts], [None if k in absent else p for k, p in enumerate(parts)], sorted(absent)
 
 
-def slices(batches, rows: int = 1_000):
-    """Batches in parts: what a part becomes is held only once."""
+def slices(batches, column: int):
+    """Batches in parts of some bytes of a column: what a part becomes is held only once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        yield from pieces(batch, column, AT_ONCE)
 
 
 STORE = "media binary, sha256 string, digests array<binary>, own array<binary>, borrowed array<int>"
@@ -153,16 +155,16 @@ def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return bool(bits[h >> 3] >> (h & 7) & 1)
 
     def alone(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 0):
             yield as_batch([stored_row(t, set()) for t in batch.column(0).to_pylist() if not doubtful(t)])
 
     def others(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             keep = [t for t in batch.column(0).to_pylist() if doubtful(t)]
             yield pa.RecordBatch.from_arrays([pa.array([key(t) for t in keep], pa.binary()), pa.array(keep, pa.string())], names=["media", "text"])
 
     def joined(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 0):
             yield as_batch([stored_row(t, set(b or ())) for t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
     # objects of one document that own all their chunks are stored where they are read; each of the others comes once to its list
@@ -184,7 +186,7 @@ def read_store(store: DataFrame) -> DataFrame:
     ready = whole.unionByName(joined).select("media", "sha256", "digests", "own", "brought")
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 3):
             rows = []
             for key, sha256, digests, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 other = dict(other or ())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import carried, stored
-from .tokens import release, sliced
+from .tokens import pieces, release, sliced
 
 #: Coordinates of a signature (a byte of each is kept), and those of them under which sets are posted.
 COORDINATES, POSTED = 256, 32
@@ -216,7 +216,7 @@ def across(posts: DataFrame, classes: DataFrame, roots: DataFrame, texts: DataFr
 
     def blocks(batches):
         release()
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = (row for batch in batches for part in pieces(batch, batch.num_columns - 1) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
         for _, block in groupby(rows, lambda r: r[:4]):
             yield list(block)
 

@@ -144,3 +144,20 @@ def sliced(texts: pa.Array, size: int = 8_000_000):
         end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
         yield start, texts.slice(start, end - start).to_pylist()
         start = end
+
+
+def pieces(batch: pa.RecordBatch, column: int, size: int = 8_000_000):
+    """Slices of a batch with about so many bytes of a text or binary column, or of a column of lists of them; one row at least."""
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        lengths = pc.fill_null(pc.binary_length(values.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(values) else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[ends]
+    else:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(values) else np.zeros(0, np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
