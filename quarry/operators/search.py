@@ -108,3 +108,23 @@ def rerank(candidates: DataFrame, query: str, n: int, confident: float = 0.5, fa
     ranked = top(scored, [query], [F.col("score").desc(), "rank"], n, "position")
     sure = F.col("score") >= confident
     return ranked.withColumn("is_confident", sure).withColumn("any_confident", F.max(sure).over(w)).where("is_confident OR (NOT any_confident AND position <= %d)" % fallback).drop("any_confident")
+
+
+def corrected(queries: DataFrame, docs: DataFrame, retrieve, query: str, doc: str, rewrite, n: int = 5, fallback: int = 3) -> DataFrame:
+    """Retrieval that corrects itself: candidates of each query (query, text) are reranked, and a query without a confident one asks again in the words that rewrite makes of its text; what comes back is reranked for the query as it was. Where that finds nothing, the first few of the first try stay. retrieve gives query, doc, rank of such queries."""
+    from ..sources.stored import stored
+
+    asked = queries.select(query, F.col("text").alias("query_text"))
+    texts = docs.select(doc, "text")
+
+    def reranked(found: DataFrame) -> DataFrame:
+        rows = found.select(query, doc, "rank").join(asked, query).join(texts, doc)
+        return stored(rerank(rows, query, n, fallback=fallback).select(query, doc, "score", "position", "is_confident"), "corrected")
+
+    first = reranked(retrieve(queries))
+    sure = first.groupBy(query).agg(F.max("is_confident").alias("sure"))
+    weak = stored(sure.where("not sure").select(query), "corrected-weak")
+    again = queries.join(weak, query, "left_semi").select(query, rewrite(F.col("text")).alias("text"))
+    second = reranked(retrieve(again))
+    kept = first.join(second.select(query).distinct(), query, "left_anti").withColumn("retried", F.lit(False))
+    return kept.unionByName(second.withColumn("retried", F.lit(True)))

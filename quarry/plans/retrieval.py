@@ -127,6 +127,31 @@ def overfetch_rerank(spark, sf_dir):
     return S.rerank(texts, "item_id", 5).select("item_id", "doc_id", "score", "position", "is_confident")
 
 
+def reranked_sql(n: int, items: str) -> str:
+    """Candidates of items (item_id, text), reranked for the texts of benchmark, with whether any is confident."""
+    return f"""q{n} AS {frequencies(items, 'item_id')},
+    s{n} AS (SELECT item_id, doc_id, sum(q{n}.tf * d.tf) AS s FROM d JOIN q{n} USING (token_id) GROUP BY item_id, doc_id),
+    c{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM s{n}) WHERE rank <= 15),
+    t{n} AS (SELECT c.item_id, c.doc_id, c.rank, {WORDS.format('b.text')} AS qw, {WORDS.format('x.text')} AS dw, count(*) OVER (PARTITION BY c.item_id) AS n
+          FROM c{n} c JOIN benchmark b USING (item_id) JOIN documents x USING (doc_id)),
+    r{n} AS (SELECT item_id, doc_id, rank, round(CASE WHEN len(dw) = 0 THEN 0 ELSE least(1.0, least(1.0, len(list_intersect(qw, dw))::DOUBLE / greatest(len(qw), 1)) + 0.1::DOUBLE * (1 - (rank - 1)::DOUBLE / n)) END, 4) AS score FROM t{n}),
+    p{n} AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS position FROM r{n}),
+    g{n} AS (SELECT item_id, doc_id, score, position, score >= 0.5 AS is_confident, max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS any_sure FROM p{n} WHERE position <= 5),
+    h{n} AS (SELECT item_id, doc_id, score, position, is_confident, any_sure FROM g{n} WHERE is_confident OR any_sure = 0 AND position <= 3)"""
+
+
+@query(f"""WITH d AS {frequencies('documents', 'doc_id')}, {reranked_sql(1, 'benchmark')},
+    again AS (SELECT item_id, array_to_string(list_filter({TOKENS}, lambda t: length(t) > 6), ' ') AS text FROM benchmark WHERE item_id IN (SELECT item_id FROM h1 WHERE any_sure = 0)),
+    {reranked_sql(2, 'again')}
+    SELECT item_id, doc_id, score, position, is_confident, false AS retried FROM h1 WHERE item_id NOT IN (SELECT item_id FROM h2) UNION ALL SELECT item_id, doc_id, score, position, is_confident, true FROM h2""")
+def corrective_retrieval(spark, sf_dir):
+    """Items that find nothing confident ask again in their long words, which stand for a model's rewriting."""
+    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
+    index = index_of(docs)
+    long = lambda text: F.array_join(F.filter(T.sparse_tokens(text), lambda t: F.length(t) > 6), " ")
+    return S.corrected(items, docs, lambda q: index.best(q, "item_id", 15), "item_id", "doc_id", long)
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE NOT coalesce(label = 3, false)")
 def filter_must_not(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").where(S.matches(must_not={"label": 3})).select("vec_id", "label")
