@@ -39,7 +39,7 @@ GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, np.uint32)
 #: Bits of the map that tells which objects may have copies or borrowed chunks; when it fills, more objects travel.
 BITS = 1 << 25
 #: Bytes of texts or chunks that are held at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Bytes that the gear hash remembers.
 WINDOW = 32
 
