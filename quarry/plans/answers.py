@@ -14,6 +14,7 @@ from ..operators import answers as A
 from ..operators import chunks as C
 from ..operators import measure as M
 from ..operators import search as S
+from ..operators.cells import Cells
 from ..operators.postings import index_of
 from ..sources import tables as D
 from .base import query, read, sql_list
@@ -59,19 +60,20 @@ def rrf_results(spark, sf_dir):
 
 
 @query(f"""WITH {CENTROIDS}, dense AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {COSINE} DESC, vec_id) AS rank FROM pairs),
-    t AS (SELECT label, vec_id, list_filter(generate_series(1, 8), lambda i: e[i] > 0.1) AS on_ FROM pairs), qt AS (SELECT DISTINCT label, list_filter(generate_series(1, 8), lambda i: query[i] > 0.01) AS qon FROM pairs),
-    sparse AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY len(list_intersect(on_, qon)) DESC, vec_id) AS rank FROM t JOIN qt USING (label)),
+    q AS {frequencies("(SELECT * FROM benchmark WHERE item_id IN (SELECT label FROM embeddings))", "item_id")}, d AS {frequencies('documents', 'doc_id')},
+    s AS (SELECT item_id AS label, doc_id AS vec_id, sum(q.tf * d.tf) AS score FROM d JOIN q USING (token_id) GROUP BY item_id, doc_id),
+    sparse AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s),
     e AS (SELECT label, vec_id, rank, 'dense' AS source FROM dense WHERE rank <= 20 UNION ALL SELECT label, vec_id, rank, 'sparse' FROM sparse WHERE rank <= 20),
     f AS (SELECT label, vec_id, round(sum(1 / (60.0::DOUBLE + rank)), 8) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM e GROUP BY label, vec_id)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_search(spark, sf_dir):
-    """Dense and sparse branches with twice the results asked for; the sparse form of a vector are its first eight coordinates that are large."""
-    vectors = read(spark, sf_dir, "embeddings")
-    queries = S.centroids(vectors, "label")
-    large = lambda v, least: F.filter(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at(v, i) > least)
-    shared = F.size(F.array_intersect(large(V.doubles("embedding"), 0.1), large(F.col("query"), 0.01)))
-    overlap = vectors.join(queries, "label").select("label", "vec_id", shared.alias("score"))
-    return S.hybrid(S.similar(queries, vectors, "label", 20), S.top(overlap, ["label"], [F.col("score").desc(), "vec_id"], 20), "label", "vec_id")
+    """Dense and sparse branches with twice the results asked for: vectors of a label like its mean, from the index in cells, and texts like the label's benchmark item, from the inverted index. A vector and a text of one number are one item."""
+    vectors, items = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "benchmark")
+    asked = items.join(vectors.select(F.col("label").alias("item_id")).distinct(), "item_id", "left_semi")
+    sparse = index_of(read(spark, sf_dir, "documents")).best(asked, "item_id", 20)
+    sparse = sparse.select(F.col("item_id").cast("int").alias("label"), F.col("doc_id").alias("vec_id"), "rank")
+    dense = Cells(vectors, "label", cells=32).similar(S.centroids(vectors, "label"), 20)
+    return S.hybrid(dense, sparse, "label", "vec_id")
 
 
 @query("""SELECT doc_id, source AS team FROM documents WHERE source = 'src1' AND n_chars > 1000 AND doc_id % 3 <> 0 AND lang = 'en'""")

@@ -141,13 +141,13 @@ def graph_capped(spark, sf_dir):
     return G.neighbours(read(spark, sf_dir, "region").select(F.col("r_name").alias("seed")), triplets(spark, sf_dir).distinct(), 2)
 
 
-@query(f"""WITH {CENTROIDS}, r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {COSINE} DESC, vec_id) AS rank FROM pairs), k AS (SELECT * FROM r WHERE rank <= 5),
-    u AS (SELECT label, rank, unnest([0, 1]) AS side, unnest(['e' || (vec_id % 7), 'f' || (vec_id % 5)]) AS entity FROM k),
+@query(f"""WITH {CENTROIDS}, r AS (SELECT label, vec_id, s_name, n_name, row_number() OVER (PARTITION BY label ORDER BY {COSINE} DESC, vec_id) AS rank FROM pairs JOIN supplier ON s_suppkey = vec_id JOIN nation ON s_nationkey = n_nationkey), k AS (SELECT * FROM r WHERE rank <= 5),
+    u AS (SELECT label, rank, unnest([0, 1]) AS side, unnest([s_name, n_name]) AS entity FROM k),
     o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, entity ORDER BY rank, side) AS n FROM u) WHERE n = 1)
     SELECT label, place, entity FROM (SELECT label, entity, row_number() OVER (PARTITION BY label ORDER BY rank, side) AS place FROM o) WHERE place <= 5""")
 def entity_vector(spark, sf_dir):
-    """Entities of the triplets nearest to a tenant's query; a vector stands for a triplet of two names."""
-    vectors = read(spark, sf_dir, "embeddings")
-    near = S.similar(S.centroids(vectors, "label"), vectors, "label", 5)
-    name = lambda letter, n: F.concat(F.lit(letter), (F.col("vec_id") % n).cast("string"))
-    return G.entities_of(near.select("label", "rank", name("e", 7).alias("subject"), name("f", 5).alias("object")), "label")
+    """Entities of the triplets nearest to a tenant's query; a supplier's triplet has the vector of its number."""
+    vectors, supplier, nation = (read(spark, sf_dir, t) for t in ("embeddings", "supplier", "nation"))
+    named = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("vec_id"), F.col("s_name").alias("subject"), F.col("n_name").alias("object"))
+    near = S.similar(S.centroids(vectors, "label"), vectors.join(named, "vec_id", "left_semi"), "label", 5)
+    return G.entities_of(near.join(named, "vec_id").select("label", "rank", "subject", "object"), "label")

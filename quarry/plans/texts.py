@@ -176,7 +176,27 @@ def chunk_structure(spark, sf_dir):
     return C.structure_aware(docs(spark, sf_dir))
 
 
-@query()
+# headings part the text; what stands between two begins with the line end of the first
+LEVELS = r"""l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text <> ''),
+    o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS a FROM l),
+    h AS (SELECT doc_id, text, n, a, a + length(line) AS b, lag(a + length(line)) OVER (PARTITION BY doc_id ORDER BY n) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM o WHERE regexp_matches(line, '^#+\s+')),
+    p AS (SELECT doc_id, a, b, text[a + 1:b] AS part FROM h
+          UNION ALL SELECT doc_id, b, coalesce(after, length(text)), text[b + 1:coalesce(after, length(text))] FROM h WHERE coalesce(after, length(text)) > b
+          UNION ALL SELECT doc_id, 0, a, text[1:a] FROM h WHERE before IS NULL AND a > 0
+          UNION ALL SELECT doc_id, 0, length(text), text FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = d.doc_id)),
+    g AS (SELECT *, starts_with(part, '#') AS is_heading, trim(regexp_replace(part, '^[# ]+|[# ]+$', '', 'g')) AS own FROM p),
+    w AS (SELECT *, coalesce(last_value(CASE WHEN is_heading THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY a), '') AS name FROM g),
+    k AS (SELECT *, unnest(range(0, length(part), 1000)) AS i FROM w WHERE NOT is_heading),
+    r AS (SELECT doc_id, 'document' AS level, -1 AS a, 0 AS sub, 0 AS block, 0 AS start_char, length(text) AS end_char, 'Root' AS breadcrumb, left(text, 2000) AS content FROM documents
+          UNION ALL SELECT doc_id, 'section', a, 0, 0, a, b, ' > ' || own, part FROM g WHERE is_heading
+          UNION ALL SELECT doc_id, 'block', a + i, 0, a + i, a + i, a + least(i + 1000, length(part)), ' > ' || name || ' [Block ' || (i // 1000) || ']', part[i + 1:i + 1000] FROM k
+          UNION ALL SELECT doc_id, 'leaf', a + i, 1 + j, a + i, a + i + j, a + least(i + 1000, length(part), i + j + 150), ' > ' || name || ' > ' || (j // 150), part[i + j + 1:least(i + 1000, i + j + 150)] FROM (SELECT *, unnest(range(0, least(1000, length(part) - i), 150)) AS j FROM k)),
+    x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, sub, level = 'block') - 1 AS chunk_index FROM r),
+    y AS (SELECT *, last_value(CASE WHEN level = 'section' THEN chunk_index END IGNORE NULLS) OVER v AS section, last_value(CASE WHEN level = 'block' THEN chunk_index END IGNORE NULLS) OVER v AS of_block FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY chunk_index))"""
+
+
+@query(f"""WITH {LEVELS} SELECT doc_id, chunk_index, level, CASE level WHEN 'document' THEN -1 WHEN 'section' THEN 0 WHEN 'block' THEN coalesce(section, 0) ELSE of_block END AS parent_index,
+    breadcrumb, start_char, end_char, content, (end_char - start_char) // 4 AS token_count FROM y""")
 def chunk_hierarchical(spark, sf_dir):
     return C.hierarchical(docs(spark, sf_dir))
 
@@ -197,7 +217,13 @@ def chunk_late(spark, sf_dir):
     return C.late(docs(spark, sf_dir))
 
 
-@query()
+# a mark stands before the white space behind a full stop or question mark, but not where an abbreviation or a name's initial ends
+SENTENCES = r"regexp_replace(regexp_replace(regexp_replace(text, '([.?])(\s)', '\1' || chr(1) || '\2', 'g'), '([\p{L}\p{M}\p{N}_]\.[\p{L}\p{M}\p{N}_][.?])' || chr(1), '\1', 'g'), '([A-Z][a-z]\.)' || chr(1), '\1', 'g')"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, source, regexp_split_to_array({SENTENCES}, chr(1) || '\s') AS parts FROM documents),
+    t AS (SELECT doc_id, source, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS chunk_index FROM s)
+    SELECT doc_id, chunk_index, sentence, '[doc ' || doc_id || '](' || source || ') ' || regexp_replace(sentence, '^\s+|\s+$', '', 'g') AS content FROM t""")
 def proposition(spark, sf_dir):
     return C.propositions(docs(spark, sf_dir), F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("source"))
 
