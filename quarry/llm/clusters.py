@@ -71,10 +71,15 @@ class Centroids:
         return np.stack([np.sqrt(((np.array(r, float) - now) ** 2).sum(1)) for r in self.rounds]) * (1 + SLACK)
 
 
+def held(x: np.ndarray, centroids: list[list[int]]) -> bool:
+    """Whether doubles hold the squared distances exactly."""
+    return not x.size or x.shape[1] * (float(np.abs(x).max()) + float(np.abs(np.array(centroids, float)).max())) ** 2 < EXACT
+
+
 def squares(x: np.ndarray, centroid: list[int]) -> np.ndarray:
     """Squared distances of vectors to a centroid, exactly: as doubles where they hold them, else as integers of any size."""
     c = np.array(centroid, float)
-    if len(x) and len(c) * (float(np.abs(x).max()) + float(np.abs(c).max())) ** 2 >= EXACT:
+    if not held(x, [centroid]):
         d = np.array([[int(v) for v in row] for row in x.tolist()], object) - np.array(centroid, object)
         return (d * d).sum(1)
     d = x - c
@@ -83,14 +88,15 @@ def squares(x: np.ndarray, centroid: list[int]) -> np.ndarray:
 
 def least(x: np.ndarray, tried: np.ndarray, centroids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest of the centroids that are tried for each vector, its squared distance, and the roots of all that were evaluated."""
-    best, cluster = np.full(len(x), None, object), np.full(len(x), -1)
+    fits = held(x, centroids)
+    best, cluster = np.full(len(x), np.inf, float if fits else object), np.full(len(x), -1)
     roots = np.zeros(tried.shape)
     for j in range(len(centroids)):
         at = np.flatnonzero(tried[:, j])
         if len(at):
             square = squares(x[at], centroids[j])
             roots[at, j] = np.sqrt(square.astype(float))
-            closer = np.array([b is None or s < b for s, b in zip(square.tolist(), best[at].tolist(), strict=True)], bool)
+            closer = square < best[at] if fits else np.array([s < b for s, b in zip(square.tolist(), best[at].tolist(), strict=True)], bool)
             best[at[closer]], cluster[at[closer]] = square[closer], j
     return cluster, best, roots
 

@@ -140,3 +140,15 @@ def test_defined_cases(spark, docs, no_docs):
 def test_columns_of_any_name_pass(spark, crowded):
     kept = Q.with_quality(crowded, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), least=0.0)
     assert sorted(map(str, kept.select(*map(lambda c: f"`{c}`", OWN)).collect())) == sorted(map(str, crowded.select(*map(lambda c: f"`{c}`", OWN)).collect()))
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    texts = pa.array(["Some words, and more of them here.\n" * 600_000, "short"])  # 21 MB
+    tracemalloc.start()
+    try:
+        Q.statistics(texts)
+        assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    finally:
+        tracemalloc.stop()
