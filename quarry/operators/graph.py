@@ -16,17 +16,27 @@ def grams(text, n: int = 3):
 
 
 def find_entities(names: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """Names that contain an asked word, whatever the case, the first k of each. Words meet names under the word's rarest three characters, then are looked for; shorter words meet all characters and pairs of the names."""
+    """Names that contain an asked word, whatever the case, the first k of each. A word of one or two characters is found under itself, where the first k names are enough; longer ones meet names under their rarest three characters, then are looked for. Only lengths that are asked for are posted, once."""
     low = names.select(F.lower("name").alias("low"), "name").distinct()
-    asked = asked.select("asked", F.lower("asked").alias("word")).distinct()
-    size = lambda n: low.select("low", "name", F.explode(grams(F.col("low"), n)).alias("gram"))
-    posts = reduce(DataFrame.unionByName, (size(n).withColumn("n", F.lit(n)) for n in (1, 2, 3))).where(F.length("gram") == F.col("n"))
-    often = posts.groupBy("n", "gram").count()
-    wanted = asked.withColumn("n", F.least(F.length("word"), F.lit(3))).where("n > 0")
-    of_word = wanted.withColumn("gram", F.explode(F.when(F.col("n") == 3, grams(F.col("word"))).otherwise(F.array("word"))))
-    rarest = of_word.join(often, ["n", "gram"], "left").groupBy("asked", "word", "n").agg(F.min_by("gram", F.coalesce("count", F.lit(0))).alias("gram"))
-    found = posts.join(rarest, ["n", "gram"]).where(F.col("low").contains(F.col("word"))).select("asked", "name").distinct()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy("name"))).where(F.col("rank") <= k)
+    wanted = asked.select("asked", F.lower("asked").alias("word")).distinct().withColumn("n", F.least(F.length("word"), F.lit(3))).where("n > 0")
+    lengths = sorted(r[0] for r in wanted.select("n").distinct().collect())  # three at most
+    posts = lambda n: low.select("low", "name", F.explode(grams(F.col("low"), n)).alias("gram")).where(F.length("gram") == n)
+    rank = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("name"))
+    found = []
+    for n in lengths:
+        words = wanted.where(F.col("n") == n)
+        if n < 3:
+            first = posts(n).withColumn("rank", rank("gram")).where(F.col("rank") <= k)
+            found.append(words.join(first, F.col("gram") == F.col("word")).select("asked", "name"))
+            continue
+        posted = stored(posts(n), "name-grams")
+        parts = words.withColumn("gram", F.explode(grams(F.col("word"))))
+        often = posted.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+        rarest = parts.join(often, "gram", "left").groupBy("asked", "word").agg(F.min_by("gram", F.coalesce("count", F.lit(0))).alias("gram"))
+        found.append(posted.join(rarest, "gram").where(F.col("low").contains(F.col("word"))).select("asked", "name"))
+    if not found:
+        return wanted.select("asked", F.col("word").alias("name"), F.lit(1).alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, found).distinct().withColumn("rank", rank("asked")).where(F.col("rank") <= k)
 
 
 def both_ways(triplets: DataFrame) -> DataFrame:

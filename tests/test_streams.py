@@ -87,3 +87,19 @@ def test_responses_without_scores_come_when_both_watermarks_have_passed(spark, e
 def test_rows_are_ordered_over_batches():
     frames = [pd.DataFrame({"ts": [at(5), at(1)], "event_id": [1, 2], "event_type": ["a", "b"]}), pd.DataFrame({"ts": [at(3), at(1)], "event_id": [3, 0], "event_type": ["c", "d"]})]
     assert [(i, k) for _, i, k in jobs.in_order(iter(frames), "event_type")] == [(0, "d"), (2, "b"), (3, "c"), (1, "a")]
+
+
+def test_requests_are_counted_over_stretches(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quarry.operators import windows as W
+
+    monkeypatch.setattr(W, "SPANS", 2)
+    rng = np.random.default_rng(1)
+    seconds = sorted(rng.integers(0, 600, 400).tolist()) + [0, 30, 60, 60, 120]
+    rows = [(i, s % 2, START + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.event_id: (r.in_window, r.allowed) for r in W.requests_in_window(df, "user_id", 30, 9).collect()}
+    want = {i: sum(v == u and t - dt.timedelta(seconds=30) <= s <= t for _, v, s in rows) for i, u, t in rows}
+    assert got == {i: (n, n <= 9) for i, n in want.items()}
