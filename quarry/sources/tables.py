@@ -121,13 +121,21 @@ def listed(spark: SparkSession, path: str, tenant: str, namespace: str | None =
 BLOCKED = (".exe", ".dll", ".so")
 
 
-def objects(spark: SparkSession, path: str, pattern: str = "*", most: int = 5 * 1024 * 1024, prefixes: tuple[str, ...] = (), blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
-    """Files below a path that fit a pattern, a size and, if there are any, one of the prefixes below it, as text with replacement of what isn't UTF-8; files with a blocked ending are never opened."""
+# fixed values: endings of files that hold text
+TEXT = (".json", ".csv", ".txt", ".md", ".xml", ".yaml", ".yml", ".html", ".htm", ".log", ".tsv", ".sql", ".py", ".js", ".ts", ".java", ".go", ".rs", ".toml", ".ini", ".cfg", ".env", ".sh", ".bat", ".ps1", ".dockerfile")
+# fixed value: what is said of a file that holds none
+BINARY = "Binary file."
+
+
+def objects(spark: SparkSession, path: str, pattern: str = "*", most: int = 5 * 1024 * 1024, prefixes: tuple[str, ...] = (), blocked: tuple[str, ...] = BLOCKED, text: tuple[str, ...] = TEXT) -> DataFrame:
+    """path, length, text, note of files below a path that fit a pattern, a size and, if there are any, one of the prefixes below it. Text is UTF-8, or Latin-1 where it isn't; a file whose ending isn't one of text has a note instead; files with a blocked ending are never opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load([f"{path.rstrip('/')}/{p}" for p in prefixes] if prefixes else path)
     files = files.where(F.col("length") <= most)
     for ending in blocked:
         files = files.where(~F.lower("path").endswith(ending))
-    return files.select("path", "length", F.decode("content", "utf-8").alias("text"))
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    read = F.when(ending.isin(*text), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")))
+    return files.select("path", "length", read.alias("text"), F.when(~ending.isin(*text), BINARY).alias("note"))
 
 
 class Tools:
@@ -152,3 +160,46 @@ class Tools:
         if name not in self.tools:
             raise ValueError(f"no tool {name}")
         return self.tools[name](**arguments)
+
+    def register_statement(self, name: str, spark: SparkSession, statement: str, parameters: dict | None = None, limit: int | None = 100, most: int | None = None) -> None:
+        """A tool that runs a read-only statement: arguments are bound to its named parameters, and those that aren't given have their defaults. Texts are cut at most bytes."""
+        defaults = dict(parameters or {})
+
+        def run(**arguments) -> DataFrame:
+            if unknown := set(arguments) - set(defaults):
+                raise ValueError(f"unknown parameters {sorted(unknown)}")
+            rows = run_sql(spark, statement, limit, defaults | arguments)
+            return rows if most is None else rows.withColumns({f.name: capped(F.col(f.name), most) for f in rows.schema.fields if f.dataType.simpleString() == "string"})
+
+        self.register(name, run)
+
+    @classmethod
+    def declared(cls, spark: SparkSession, config: dict, variables: dict[str, str]) -> tuple["Tools", dict[str, list[str]]]:
+        """Views, tools and toolsets of a declaration with variables filled in: sources by name as in register_views, tools with a source and its columns or with a statement, and toolsets as lists of tools. A tool or toolset that names what isn't declared is refused."""
+        config, out = filled(config, variables), cls()
+        known = register_views(spark, config.get("sources", {}))
+        for name, tool in config.get("tools", {}).items():
+            if "statement" in tool:
+                out.register_statement(name, spark, tool["statement"], tool.get("parameters"), tool.get("limit", 100), tool.get("max_bytes"))
+            elif tool.get("source") in known:
+                df, columns, cap = spark.table(tool["source"]), tool.get("columns"), tool.get("limit", 50)
+                out.register(name, lambda columns=None, where=None, value=None, limit=cap, df=df, allowed=columns: query_table(df.select(*(allowed or df.columns)), columns or allowed or df.columns, where, value, limit))
+            else:
+                raise ValueError(f"tool {name} has neither a statement nor a declared source")
+        sets = config.get("toolsets", {})
+        for name, tools in sets.items():
+            if missing := [t for t in tools if t not in out.tools]:
+                raise ValueError(f"toolset {name} names unknown tools {missing}")
+        return out, sets
+
+
+def healthy(spark: SparkSession, names: list[str]) -> dict[str, bool]:
+    """Whether each view can be read: its first row is asked for."""
+    out = {}
+    for name in names:
+        try:
+            spark.table(name).limit(1).count()
+            out[name] = True
+        except Exception:
+            out[name] = False
+    return out

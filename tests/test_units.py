@@ -360,3 +360,37 @@ def test_records_and_objects(spark, tmp_path):
 @pytest.mark.parametrize("payload, lines", [('{"a": 1, "_b": 2, "c": "x"}', "a: 1\nc: x"), ("plain", "plain"), (None, None), ("[1]", "[1]"), ("{bad", "{bad")])
 def test_tool_context(spark, payload, lines):
     assert one(spark, payload, N.tool_context(F.col("text"))) == lines
+
+
+def test_declared_tools(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "x" * 50), (2, "b", "y")], "id int, kind string, body string").write.parquet(f"{tmp_path}/rows")
+    config = {
+        "sources": {"declared_rows": {"path": "${BASE}/rows"}, "declared_gone": {"format": "${FORMAT:parquet}", "path": "${BASE}/rows"}},
+        "tools": {
+            "of_kind": {"statement": "SELECT id, body FROM declared_rows WHERE kind = :kind ORDER BY id", "parameters": {"kind": "a"}, "max_bytes": 10},
+            "rows": {"source": "declared_rows", "columns": ["id", "kind"], "limit": 1},
+        },
+        "toolsets": {"all": ["rows", "of_kind"]},
+    }
+    tools, sets = D.Tools.declared(spark, config, {"BASE": str(tmp_path)})
+    assert sets == {"all": ["rows", "of_kind"]} and set(tools.toolset(sets["all"])) == {"rows", "of_kind"}
+    assert [r.body for r in tools.call("of_kind").collect()] == ["x" * 10 + "\n\n[TRUNCATED: Result exceeded 10 bytes]"]
+    assert [(r.id, r.body) for r in tools.call("of_kind", kind="b").collect()] == [(2, "y")] and tools.call("of_kind", kind="' OR 1=1 --").count() == 0
+    assert [tuple(r) for r in tools.call("rows", where="kind", value="b").collect()] == [(2, "b")] and tools.call("rows").count() == 1
+    for wrong in ({"columns": ["body"]}, {"where": "body", "value": "y"}):
+        with pytest.raises(ValueError):
+            tools.call("rows", **wrong)
+    with pytest.raises(ValueError):
+        tools.call("of_kind", other=1)
+    for bad in ({"tools": {"t": {"source": "nowhere"}}}, {"tools": {}, "toolsets": {"s": ["t"]}}, {"tools": {"t": {"statement": "DROP TABLE x"}}}):
+        with pytest.raises(ValueError):
+            D.Tools.declared(spark, bad, {})[0].call("t")
+    assert D.healthy(spark, ["declared_rows", "no_such_view"]) == {"declared_rows": True, "no_such_view": False}
+
+
+def test_objects_without_text_have_a_note(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é".encode())
+    (tmp_path / "b.csv").write_bytes("é".encode("latin-1"))
+    (tmp_path / "c.png").write_bytes(b"\x89PNG")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.note) for r in D.objects(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("é", None), "b.csv": ("é", None), "c.png": (None, "Binary file.")}
