@@ -21,10 +21,16 @@ def event_stream(spark: SparkSession, path: str, glob: str = "events.parque[t]",
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", expires: bool = False) -> None:
+def by_clock(stream: DataFrame) -> bool:
+    """Whether a stream has state that expires by the clock."""
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    return "TransformWithState" in plan and "ProcessingTime" in plan
+
+
+def finished(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all there is into Parquet files, with its state in RocksDB. State that expires by the clock asks for batches without rows for ever: there, the run ends with the last row."""
     spark = stream.sparkSession
-    settings = ROCKS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(not expires).lower()}
+    settings = ROCKS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(not by_clock(stream)).lower()}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():

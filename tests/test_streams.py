@@ -21,8 +21,8 @@ def write(spark, path, number, rows):
     spark.createDataFrame([(i, at(m), u, k, v, None) for i, m, u, k, v in rows], EVENT).coalesce(1).write.mode("overwrite").parquet(f"{path}/part-{number}")
 
 
-def run(spark, stream, path, name, expires=False):
-    jobs.finished(stream, f"{path}/{name}-rows", f"{path}/{name}-checkpoint", expires=expires)
+def run(spark, stream, path, name):
+    jobs.finished(stream, f"{path}/{name}-rows", f"{path}/{name}-checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{path}/{name}-rows")
 
 
@@ -50,7 +50,7 @@ def test_timers_close_sessions_of_users_who_stay_away(spark, events):
 
 def test_expired_state_is_gone(spark, events):
     source, path, stream = events
-    allowed = lambda: {r.event_id: r.allowed for r in run(spark, jobs.limited(stream(), most=2, seconds=86_400, idle=8), path, "l", True).collect()}
+    allowed = lambda: {r.event_id: r.allowed for r in run(spark, jobs.limited(stream(), most=2, seconds=86_400, idle=8), path, "l").collect()}
     write(spark, source, 1, [(1, 0, 1, "view", 0.0), (2, 1, 1, "view", 0.0), (3, 2, 1, "view", 0.0)])
     assert allowed() == {1: True, 2: True, 3: False}
     time.sleep(9)
@@ -60,7 +60,7 @@ def test_expired_state_is_gone(spark, events):
 
 def test_state_is_kept_between_batches(spark, events):
     source, path, stream = events
-    allowed = lambda: {r.event_id: r.allowed for r in run(spark, jobs.limited(stream(), most=2, seconds=86_400), path, "k", True).collect()}
+    allowed = lambda: {r.event_id: r.allowed for r in run(spark, jobs.limited(stream(), most=2, seconds=86_400), path, "k").collect()}
     write(spark, source, 1, [(2, 1, 1, "view", 0.0), (1, 0, 1, "view", 0.0)])
     allowed()
     write(spark, source, 2, [(3, 2, 1, "view", 0.0), (4, 2000, 1, "view", 0.0)])
