@@ -167,7 +167,9 @@ class Sessions(StatefulProcessor):
         return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if self._over(v[0]) <= expiredTimerInfo.getExpiryTimeInMs()]
+        # all that the watermark has passed: the first timer of a batch closes them, and those behind it find little
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        over = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if self._over(v[0]) <= now]
         for started, _, _ in over:
             self.open.removeKey((started,))
         yield pd.DataFrame([(key[0], a, b, n) for a, b, n in sorted(over)], columns=["user_id", "started", "ended", "n_events"])
