@@ -30,3 +30,10 @@ def test_marks_are_plain_before_other_cleaning(spark, tmp_path):
     assert got == {1: (len(MARKED), len(CLEAN), md5(CLEAN)), 2: (len(PLAIN), len(CLEAN), md5(CLEAN)), 3: (None, None, None)}
     got = {r.doc_id: (r.n_plain, r.plain_md5) for r in QUERIES["clean_nfkc"](spark, str(tmp_path)).collect()}
     assert got == {1: (len(PLAIN), md5(PLAIN)), 2: (len(PLAIN), md5(PLAIN)), 3: (None, None)}
+
+
+def test_all_rows_of_a_table_tool(spark, tmp_path):
+    rows = [(i, "F" if i % 3 else "O", i / 4) for i in range(300)] + [(300, None, None), (301, "F", None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(QUERIES["table_tool"](spark, str(tmp_path)).collect(), key=lambda r: r.o_orderkey)
+    assert [tuple(r) for r in got] == [(i, p) for i, s, p in rows if s == "F"]
