@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stored
-from .tokens import AT_ONCE, encoder, sliced
+from .tokens import encoder, together
 
 #: Ranks within a length are counted in cells: so many of all lengths, of so many pieces at least. Tokens of a sequence at most.
 CELLS, LEAST, MOST = 1 << 16, 1 << 14, 1 << 18
@@ -41,18 +41,17 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end: int) -> DataFrame:
 
     def run(batches):
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in together(batches, 1):
             ids = batch.column(0)
             row, number, start, length, crc = [], [], [], [], []
-            for a, texts in sliced(batch.column(1), AT_ONCE):
-                for i, data in enumerate(encode.many(texts), a):
-                    data += tail
-                    for k, (s, n) in enumerate(cut(len(data) // 4, size)):
-                        row.append(i)
-                        number.append(k)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(data[4 * s : 4 * (s + n)]))
+            for i, data in enumerate(encode.many(batch.column(1))):
+                data += tail
+                for k, (s, n) in enumerate(cut(len(data) // 4, size)):
+                    row.append(i)
+                    number.append(k)
+                    start.append(s)
+                    length.append(n)
+                    crc.append(zlib.crc32(data[4 * s : 4 * (s + n)]))
             columns = [ids.take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

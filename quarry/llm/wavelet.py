@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import folder, stored
-from .tokens import AT_ONCE, encoder, sliced
+from .tokens import encoder, together
 
 MAGIC = b"QWM2"
 #: Tokens of a shard; a single longer document makes a longer shard.
@@ -166,14 +166,12 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 0, shard: int = SH
             held, tokens, number = [], 0, number + 1
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, texts in sliced(batch.column(1), AT_ONCE):
-                for i, data in enumerate(encode.many(texts), a):
-                    held.append((ids[i], data + tail))
-                    tokens += len(data) // 4 + 1
-                    if tokens >= shard:
-                        yield flush()
+        for batch in together(batches, 1):
+            for i, data in zip(batch.column(0).to_pylist(), encode.many(batch.column(1)), strict=True):
+                held.append((i, data + tail))
+                tokens += len(data) // 4 + 1
+                if tokens >= shard:
+                    yield flush()
         if held:
             yield flush()
 
