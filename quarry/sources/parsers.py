@@ -18,6 +18,14 @@ DASH = "\u2013"
 # fixed values: content types by file ending
 ENDINGS = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "html": "text/html", "htm": "text/html", "md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "json": "application/json"}
 
+# fixed value: what SQL's trim takes off, the characters of Unicode's category Zs
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Text without the spaces at its ends. F.trim itself can't be handed to F.transform: it would take an element's index for the characters to take off."""
+    return F.trim(text, F.lit(SPACES))
+
 
 def content_type(declared: Column, name: Column) -> Column:
     """A known declared type, else that of the file's ending, else plain text."""
@@ -34,7 +42,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def markdown(docs: DataFrame) -> DataFrame:
     """Markdown: each non-empty line is a header or a paragraph."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), trimmed), lambda x: x != "")
     rows = docs.select("doc_id", F.posexplode(lines).alias("position", "line"))
     header = F.col("line").startswith("#")
     return rows.select("doc_id", "position", F.when(header, "header").otherwise("paragraph").alias("element_type"), F.when(header, F.regexp_replace("line", "^[# ]+", "")).otherwise(F.col("line")).alias("content"))
