@@ -36,7 +36,7 @@ def content_type(declared: Column, name: Column) -> Column:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Plain text: paragraphs between blank lines."""
-    rows = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n\n"), F.trim), lambda p: p != "")).alias("position", "content"))
+    rows = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", "\n\n"), trimmed), lambda p: p != "")).alias("position", "content"))
     return rows.withColumn("element_type", F.lit("paragraph"))
 
 

@@ -38,3 +38,9 @@ def test_markdown_lines_are_trimmed_as_in_sql(both):
     got, want = both(P.markdown, "markdown_elements")
     assert got == want
     assert (0, 0, "paragraph", "0 first 0") in got
+
+
+def test_paragraphs_are_trimmed_as_in_sql(both):
+    got, want = both(P.paragraphs, "text_paragraphs")
+    assert got == want
+    assert [r[1:3] for r in got if r[0] == 1] == [("0", 0), ("00", 3), ("1", 1), ("10", 4), ("2", 2)]
