@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# fixed value: rows in a table that a processor gives at once
+ROWS = 10_000
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -125,54 +129,59 @@ def breakers(stream: DataFrame, failures: int = 5, rest: int = 30, successes: in
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a user, given when they are over. State: a map of the open ones by their start. A timer at the time from which no row can prolong a session closes it, whether or not the user comes back."""
+    """Sessions of a user, given when they are over. State: start, end and number of rows of the open ones, in order, as one array of three rows. A user has one timer, at the time from which no row can prolong the first of them: it closes all that the watermark has passed, whether or not the user comes back."""
 
     def __init__(self, gap: int):
         self.gap = gap * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "started long", "ended long, n long")
+        self.open = handle.getValueState("open", "spans binary")
+
+    def _held(self) -> np.ndarray:
+        state = self.open.get()
+        return np.frombuffer(state[0] if state else b"", "<i8").reshape(3, -1)
 
-    def _over(self, ended: int) -> int:
-        """Milliseconds from which on rows lie behind the session and its gap."""
-        return (ended + self.gap) // 1000 + 1
+    def _over(self, spans: np.ndarray) -> list[int]:
+        """Milliseconds from which on rows lie behind a session and its gap."""
+        return ((spans[1] + self.gap) // 1000 + 1).tolist()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: (v[0], v[1]) for k, v in self.open.iterator()}
-        spans = [(a, b, n) for a, (b, n) in held.items()]
+        held = self._held()
+        parts = [held]
         for batch in rows:  # a batch becomes few spans, so its rows aren't kept
-            at = np.sort(batch["ts"].to_numpy().astype("datetime64[us]").astype("int64"))
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(at) > self.gap) + 1, [len(at)]))
-            spans = self._merged(spans + [(int(at[i]), int(at[j - 1]), int(j - i)) for i, j in zip(edges, edges[1:], strict=False)])
-        now = {a: (b, n) for a, b, n in spans}
-        for a, (b, _) in held.items():
-            if now.get(a, (None,))[0] != b:
-                self.handle.deleteTimer(self._over(b))
-            if a not in now:
-                self.open.removeKey((a,))
-        for a, v in now.items():
-            if held.get(a) != v:
-                self.open.updateValue((a,), v)
-            self.handle.registerTimer(self._over(v[0]))
+            at = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            parts.append(self._merged(np.stack((at, at, np.ones_like(at)))))
+            if sum(p.shape[1] for p in parts[1:]) > parts[0].shape[1]:  # by then it has doubled, so spans are sorted few times
+                parts = [self._merged(np.concatenate(parts, axis=1))]
+        now = self._merged(np.concatenate(parts, axis=1))
+        before, after = self._over(held[:, :1]), self._over(now[:, :1])
+        if before != after:
+            for t in before:
+                self.handle.deleteTimer(t)
+            for t in after:
+                self.handle.registerTimer(t)
+        self.open.update((now.tobytes(),))
         return iter(())
 
-    def _merged(self, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out: list[tuple[int, int, int]] = []
-        for a, b, n in sorted(spans):
-            if out and a - out[-1][1] <= self.gap:
-                out[-1] = out[-1][0], max(out[-1][1], b), out[-1][2] + n
-            else:
-                out.append((a, b, n))
-        return out
+    def _merged(self, spans: np.ndarray) -> np.ndarray:
+        """Spans in order, those within the gap as one."""
+        spans = spans[:, np.argsort(spans[0], kind="stable")]
+        reached = np.maximum.accumulate(spans[1])
+        first = np.flatnonzero(np.concatenate(([True], spans[0, 1:] - reached[:-1] > self.gap)))
+        return np.stack((spans[0, first], reached[np.append(first[1:], len(reached)) - 1], np.add.reduceat(spans[2], first)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # all that the watermark has passed: the first timer of a batch closes them, and those behind it find little
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        over = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if self._over(v[0]) <= now]
-        for started, _, _ in over:
-            self.open.removeKey((started,))
-        yield pd.DataFrame([(key[0], a, b, n) for a, b, n in sorted(over)], columns=["user_id", "started", "ended", "n_events"])
+        held = self._held()
+        k = bisect_right(over := self._over(held), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+        for i in range(0, k, ROWS):
+            started, ended, n = held[:, i : min(i + ROWS, k)]
+            yield pd.DataFrame({"user_id": key[0], "started": started, "ended": ended, "n_events": n})
+        if k < len(over):
+            self.open.update((held[:, k:].tobytes(),))
+            self.handle.registerTimer(over[k])
+        else:
+            self.open.clear()
 
     def close(self) -> None:
         pass
